@@ -20,7 +20,7 @@ def items(df: DataFrame, col: str, sep: str = ";") -> Column:
         raw = F.split(F.col(col), f"\\Q{sep}\\E", -1)
     else:
         raw = F.when(F.col(col).isNotNull(), F.array(F.col(col).cast("string")))
-    clean = F.array_distinct(F.filter(F.transform(raw, F.trim), lambda x: x != ""))
+    clean = F.array_distinct(F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x != ""))
     return F.when(F.size(clean) > 0, clean)
 
 

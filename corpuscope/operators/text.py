@@ -145,7 +145,7 @@ class KeywordSet:
 
     def nearby(self, c: Column, n: int = 0) -> Column:
         """Phrases with a match and the ``n`` before and after, each side only when complete."""
-        phrases = F.filter(F.transform(F.split(c, r"\.", -1), F.trim), lambda p: p != "")
+        phrases = F.filter(F.transform(F.split(c, r"\.", -1), lambda x: F.trim(x)), lambda p: p != "")
         none = F.slice(phrases, 1, 0)
 
         def around(p: Column, i: Column) -> Column:

@@ -102,7 +102,7 @@ def to_corpus_types(df: DataFrame, sep: str = ";") -> DataFrame:
             df.schema[field.name].dataType, T.ArrayType
         ):
             parts = F.filter(
-                F.transform(F.split(field.name, f"\\Q{sep}\\E", -1), F.trim), lambda x: x != ""
+                F.transform(F.split(field.name, f"\\Q{sep}\\E", -1), lambda x: F.trim(x)), lambda x: x != ""
             )
             out[field.name] = F.when(F.size(parts) > 0, parts)
         elif isinstance(df.schema[field.name].dataType, T.StringType) and isinstance(
