@@ -361,7 +361,7 @@ _IMPACT = """, r AS (SELECT term, year, cites, row_number() OVER (PARTITION BY t
 t AS (SELECT term, count(*) AS n, sum(cites) AS c, sum(frac) AS fr, min(year) AS fy, (SELECT max(year) FROM docs) - min(year) + 1 AS y,
   coalesce(max(CASE WHEN cites >= rn THEN rn END), 0) AS h, coalesce(max(CASE WHEN cites >= rn * rn THEN rn END), 0) AS g,
   coalesce(max(CASE WHEN run >= rn * rn THEN rn END), 0) AS gc FROM r GROUP BY term HAVING count(*) >= {m})
-SELECT term, n AS num_documents, round(fr, 2) AS frac_num_documents, CAST(c AS BIGINT) AS global_citations, fy AS first_year,
+SELECT term, n AS num_documents, CAST(round(fr, 2) AS DOUBLE) AS frac_num_documents, CAST(c AS BIGINT) AS global_citations, fy AS first_year,
   CAST(y AS BIGINT) AS years, round(c::DOUBLE / y, 2) AS citations_per_year, round(c::DOUBLE / n, 2) AS citations_per_document,
   h AS h_index, g AS g_index, gc AS g_index_cumulative, round(h::DOUBLE / y, 2) AS m_index FROM t"""
 
@@ -372,7 +372,7 @@ def _(spark, sf):
 
 
 @query("impact_analysis_authors", with_views("docs", "au") + ", k AS (SELECT id, count(*) AS k FROM au GROUP BY id)" +
-       _IMPACT.format(rel="au", frac="1.0::DOUBLE / k", extra="JOIN k USING (id)", m=1))
+       _IMPACT.format(rel="au", frac="CAST(1.0::DOUBLE / k AS DECIMAL(38,12))", extra="JOIN k USING (id)", m=1))
 def _(spark, sf):
     return T.impact_analysis(corpus(spark, sf, "authors"), "authors")
 

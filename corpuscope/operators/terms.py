@@ -255,7 +255,9 @@ def impact_analysis(df: DataFrame, col: str, min_occ: int = 1) -> DataFrame:
     are first counted per (term, citations), so ranks come from a histogram and
     no task ever sorts the documents of a term.
     """
-    frac = df.select("*", (F.lit(1.0) / F.size(items(df, col))).alias("_share"))
+    # Decimal shares add up the same in any order.
+    share = (F.lit(1.0) / F.size(items(df, col))).cast("decimal(38,12)")
+    frac = df.withColumn("_share", share)
     hist = (
         doc_terms(frac, col, ["year", "global_citations", "_share"])
         .groupBy("term", F.coalesce("global_citations", F.lit(0)).alias("c"))
@@ -297,7 +299,7 @@ def impact_analysis(df: DataFrame, col: str, min_occ: int = 1) -> DataFrame:
     return occurrence_bounds(table, min_occ).select(
         "term",
         "num_documents",
-        F.round("_frac", 2).alias("frac_num_documents"),
+        F.round("_frac", 2).cast("double").alias("frac_num_documents"),
         "global_citations",
         "first_year",
         years.cast("bigint").alias("years"),

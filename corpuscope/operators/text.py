@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.items import doc_terms, items
 from ..functions.stem import stem_key
 from ..functions.text_keys import normalised, remove_accents, words
-from ..plans.containment import containment_join
+from ..plans.containment import containment_join, token_runs
 from ..plans.skew import skew_join
 
 TOKEN = r"[\p{L}\p{N}_\-]+"
@@ -59,6 +59,14 @@ def regex(pattern: str, ignore_case: bool = True, full_match: bool = False, use_
     return f"(?{'iuU' if ignore_case else 'U'}:{body})"
 
 
+def _matches(pattern: str):
+    return lambda text: F.rlike(text, F.lit(pattern))
+
+
+def _first_match(pattern: str):
+    return lambda text: F.regexp_extract(text, pattern, 0)
+
+
 @dataclass(frozen=True)
 class KeywordSet:
     """A short list of keywords or regular expressions; long lists are tables."""
@@ -90,21 +98,14 @@ class KeywordSet:
     def extract(self, c: Column, sep: str = ";") -> Column:
         """Sorted unique matches, ``sep``-joined; the first match per keyword and ``;``-item."""
         parts = F.split(c, ";", -1)
-        hits = [
-            F.transform(
-                F.filter(parts, lambda p, r=r: F.rlike(p, F.lit(r))),
-                lambda p, r=r: F.regexp_extract(p, r, 0),
-            )
-            for r in self.patterns()
-        ]
+        hits = [F.transform(F.filter(parts, _matches(r)), _first_match(r)) for r in self.patterns()]
         found = F.array_sort(F.array_distinct(F.concat(*hits)))
         return F.when(F.size(found) > 0, F.array_join(found, sep))
 
     def contains(self, c: Column) -> Column:
-        return F.coalesce(
-            reduce(lambda a, b: a | b, [F.exists(F.split(c, ";", -1), lambda p, r=r: F.rlike(p, F.lit(r))) for r in self.patterns()]),
-            F.lit(False),
-        )
+        parts = F.split(c, ";", -1)
+        found = [F.exists(parts, _matches(r)) for r in self.patterns()]
+        return F.coalesce(reduce(lambda a, b: a | b, found), F.lit(False))
 
     def remove(self, c: Column) -> Column:
         return reduce(lambda x, r: F.regexp_replace(x, r, ""), self.patterns(), c)
@@ -269,21 +270,18 @@ def _token_grams(df: DataFrame, text: str, widths: Sequence[int]) -> DataFrame:
     tokens = df.select(
         "id", F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN_OR_MARK), F.lit(0)).alias("_t")
     )
-    grams = [
-        F.when(
-            F.size("_t") >= w,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size("_t") - (w - 1), F.lit(1))),
-                lambda i, w=w: F.struct(
-                    i.alias("pos"),
-                    F.lit(w).alias("width"),
-                    F.array_join(F.slice("_t", i, w), " ").alias("gram"),
-                ),
+
+    def runs(w: int) -> Column:
+        return F.transform(
+            token_runs(F.col("_t"), w),
+            lambda gram, i: F.struct(
+                (i + 1).alias("pos"), F.lit(w).alias("width"), gram.alias("gram")
             ),
-        ).otherwise(F.array().cast("array<struct<pos:int,width:int,gram:string>>"))
-        for w in widths
-    ]
-    return tokens.select("id", F.explode(F.concat(*grams)).alias("g")).select("id", "g.*")
+        )
+
+    return tokens.select(
+        "id", F.explode(F.concat(*[runs(w) for w in widths])).alias("g")
+    ).select("id", "g.*")
 
 
 def _keyword_widths(keywords: DataFrame) -> list[int]:

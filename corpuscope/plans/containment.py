@@ -1,44 +1,92 @@
 """Which texts contain which patterns, without comparing every pair.
 
-A pattern of three or more space-separated tokens can only occur in a text that
-holds its inner tokens, whole and adjacent; shorter patterns can only occur
-where their first characters do.  Both sides are keyed by such a gram, joined
-on it, and the candidates verified on the full strings, so the result is exact.
+Strings are cut at single spaces.  A pattern of three or more tokens can only
+occur in a text that holds its inner tokens, whole and adjacent; both sides are
+keyed by such a run of tokens (the rarest of the pattern), joined, and the
+candidates verified on the full strings.  A pattern of one or two tokens lies
+within one or two adjacent tokens of the text, so it is looked for in the
+dictionary of those, keyed by its first characters.  Both ways are exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import materialise
 from .skew import skew_join
 
 GRAM_TOKENS = 3
 PREFIX_CHARS = 8
 
 
-def _inner_grams(tokens):
-    """Adjacent runs of inner tokens, as long as GRAM_TOKENS allows."""
-    width = F.least(F.lit(GRAM_TOKENS), F.size(tokens) - 2)
-    starts = F.sequence(F.lit(2), F.size(tokens) - width)
-    return F.transform(
-        starts, lambda i: F.concat(F.lit("t:"), F.array_join(F.slice(tokens, i, width), " "))
-    )
+def _tokens(name: str) -> Column:
+    return F.split(F.col(name), " ", -1)
+
+
+def token_runs(tokens: Column, width: int) -> Column:
+    """All runs of ``width`` adjacent tokens, joined by spaces."""
+    if width == 1:
+        return tokens
+    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (width - 1), F.lit(1)))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, width), " "))
+    return F.when(F.size(tokens) >= width, runs).otherwise(F.array().cast("array<string>"))
+
+
+def _substrings(text: str, width: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (width - 1), F.lit(1)))
+    parts = F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(width)))
+    return F.when(F.length(text) >= width, parts).otherwise(F.array().cast("array<string>"))
 
 
-def _keyed_patterns(patterns: DataFrame) -> DataFrame:
-    """(pattern, gram, kind, width) with the rarest gram of each pattern as its key."""
-    tokens = F.split("pattern", " ", -1)
-    short = F.concat(F.lit("p:"), F.substring("pattern", 1, PREFIX_CHARS))
-    grams = patterns.select(
-        "pattern",
-        F.explode(
-            F.when(F.size(tokens) >= 3, _inner_grams(tokens)).otherwise(F.array(short))
-        ).alias("gram"),
+def _small_ints(df: DataFrame, c: Column) -> list[int]:
+    """Distinct values of a column known to take only a few small integers."""
+    return sorted(r[0] for r in df.select(c).distinct().collect())
+
+
+def _short_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Matches of patterns of one or two tokens, by way of the token dictionary."""
+    found = []
+    for n in _small_ints(patterns, F.size(_tokens("pattern"))):
+        some = patterns.where(F.size(_tokens("pattern")) == n).withColumn(
+            "key", F.substring("pattern", 1, PREFIX_CHARS)
+        )
+        pieces = texts.select(
+            "_t1", "_t2", F.explode(F.array_distinct(token_runs(_tokens("text"), n))).alias("piece")
+        )
+        widths = _small_ints(some, F.length("key"))
+        keys = F.array_distinct(F.concat(*[_substrings("piece", w) for w in widths]))
+        dictionary = pieces.select("piece").distinct().select("piece", F.explode(keys).alias("key"))
+        hits = (
+            skew_join(dictionary, some, "key")
+            .where(F.contains("piece", "pattern"))
+            .select("piece", "pattern")
+        )
+        found.append(skew_join(pieces, hits, "piece").select("_t1", "_t2", "pattern"))
+    return reduce(DataFrame.union, found).distinct()
+
+
+def _long_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Candidates for patterns of three or more tokens, by their rarest inner run."""
+    tokens = _tokens("pattern")
+    width = F.least(F.lit(GRAM_TOKENS), F.size(tokens) - 2)
+    inner = F.transform(
+        F.sequence(F.lit(2), F.size(tokens) - width),
+        lambda i: F.array_join(F.slice(tokens, i, width), " "),
+    )
+    runs = patterns.select("pattern", F.explode(inner).alias("run"))
+    frequency = runs.groupBy("run").agg(F.count(F.lit(1)).alias("_f"))
+    keyed = (
+        skew_join(runs, frequency, "run")
+        .groupBy("pattern")
+        .agg(F.min_by("run", F.struct("_f", "run")).alias("run"))
     )
-    frequency = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_f"))
-    keyed = skew_join(grams, frequency, "gram")
-    return keyed.groupBy("pattern").agg(F.min_by("gram", F.struct("_f", "gram")).alias("gram"))
+    widths = _small_ints(patterns, width)
+    runs_of_text = F.array_distinct(F.concat(*[token_runs(_tokens("text"), w) for w in widths]))
+    held = texts.select("_t1", "_t2", F.explode(runs_of_text).alias("run"))
+    return skew_join(held, keyed, "run").select("_t1", "_t2", "pattern")
 
 
 def containment_join(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -47,44 +95,26 @@ def containment_join(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     ``texts`` has a column ``text`` and ``patterns`` a column ``pattern``; empty
     and NULL strings never match.
     """
-    texts = texts.select("text").where("text <> ''").distinct()
-    patterns = patterns.select("pattern").where("pattern <> ''").distinct()
-    keyed = _keyed_patterns(patterns)
-
-    # The gram widths in use: at most GRAM_TOKENS + PREFIX_CHARS small integers.
-    is_token = F.col("gram").startswith("t:")
-    body = F.substring("gram", 3, 2**31 - 1)
-    width = F.when(is_token, F.size(F.split(body, " ", -1))).otherwise(F.length(body))
-    used = keyed.select(is_token.alias("token"), width.alias("width")).distinct().collect()
-    if not used:
-        return texts.select("text", F.lit("").alias("pattern")).limit(0)
-    tokens = F.split("text", " ", -1)
-    arrays = []
-    for row in used:
-        w = row["width"]
-        if row["token"]:
-            grams = F.when(
-                F.size(tokens) >= w,
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.size(tokens) - w + 1, F.lit(1))),
-                    lambda i, w=w: F.concat(F.lit("t:"), F.array_join(F.slice(tokens, i, w), " ")),
-                ),
-            )
-        else:
-            grams = F.when(
-                F.length("text") >= w,
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length("text") - w + 1, F.lit(1))),
-                    lambda i, w=w: F.concat(F.lit("p:"), F.substring(F.col("text"), i, F.lit(w))),
-                ),
-            )
-        arrays.append(F.coalesce(grams, F.array().cast("array<string>")))
-    # Only a 96-bit hash of the text travels with the grams; the text itself is joined back.
-    texts = texts.withColumns({"_t1": F.xxhash64("text"), "_t2": F.hash("text")})
-    grams = texts.select("_t1", "_t2", F.explode(F.array_distinct(F.concat(*arrays))).alias("gram"))
-    candidates = skew_join(grams, keyed, "gram").select("_t1", "_t2", "pattern")
+    patterns = materialise(patterns.select("pattern").where("pattern <> ''").distinct())
+    # Only a 96-bit hash of the text travels with its tokens; the text is joined back.
+    texts = materialise(
+        texts.select("text")
+        .where("text <> ''")
+        .distinct()
+        .withColumns({"_t1": F.xxhash64("text"), "_t2": F.hash("text")})
+    )
+    is_short = F.size(_tokens("pattern")) <= 2
+    kinds = {r[0] for r in patterns.select(is_short).distinct().collect()}
+    parts = []
+    if True in kinds:
+        parts.append(_short_matches(texts, patterns.where(is_short)))
+    if False in kinds:
+        parts.append(_long_matches(texts, patterns.where(~is_short)))
+    if not parts:
+        return texts.select("text", F.lit("").alias("pattern")).where(F.lit(False))
+    candidates = materialise(reduce(DataFrame.union, parts))
     return (
         skew_join(candidates, texts, ["_t1", "_t2"])
-        .where(F.col("text").contains(F.col("pattern")))
+        .where(F.contains("text", "pattern"))
         .select("text", "pattern")
     )
