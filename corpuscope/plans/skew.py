@@ -40,6 +40,7 @@ def skew_join(
     on: str | Sequence[str],
     how: str = "inner",
     ways: int = WAYS,
+    hot: DataFrame | str | None = "detect",
 ) -> DataFrame:
     """Join ``left`` to ``right`` splitting the hot keys of ``left`` over several tasks.
 
@@ -48,9 +49,11 @@ def skew_join(
     ``how`` is inner, left, left_semi or left_anti.  Rows with a NULL key match
     nothing and are spread when they are many.  Without hot keys this is a plain
     join, which adaptive execution turns into a broadcast when a side is small.
+    Loops pass the result of :func:`hot_keys` as ``hot`` to look for it only once.
     """
     on = [on] if isinstance(on, str) else list(on)
-    hot = hot_keys(left, on, ways)
+    if isinstance(hot, str):
+        hot = hot_keys(left, on, ways)
     if hot is None:
         return left.join(right, on, how)
     any_null = F.lit(False)
