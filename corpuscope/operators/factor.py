@@ -22,6 +22,8 @@ def cross_product(cells: DataFrame, row: str, col: str, value: str) -> DataFrame
     A row has at most MAX_AXIS cells; its pairs are formed in place and summed on
     the map side.
     """
+    if cells.select(col).distinct().limit(MAX_AXIS + 1).count() > MAX_AXIS:
+        raise ValueError(f"a matrix axis holds at most {MAX_AXIS} terms")
     rows = cells.groupBy(row).agg(
         F.array_sort(F.collect_list(F.struct(F.col(col).alias("c"), F.col(value).cast("double").alias("v")))).alias("r")
     )

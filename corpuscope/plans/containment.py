@@ -19,7 +19,7 @@ from .lineage import materialise
 from .skew import skew_join
 
 GRAM_TOKENS = 3
-PREFIX_CHARS = 8
+PREFIX_CHARS = 12
 
 
 def _tokens(name: str) -> Column:

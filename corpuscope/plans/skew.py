@@ -41,6 +41,7 @@ def skew_join(
     how: str = "inner",
     ways: int = WAYS,
     hot: DataFrame | str | None = "detect",
+    either: bool = False,
 ) -> DataFrame:
     """Join ``left`` to ``right`` splitting the hot keys of ``left`` over several tasks.
 
@@ -50,10 +51,16 @@ def skew_join(
     nothing and are spread when they are many.  Without hot keys this is a plain
     join, which adaptive execution turns into a broadcast when a side is small.
     Loops pass the result of :func:`hot_keys` as ``hot`` to look for it only once.
+    With ``either`` an inner join also looks for hot keys on the right and then
+    splits that side.
     """
     on = [on] if isinstance(on, str) else list(on)
     if isinstance(hot, str):
         hot = hot_keys(left, on, ways)
+    if hot is None and either and how == "inner":
+        hot = hot_keys(right, on, ways)
+        if hot is not None:
+            left, right = right, left
     if hot is None:
         return left.join(right, on, how)
     any_null = F.lit(False)
