@@ -333,7 +333,8 @@ def _(spark, sf):
     return K.cluster_documents(c, "author_keywords", brand_clusters(c))
 
 
-@query("cited_sources")
+@query("cited_sources", with_views("placed", "edges") + """
+SELECT DISTINCT citing AS id, 'journal of ' || lower(o_orderpriority) AS term FROM edges JOIN orders ON cited = o_orderkey""")
 def _(spark, sf):
     c = citation_edges(spark, sf).join(table(spark, sf, "orders"), F.col("cited") == F.col("o_orderkey")).groupBy(
         F.col("citing").alias("id")).agg(F.collect_set(F.concat(F.lit("Smith, J. (1999) Journal of "), "o_orderpriority", F.lit(", 12, no. 3, pp. 1-9"))).alias("global_references"))

@@ -353,10 +353,16 @@ def _(spark, sf):
     return TH.find_and_replace(p, "p_name", _word_thesaurus(spark, sf))
 
 
-_CLUSTER = "WITH r AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS term FROM documents), t AS (SELECT trim(term, ' ') AS term, count(DISTINCT doc_id) AS n FROM r WHERE trim(term, ' ') <> '' GROUP BY 1), "
+_CLUSTER = r"""WITH r AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS term FROM documents),
+t AS (SELECT term, count(*) AS n FROM r WHERE term <> '' GROUP BY 1),
+b AS (SELECT term, n, CASE WHEN regexp_matches(term, '^[^\[]*\[[^\]]*\]') THEN trim(regexp_replace(term, '^([^\[]*)\[[^\]]*\]', '\1')) ELSE term END AS a FROM t),
+c AS (SELECT term, n, CASE WHEN regexp_matches(a, '^[^(]*\([^)]*\)') THEN trim(regexp_replace(a, '^([^(]*)\([^)]*\)', '\1')) ELSE a END AS a FROM b),
+"""
 
 
-@query("cluster_terms")
+@query("cluster_terms", _CLUSTER + f"""k AS (SELECT term, n, {_FP.format(c="replace(replace(a, '&', 'and'), ' of ', '')")} AS k FROM c),
+m AS (SELECT k, coalesce(min(term) FILTER (contains(term, '-')), arg_min(term, {{'n': -n, 't': term}})) AS canonical FROM k GROUP BY k)
+SELECT canonical, term AS variant FROM k JOIN m USING (k)""")
 def _(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.split("text", r"\s+").alias("words"))
     return TH.cluster_terms(d, "words", key="fingerprint")

@@ -11,13 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope.plans.lineage import spread
 from corpuscope.plans.running import ordinal
 
 _LISTS = {"authors", "countries", "author_keywords", "index_keywords", "affiliations"}
 
 
+#: Tables of long texts, whose work per row is large.
+_TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, _TEXTS[name]) if name in _TEXTS else df
 
 
 def _first_then_rest(first: Column, names: Column) -> Column:

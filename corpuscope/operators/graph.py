@@ -100,11 +100,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     )
 
 
-def modularity(adj: DataFrame, communities: DataFrame) -> float:
-    """Newman modularity of ``(node, cluster)`` on an adjacency ``(node, other, w)``."""
-    labelled = skew_join(
-        skew_join(adj, communities.toDF("node", "c1"), "node"), communities.toDF("other", "c2"), "other"
-    )
+def _label_ends(adj: DataFrame, communities: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``(node, other, w, c1, c2)``: both ends of a symmetric adjacency with their communities."""
+    other_hot = None if hot is None else hot.withColumnRenamed("node", "other")
+    first = skew_join(adj, communities.toDF("node", "c1"), "node", hot=hot)
+    return skew_join(first, communities.toDF("other", "c2"), "other", hot=other_hot)
+
+
+def modularity(adj: DataFrame, communities: DataFrame, hot: DataFrame | str | None = "detect") -> float:
+    """Newman modularity of ``(node, cluster)`` on a symmetric adjacency ``(node, other, w)``."""
+    if isinstance(hot, str):
+        hot = hot_keys(adj, ["node"])
+    labelled = _label_ends(adj, communities, hot)
     per = labelled.groupBy("c1").agg(
         F.sum("w").alias("tot"), F.sum(F.when(F.col("c1") == F.col("c2"), F.col("w")).otherwise(0.0)).alias("inside")
     )
@@ -115,7 +122,9 @@ def modularity(adj: DataFrame, communities: DataFrame) -> float:
     return float(row["q"] or 0.0)
 
 
-def _moves(adj: DataFrame, comm: DataFrame, side: Column, total: float) -> DataFrame:
+def _moves(
+    adj: DataFrame, comm: DataFrame, side: Column, total: float, hot: DataFrame | None
+) -> DataFrame:
     """Communities after the nodes of one side take their best positive gain.
 
     ``adj`` may hold loops (contracted communities); they count for the degree.
@@ -124,12 +133,17 @@ def _moves(adj: DataFrame, comm: DataFrame, side: Column, total: float) -> DataF
     state = comm.join(degree, "node")
     tot = state.groupBy("cluster").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("members"))
     links = (
-        skew_join(adj.where(side & (F.col("node") != F.col("other"))), comm.toDF("other", "target"), "other")
+        skew_join(
+            adj.where(side & (F.col("node") != F.col("other"))),
+            comm.toDF("other", "target"),
+            "other",
+            hot=None if hot is None else hot.withColumnRenamed("node", "other"),
+        )
         .groupBy("node", "target")
         .agg(F.sum("w").alias("k_in"))
     )
     own = state.join(tot, "cluster").select("node", "cluster", "k", F.col("members").alias("mine"))
-    options = skew_join(links, own, "node").join(
+    options = links.join(own, "node").join(
         tot.select(F.col("cluster").alias("target"), "tot", "members"), "target"
     )
     rest = F.when(F.col("target") == F.col("cluster"), F.col("tot") - F.col("k")).otherwise(F.col("tot"))
@@ -163,11 +177,12 @@ def louvain(edges: DataFrame, rounds: int = 4, levels: int = 3, weighted: bool =
     level_adj = adj
     for _ in range(levels):
         comm = materialise(level_adj.select("node", F.col("node").alias("cluster")).distinct())
-        quality, improved = modularity(level_adj, comm), False
+        hot = hot_keys(level_adj, ["node"])
+        quality, improved = modularity(level_adj, comm, hot), False
         for r in range(2 * rounds):
             side = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-            moved = materialise(_moves(level_adj, comm, side, total))
-            q = modularity(level_adj, moved)
+            moved = materialise(_moves(level_adj, comm, side, total, hot))
+            q = modularity(level_adj, moved, hot)
             if q > quality + 1e-9:
                 comm, quality, improved = moved, q, True
             elif r % 2:
@@ -180,7 +195,7 @@ def louvain(edges: DataFrame, rounds: int = 4, levels: int = 3, weighted: bool =
             )
         )
         level_adj = materialise(
-            skew_join(skew_join(level_adj, comm.toDF("node", "c1"), "node"), comm.toDF("other", "c2"), "other")
+            _label_ends(level_adj, comm, hot)
             .groupBy("c1", "c2")
             .agg(F.sum("w").alias("w"))
             .toDF("node", "other", "w")

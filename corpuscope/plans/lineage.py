@@ -49,3 +49,13 @@ def materialise(df: DataFrame) -> DataFrame:
 def is_empty(df: DataFrame) -> bool:
     """True when ``df`` has no rows; stops at the first one."""
     return not df.take(1)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition by ``keys`` when the files give fewer tasks than there are cores.
+
+    Small inputs in one file would otherwise be read by one task; a large input
+    has more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
