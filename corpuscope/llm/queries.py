@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .line_dedup import drop_lines, keep_bitmaps
 from .mixing import mix_sources
 from .packing import pack
+from .suffix_dedup import remove_repeats
 from .storage import read_table
 
 QUERIES = {}
@@ -104,3 +106,49 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality_weights(docs.select("doc_id", "text", "source"), read_table(spark, sf_dir, "labels"))
     mixed = mix_sources(docs, quality=F.col("quality_weight"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-byte strings that start in an earlier document."""
+    found = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+LINES_SQL = """
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (
+  SELECT doc_id, i, ls[i] AS line,
+         translate(regexp_replace(regexp_replace(ls[i], '^[\x20\x09-\x0D]+', ''),
+                                  '[\x20\x09-\x0D]+$', ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)),
+common AS (
+  SELECT key, max(doc_id) AS owner FROM lines WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (
+  SELECT l.*, c.owner IS NULL OR c.owner = l.doc_id AS stays
+  FROM lines l LEFT JOIN common c ON c.key = l.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query("op8_line_dedup", LINES_SQL)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that at least five of them hold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    cut = drop_lines(docs.withColumn("n_lines", n_lines.cast("bigint")), keep_bitmaps(docs))
+    return cut.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
