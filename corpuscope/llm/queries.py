@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .line_dedup import drop_lines, keep_bitmaps
 from .mixing import mix_sources
+from .ngram_join import similar_groups
 from .packing import pack
 from .suffix_dedup import remove_repeats
 from .storage import read_table
@@ -152,3 +153,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
+
+
+@query("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with a Jaccard similarity of 4-word shingles of at least 0.85."""
+    docs = read_table(spark, sf_dir, "documents")
+    return similar_groups(docs, size=4, threshold=(85, 100))
