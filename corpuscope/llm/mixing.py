@@ -79,6 +79,7 @@ def targets(
 def mix_sources(
     docs: DataFrame,
     quality: Column | None = None,
+    size: Column | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -91,7 +92,8 @@ def mix_sources(
     Returns ``doc_id``, ``source``, ``size`` (words of the text), ``source_size``,
     ``target`` (of the source) and ``taken`` (words, repeats counted): a multiple of
     ``size`` up to ``most_epochs``.  ``quality`` is a positive weight per row; null,
-    zero, negative and not-a-number weights count as 1.
+    zero, negative and not-a-number weights count as 1.  ``size`` replaces the count
+    of words of ``text_col`` where it is known already.
 
     Null texts have no words and are taken as they are (``taken`` is 0).  Null
     sources form one source.  Repeated rows are sampled each, in an order that does
@@ -107,7 +109,7 @@ def mix_sources(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
+            (word_count(F.col(text_col)) if size is None else size).cast("bigint").alias("size"),
             key.alias("_key"),
         )
     )

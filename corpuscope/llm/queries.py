@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import drop_lines, keep_bitmaps
-from .mixing import mix_sources
+from .mixing import mix_sources, word_count
 from .ngram_join import similar_groups
 from .packing import pack
 from .suffix_dedup import remove_repeats
@@ -104,8 +104,9 @@ FROM ordered
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document in a mix of the sources by weight."""
     docs = read_table(spark, sf_dir, "documents")
-    docs = quality_weights(docs.select("doc_id", "text", "source"), read_table(spark, sf_dir, "labels"))
-    mixed = mix_sources(docs, quality=F.col("quality_weight"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rated = quality_weights(sized, read_table(spark, sf_dir, "labels"))
+    mixed = mix_sources(rated, quality=F.col("quality_weight"), size=F.col("size"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
