@@ -10,6 +10,7 @@ from .mixing import mix_sources, word_count
 from .ngram_join import similar_groups
 from .packing import pack
 from .suffix_dedup import remove_repeats
+from .pii import KINDS, pseudonymise
 from .storage import read_table
 
 QUERIES = {}
@@ -161,3 +162,16 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with a Jaccard similarity of 4-word shingles of at least 0.85."""
     docs = read_table(spark, sf_dir, "documents")
     return similar_groups(docs, size=4, threshold=(85, 100))
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms in place of personal data, and counts by kind."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = pseudonymise(docs, key="corpus")
+    kinds = F.col("found.kind")
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("bigint").alias(f"n_{kind}")
+        for kind in KINDS
+    ]
+    return marked.select("doc_id", "text", *counts)
