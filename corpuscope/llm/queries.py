@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language, toxicity
 from .line_dedup import drop_lines, keep_bitmaps
 from .mixing import mix_sources, word_count
 from .ngram_join import similar_groups
@@ -175,3 +176,36 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         for kind in KINDS
     ]
     return marked.select("doc_id", "text", *counts)
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labelled ones outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels")
+    held_out = toxicity.bucket_of(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, labels.where(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        F.col("evidence.doc_id").alias("evidence"),
+    )
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those outside the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = toxicity.bucket_of(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.where(~held_out))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("nearest_lang").alias("lang_pred"),
+        F.col("lang_score").alias("score"),
+        F.col("lang_rejected").alias("rejected"),
+    )
