@@ -139,7 +139,8 @@ def drop_lines(
         F.col("keep").alias("_llm_keep"),
     )
     plain = docs.drop("n_dropped")
-    joined = plain.join(marks, F.col(id_col).cast("bigint") == F.col("_llm_id"), "left")
+    # Texts are dealt at every size of the bitmaps, which grow with them.
+    joined = plain.join(marks.hint("merge"), F.col(id_col).cast("bigint") == F.col("_llm_id"), "left")
 
     @F.pandas_udf("string")
     def kept(text, bits):
