@@ -387,7 +387,7 @@ def similar_groups(
     )
     clustered = clusters.join(sizes, "component")
     members = stored(
-        chosen.dropDuplicates(["doc_id"]).join(clustered, F.col("doc_id") == F.col("node"))
+        chosen.join(clustered.hint("merge"), F.col("doc_id") == F.col("node"))
         .select("doc_id", "text", F.col("component").alias("cluster"), "parts")
         .mapInArrow(shingled, "doc_id bigint, cluster bigint, parts bigint, shingles binary")
     )

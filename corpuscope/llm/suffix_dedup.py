@@ -343,7 +343,7 @@ def repeated_runs(
     verdicts = deal(runs.mapInArrow(judged, SCHEMA), "bucket")
     first = stored(verdicts.mapInArrow(gathered, PER_DOC))
     leaders = first.where(F.octet_length("leaders") > 0).select("doc_id", "leaders", "leader_keys")
-    contexts = chosen.join(leaders, "doc_id").mapInArrow(
+    contexts = chosen.join(leaders.hint("merge"), "doc_id").mapInArrow(
         fetched, "bucket int, key binary, doc binary, start binary, count binary, raw binary"
     )
     found = deal(contexts, "bucket").mapInArrow(sorted_windows, SCHEMA)
@@ -399,7 +399,7 @@ def remove_repeats(
     runs = repeated_runs(docs, id_col, text_col, window, gram).withColumnRenamed("doc_id", "_run_id")
     joined = (
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-        .join(runs, F.col("doc_id") == F.col("_run_id"), "left")
+        .join(runs.hint("merge"), F.col("doc_id") == F.col("_run_id"), "left")
         .select("doc_id", "text", "removed", "refined")
     )
 

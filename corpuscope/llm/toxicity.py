@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over four-byte strings (A-Z in lower case, everything but
-letters as one blank).  The strings in use are those that tell toxic from clean
-examples by a chi-square test.  The examples stand in an inverted index in blocks,
+Texts are TF-IDF vectors over words and the beginnings of words (four to eight bytes;
+words are runs of letters, A-Z in lower case), so that a stem is seen under any
+ending.  The terms in use are those that tell toxic from clean examples by a
+chi-square test.  The examples stand in an inverted index in blocks,
 with the largest weight of every string in each block.  A text's similarity to a
 block's members is at most the product of its vector with those maxima, so blocks are
 read in order of that bound until it cannot beat the k-th best cosine: the neighbours
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import LOWER, slices, texts
+from .kernels import LOWER, mix, range_hashes, runs, slices, texts
 from .packed import changes
 from .storage import stored
 
@@ -37,50 +38,39 @@ _LETTERS[ord("a") : ord("z") + 1] = True
 _LETTERS[128:] = True
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the four-byte strings of each text and the row of each.
-
-    Every text is framed by blanks; strings with two blanks in a row are left out.
-    """
-    rows = len(offsets) - 1
-    lengths = np.diff(offsets)
-    framed = np.full(len(data) + rows + 1, 0x20, dtype=np.uint8)
+def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text and of their beginnings, and the row of each."""
     low = LOWER[data]
-    framed[np.arange(len(data)) + np.repeat(np.arange(rows), lengths) + 1] = np.where(
-        _LETTERS[low], low, 0x20
-    )
-    if len(framed) < 4:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    codes = framed[:-3].astype(np.uint32)
-    for i in (1, 2, 3):
-        codes = codes << np.uint32(8) | framed[i : len(framed) - 3 + i]
-    blank = framed == 0x20
-    double = blank[:-1] & blank[1:]
-    good = ~(double[:-2] | double[1:-1] | double[2:])
-    # A string of two texts has the blank between them inside.
-    edges = offsets + np.arange(rows + 1)
-    for inside in (1, 2):
-        at = edges - inside
-        good[at[(at >= 0) & (at < len(good))]] = False
-    at = np.flatnonzero(good)
-    return codes[at], np.searchsorted(edges, at, side="right") - 1
+    starts, ends = runs(_LETTERS[low], offsets)
+    rows = np.searchsorted(offsets, starts, side="right") - 1
+    if not len(starts):
+        return np.zeros(0, np.uint64), rows
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    first = np.lib.stride_tricks.sliding_window_view(padded, 8)[starts].view("<u8")[:, 0]
+    codes, of = [range_hashes(low, starts, ends)], [rows]
+    for length in range(4, 9):
+        long = np.flatnonzero(ends - starts >= length)
+        head = first[long] & np.uint64((1 << 8 * length) - 1)
+        codes.append(mix(mix(head) + np.uint64(length)))
+        of.append(rows[long])
+    return np.concatenate(codes), np.concatenate(of)
 
 
 class Terms:
-    """Chosen strings, found fast."""
+    """Chosen terms, found fast."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = np.sort(codes.astype(np.uint32))
-        self.maybe = np.zeros(1 << 18, dtype=bool)
+        self.codes = np.sort(codes.astype(np.uint64))
+        self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[self._slot(self.codes)] = True
 
     @staticmethod
     def _slot(codes: np.ndarray) -> np.ndarray:
-        return (codes * np.uint32(2654435761)) >> np.uint32(14)
+        return codes >> np.uint64(44)
 
     def counts(self, data: np.ndarray, offsets: np.ndarray):
         """Row, term and count of the terms in each text."""
-        codes, rows = _grams(data, offsets)
+        codes, rows = _codes(data, offsets)
         some = self.maybe[self._slot(codes)]
         codes, rows = codes[some], rows[some]
         at = np.searchsorted(self.codes, codes)
@@ -231,7 +221,7 @@ def fit(
             label = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = texts(batch.column(1))
             for lo, hi in slices(offsets):
-                codes, rows = _grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                codes, rows = _codes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 order = np.lexsort((rows, codes))
                 codes, rows = codes[order], rows[order]
                 once = changes(codes, rows)
@@ -242,7 +232,7 @@ def fit(
                 total = np.diff(np.append(at, len(codes)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(codes[at].astype(np.int64)),
+                        pa.array(codes[at].view(np.int64)),
                         pa.array(np.add.reduceat(toxic, at)),
                         pa.array(total),
                     ],
@@ -264,14 +254,14 @@ def fit(
         .mapInArrow(frequencies, "code bigint, toxic bigint, total bigint")
         .groupBy("code")
         .agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
-        .where((a >= 3) & (a > 2 * expected))
+        .where((a >= 5) & (a > 3 * expected))
         .withColumn("chi", chi)
-        .where("chi >= 15")
+        .where("chi >= 40")
         .orderBy(F.desc("chi"), "code")
         .limit(max_terms)
         .collect()
     )
-    codes = np.array([r["code"] for r in terms], dtype=np.uint32)
+    codes = np.array([r["code"] for r in terms], dtype=np.int64).view(np.uint64)
     df = np.array([r["total"] for r in terms], dtype=float)[np.argsort(codes)]
     model = Neighbours(Terms(codes), np.log((1 + n) / (1 + df)) + 1e-3, k)
     chosen_terms = model.terms
