@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, toxicity
+from .edit_fingerprints import compare_with_next
 from .line_dedup import drop_lines, keep_bitmaps
 from .mixing import mix_sources, word_count
 from .ngram_join import similar_groups
 from .packing import pack
 from .suffix_dedup import remove_repeats
+from .topk import top_k
 from .pii import KINDS, pseudonymise
 from .storage import read_table
 
@@ -209,3 +211,33 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang_score").alias("score"),
         F.col("lang_rejected").alias("rejected"),
     )
+
+
+@query("op2_edit_fingerprints")
+def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how near they are."""
+    return compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
+TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % 20 = 0)
+SELECT query_id,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+
+@query("op5_top_k", TOP_SQL)
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector with all others."""
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
