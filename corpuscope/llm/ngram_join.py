@@ -26,12 +26,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import mix, scaled, shingles, slices, texts, words
-from .packed import changes, narrow, planes, from_planes, widen
+from .kernels import mix, narrow, scaled, shingles, slices, texts, widen, words
+from .packed import changes, doc_buckets, from_planes, planes
 from .storage import deal, is_empty, partitions, stored
 
 _U = np.uint64
@@ -250,7 +251,6 @@ def similar_groups(
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in SIGNED.split(", ")]
         seen: set[bytes] = set()
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -288,50 +288,88 @@ def similar_groups(
                         rows.append(
                             (bucket, None, None, None, None, base, b - a, packed, planes(key[a:b]))
                         )
-            kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary(), pa.binary()]
             for i in range(0, len(rows), 5000):
                 values = zip(*rows[i : i + 5000], strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names
+                    [pa.array(v, k) for v, k in zip(values, signed_kinds, strict=True)],
+                    signed_names,
                 )
 
-    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in CANDIDATES.split(", ")]
+    signed_names = [x.split()[0] for x in SIGNED.split(", ")]
+    signed_kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary(), pa.binary()]
+
+    def split(batches: Iterator[pa.RecordBatch]):
+        """Node rows as they are, then the packed records of the partition."""
         keys, owners = [], []
         for batch in batches:
             table = pa.Table.from_batches([batch])
             packed = pa.compute.greater(table["count"], 0)
-            nodes = table.filter(pa.compute.invert(packed))
-            if nodes.num_rows:
-                plain = nodes.select(["doc_id", "n", "hi", "lo"])
-                plain = plain.append_column("other", pa.nulls(nodes.num_rows, pa.int64()))
-                yield from plain.to_batches()
+            yield from table.filter(pa.compute.invert(packed)).to_batches()
             for row in table.filter(packed).to_pylist():
                 owners.append(widen(row["base"], row["docs"], row["count"]))
                 keys.append(from_planes(row["keys"], "<u8"))
-        if not keys:
-            return
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        keys, owners = [], []
-        order = np.argsort(key)
-        new = changes(key[order])
-        many = order[~(new & np.append(new[1:], True))]
-        key, owner = key[many], owner[many]
-        if not len(key):
-            return
-        at = np.flatnonzero(changes(key))
-        least = np.minimum.reduceat(owner, at)[np.cumsum(changes(key)) - 1]
-        apart = owner != least
-        pairs = np.stack([owner[apart], least[apart]], axis=1)
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        pairs = pairs[order]
-        pairs = pairs[changes(pairs[:, 0], pairs[:, 1])]
-        for i in range(0, len(pairs), 50_000):
-            some = pairs[i : i + 50_000]
-            none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some[:, 0].copy()), none, none, none, pa.array(some[:, 1].copy())], names
-            )
+        if keys:
+            yield np.concatenate(keys), np.concatenate(owners)
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in split(batches):
+            if isinstance(part, pa.RecordBatch):
+                yield part
+                continue
+            key, owner = part
+            order = np.argsort(key)
+            new = changes(key[order])
+            many = order[~(new & np.append(new[1:], True))]
+            key, owner = key[many], owner[many]
+            if not len(key):
+                return
+            least = np.minimum.reduceat(owner, np.flatnonzero(changes(key)))
+            least = least[np.cumsum(changes(key)) - 1]
+            apart = owner != least
+            docs, place = np.unique(np.concatenate([owner[apart], least[apart]]), return_inverse=True)
+            pairs = np.unique(np.stack(np.split(place, 2), axis=1), axis=0)
+            # What hangs together in this partition is linked to its smallest document.
+            forest = _Forest(len(docs))
+            for i, j in pairs.tolist():
+                forest.join(i, j)
+            root = np.array([forest.root(i) for i in range(len(docs))], dtype=np.int64)
+            linked = np.flatnonzero(root != np.arange(len(docs)))
+            a, b = docs[linked], docs[root[linked]]
+            bucket = doc_buckets(a, parts)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+            rows = []
+            for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
+                some = order[lo:hi]
+                base, packed = narrow(a[some])
+                keys = planes(b[some].astype("<u8"))
+                rows.append(
+                    (int(bucket[some[0]]), None, None, None, None, base, len(some), packed, keys)
+                )
+            for i in range(0, len(rows), 500):
+                values = zip(*rows[i : i + 500], strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, k) for v, k in zip(values, signed_kinds, strict=True)], signed_names
+                )
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in CANDIDATES.split(", ")]
+        for part in split(batches):
+            if isinstance(part, pa.RecordBatch):
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(n) for n in names[:4]), none], names
+                )
+                continue
+            b, a = part
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order].astype(np.int64)
+            once = changes(a, b)
+            a, b = a[once], b[once]
+            for i in range(0, len(a), 50_000):
+                none = pa.nulls(len(a[i : i + 50_000]), pa.int64())
+                ends = pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])
+                yield pa.RecordBatch.from_arrays([ends[0], none, none, none, ends[1]], names)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,7 +389,9 @@ def similar_groups(
                     ["doc_id", "cluster", "parts", "shingles"],
                 )
 
-    table = stored(deal(chosen.mapInArrow(signed, SIGNED), "bucket").mapInArrow(matched, CANDIDATES))
+    signatures = deal(chosen.mapInArrow(signed, SIGNED), "bucket")
+    matches = deal(signatures.mapInArrow(matched, SIGNED), "bucket")
+    table = stored(matches.mapInArrow(gathered, CANDIDATES))
     nodes = table.where("other IS NULL").select("doc_id", "n", "hi", "lo")
     # Equal sets: the smallest id stands for them.
     equal = (
