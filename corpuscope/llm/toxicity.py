@@ -3,7 +3,7 @@
 Texts are TF-IDF vectors over words and the beginnings of words (four to eight bytes;
 words are runs of letters, A-Z in lower case), so that a stem is seen under any
 ending.  The terms in use are those that tell toxic from clean examples by a
-chi-square test.  The examples stand in an inverted index in blocks,
+chi-square test (at least 40) and at least triple the odds.  The examples stand in an inverted index in blocks,
 with the largest weight of every string in each block.  A text's similarity to a
 block's members is at most the product of its vector with those maxima, so blocks are
 read in order of that bound until it cannot beat the k-th best cosine: the neighbours
@@ -254,7 +254,7 @@ def fit(
         .mapInArrow(frequencies, "code bigint, toxic bigint, total bigint")
         .groupBy("code")
         .agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
-        .where((a >= 5) & (a > 3 * expected))
+        .where((a >= 5) & (a * (n - t) > 3 * (total - a) * t))
         .withColumn("chi", chi)
         .where("chi >= 40")
         .orderBy(F.desc("chi"), "code")
