@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from catalog import all_queries  # noqa: E402
+from corpuscope.plans.lineage import ensure_shared_dir  # noqa: E402
 
 HEADLINES = [
     "term_analysis",
@@ -55,6 +56,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_shared_dir(spark)
     queries = all_queries()
     times = {}
     for name in HEADLINES:

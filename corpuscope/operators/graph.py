@@ -6,6 +6,8 @@ costs one round.  The adjacency is written once, with the hot nodes found once.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +24,26 @@ def _adjacency(edges: DataFrame, weighted: bool) -> DataFrame:
     return one.select("a", "b", "w").union(one.select("b", "a", "w")).toDF("node", "other", "w")
 
 
-def label_propagation(edges: DataFrame, max_iter: int = 10, weighted: bool = False) -> DataFrame:
+def label_propagation(
+    edges: DataFrame, max_iter: int | None = None, weighted: bool = False
+) -> DataFrame:
     """``(node, cluster)``: each node takes the commonest label of its neighbours.
 
     Half of the nodes, by hash, move in each round, so that labels settle; ties
-    keep the present label, then take the smallest.
+    keep the present label, then take the smallest.  Ends when no node of either half
+    moves, or when the weight between nodes of one label has not grown for two passes
+    over both halves (nodes that only swap labels).  More than ``max_iter`` passes raise.
     """
     adj = materialise(_adjacency(edges, weighted))
     hot = hot_keys(adj, ["other"])
+    hot_nodes = None if hot is None else hot.withColumnRenamed("other", "node")
     labels = materialise(adj.select("node", F.col("node").alias("cluster")).distinct())
-    still = 0
-    for r in range(2 * max_iter):
-        side = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
+    still, best_weight, stale = False, -1.0, 0
+    for r in count():
+        if max_iter is not None and r >= 2 * max_iter:
+            raise RuntimeError(f"labels have not settled in {max_iter} passes")
+        # Another split in every pass, or neighbours of one half could swap for ever.
+        side = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
         votes = (
             skew_join(adj.where(side), labels.toDF("other", "label"), "other", hot=hot)
             .groupBy("node", "label")
@@ -57,17 +67,27 @@ def label_propagation(edges: DataFrame, max_iter: int = 10, weighted: bool = Fal
             )
         )
         labels = moved.select("node", "cluster")
-        still = still + 1 if is_empty(moved.where("_moved")) else 0
-        if still == 2:
+        at_rest = is_empty(moved.where("_moved"))
+        still = at_rest if r % 2 == 0 else still and at_rest
+        if r % 2 and still:
             break
+        if r % 2:
+            # Every step but simultaneous swaps raises this sum, so it ends the loop.
+            ends = skew_join(adj, labels.toDF("node", "_l"), "node", hot=hot_nodes)
+            ends = skew_join(ends, labels.toDF("other", "_m"), "other", hot=hot)
+            inside = float(ends.where("_l = _m").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0])
+            stale = 0 if inside > best_weight + 1e-9 else stale + 1
+            best_weight = max(best_weight, inside)
+            if stale == 2:
+                break
     return labels
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, cluster)``: the smallest node reachable from each node.
 
-    Alternates large-star and small-star steps, which need a number of rounds
-    logarithmic in the size of the graph.
+    Alternates large-star and small-star steps until nothing changes, which takes a
+    number of rounds logarithmic in the size of the graph.
     """
     links = materialise(
         edges.where("t1 <> t2").select(
@@ -77,7 +97,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     everything = materialise(
         edges.select(F.explode(F.array("t1", "t2")).alias("node")).distinct()
     )
-    for _ in range(max_rounds):
+    while True:
         both = links.union(links.select("v", "u"))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = skew_join(both, lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -164,10 +184,11 @@ def _moves(
     return comm.join(best, "node", "left").select("node", F.coalesce("_new", "cluster").alias("cluster"))
 
 
-def louvain(edges: DataFrame, rounds: int = 4, levels: int = 3, weighted: bool = True) -> DataFrame:
+def louvain(edges: DataFrame, weighted: bool = True) -> DataFrame:
     """``(node, cluster)`` by parallel local moves of modularity gain, then contraction.
 
-    A round is kept only when modularity rises, so it never falls.
+    A round is kept only when modularity rises, so it never falls.  A level ends when a
+    pass over both halves of the nodes brings no rise, the whole when a level does.
     """
     adj = materialise(_adjacency(edges, weighted))
     total = adj.agg(F.sum("w")).first()[0]
@@ -175,17 +196,19 @@ def louvain(edges: DataFrame, rounds: int = 4, levels: int = 3, weighted: bool =
     if not total:
         return members
     level_adj = adj
-    for _ in range(levels):
+    while True:
         comm = materialise(level_adj.select("node", F.col("node").alias("cluster")).distinct())
         hot = hot_keys(level_adj, ["node"])
-        quality, improved = modularity(level_adj, comm, hot), False
-        for r in range(2 * rounds):
+        quality, improved, still = modularity(level_adj, comm, hot), False, 0
+        for r in count():
             side = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
             moved = materialise(_moves(level_adj, comm, side, total, hot))
             q = modularity(level_adj, moved, hot)
             if q > quality + 1e-9:
-                comm, quality, improved = moved, q, True
-            elif r % 2:
+                comm, quality, improved, still = moved, q, True, 0
+            else:
+                still += 1
+            if still == 2:
                 break
         if not improved:
             break
@@ -217,14 +240,21 @@ def citation_communities(
 COUNT = "decimal(38,0)"
 
 
+def _exact_sum(value: str) -> Column:
+    """Sum of whole numbers, null where it or a part of it has more than 38 digits."""
+    return F.when(F.count(value) == F.count(F.lit(1)), F.try_sum(value)).cast(COUNT)
+
+
 def _dag_pass(edges: DataFrame, longest: bool) -> DataFrame:
-    """``(dir, node, value)`` for both directions of a DAG ``(src, dst[, w])``, level by level.
+    """``(dir, node, value, approx)`` for both directions of a DAG ``(src, dst[, w])``.
 
     ``dir`` f runs from the sources, b from the sinks.  The value is the number
-    of paths, or with ``longest`` the largest sum of ``w`` on a path.  A node is
-    handled once all its predecessors are, so each link is read once; nodes that
-    never become ready lie on a cycle.
+    of paths, or with ``longest`` the largest sum of ``w`` on a path.  Numbers of paths
+    are exact up to 38 digits and null beyond; ``approx`` holds them as doubles.  A node
+    is handled once all its predecessors are, level by level, so each link is read once;
+    nodes that never become ready lie on a cycle.
     """
+    kind = edges.schema["w"].dataType.simpleString() if longest else COUNT
     w = F.col("w") if longest else F.lit(0).cast(COUNT)
     both = edges.select(
         F.explode(
@@ -238,27 +268,33 @@ def _dag_pass(edges: DataFrame, longest: bool) -> DataFrame:
     both = materialise(both)
     hot = hot_keys(both, ["dir", "a"])
     indegree = materialise(both.groupBy("dir", F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("need")))
-    nodes = both.select("dir", F.col("a").alias("node")).union(both.select("dir", "b")).distinct()
-    start = F.lit(0 if longest else 1).cast(COUNT)
-    frontier = materialise(nodes.join(indegree, ["dir", "node"], "left_anti").withColumn("value", start))
-    done, pending = [frontier], None
+    nodes = materialise(both.select("dir", F.col("a").alias("node")).union(both.select("dir", "b")).distinct())
+    start = 0 if longest else 1
+    frontier = materialise(
+        nodes.join(indegree, ["dir", "node"], "left_anti")
+        .withColumn("value", F.lit(start).cast(kind))
+        .withColumn("approx", F.lit(float(start)))
+    )
+    done, pending, handled = [frontier], None, 0
     while not is_empty(frontier):
         reached = skew_join(both, frontier.withColumnRenamed("node", "a"), ["dir", "a"], hot=hot)
-        value = F.col("value") + F.col("w") if longest else F.col("value")
-        arrived = reached.select("dir", F.col("b").alias("node"), value.cast(COUNT).alias("value"), F.lit(1).alias("seen"))
+        value = (F.col("value") + F.col("w")).cast(kind) if longest else F.col("value")
+        arrived = reached.select(
+            "dir", F.col("b").alias("node"), value.alias("value"), "approx", F.lit(1).alias("seen")
+        )
         if pending is not None:
             arrived = arrived.union(pending)
-        combine = F.max("value") if longest else F.sum("value")
+        combine = F.max("value") if longest else _exact_sum("value")
         summed = arrived.groupBy("dir", "node").agg(
-            combine.cast(COUNT).alias("value"), F.sum("seen").cast("int").alias("seen")
+            combine.alias("value"), F.sum("approx").alias("approx"), F.sum("seen").cast("int").alias("seen")
         )
         state = materialise(
             summed.join(indegree, ["dir", "node"]).select(
-                "dir", "node", "value", "seen", (F.col("seen") == F.col("need")).alias("ready")
+                "dir", "node", "value", "approx", "seen", (F.col("seen") == F.col("need")).alias("ready")
             )
         )
-        frontier = state.where("ready").select("dir", "node", "value")
-        pending = state.where("NOT ready").select("dir", "node", "value", "seen")
+        frontier = state.where("ready").select("dir", "node", "value", "approx")
+        pending = state.where("NOT ready").select("dir", "node", "value", "approx", "seen")
         done.append(frontier)
     table = done[0]
     for part in done[1:]:
@@ -270,15 +306,25 @@ def _dag_pass(edges: DataFrame, longest: bool) -> DataFrame:
 
 
 def _side(values: DataFrame, direction: str, key: str, name: str) -> DataFrame:
-    return values.where(F.col("dir") == direction).select(F.col("node").alias(key), F.col("value").alias(name))
+    return values.where(F.col("dir") == direction).select(
+        F.col("node").alias(key), F.col("value").alias(name), F.col("approx").alias(f"{name}_approx")
+    )
 
 
-def path_counts(edges: DataFrame) -> DataFrame:
-    """``(src, dst, count)``: source-to-sink paths through each link of a DAG."""
+def path_counts(edges: DataFrame, approximate: bool = False) -> DataFrame:
+    """``(src, dst, count)``: source-to-sink paths through each link of a DAG.
+
+    Counts are exact up to 38 digits and null beyond.  ``approximate`` adds them as
+    doubles in ``approx``.
+    """
     links = materialise(edges.select("src", "dst").distinct())
     values = _dag_pass(links, longest=False)
     counted = skew_join(skew_join(links, _side(values, "f", "src", "_f"), "src"), _side(values, "b", "dst", "_b"), "dst")
-    return counted.select("src", "dst", (F.col("_f") * F.col("_b")).cast(COUNT).alias("count"))
+    exact = F.try_multiply("_f", "_b").cast(COUNT)
+    columns = ["src", "dst", exact.alias("count")]
+    if approximate:
+        columns.append((F.col("_f_approx") * F.col("_b_approx")).alias("approx"))
+    return counted.select(*columns)
 
 
 def main_path(edges: DataFrame) -> DataFrame:
@@ -286,17 +332,26 @@ def main_path(edges: DataFrame) -> DataFrame:
 
     Links run from cited to citing.  Kept are the links of the best path (largest
     sum of link counts) through each link of largest count, and of the best paths.
+    Where counts have more than 38 digits, all are compared, and given, as doubles.
     """
-    links = materialise(path_counts(edges))
-    values = _dag_pass(links.select("src", "dst", F.col("count").alias("w")), longest=True)
+    counted = materialise(path_counts(edges, approximate=True))
+    exact = is_empty(counted.where(F.col("count").isNull() | (F.col("approx") > 1e36)))
+    links = counted.select("src", "dst", F.col("count") if exact else F.col("approx").alias("count"))
+    values = _dag_pass(links.select("src", "dst", F.col("count").alias("w")), longest=True).drop("approx")
+    values = values.withColumn("approx", F.lit(None).cast("double"))
     scored = links
     for direction in ("f", "b"):
         for key in ("src", "dst"):
-            scored = skew_join(scored, _side(values, direction, key, f"{direction}_{key}"), key)
+            side = _side(values, direction, key, f"{direction}_{key}").drop(f"{direction}_{key}_approx")
+            scored = skew_join(scored, side, key)
     scored = materialise(scored.withColumn("through", F.col("f_src") + F.col("count") + F.col("b_dst")))
     top = scored.agg(F.max("count").alias("c"), F.max("through").alias("t")).first()
-    chosen = scored.where((F.col("count") == top["c"]) | (F.col("through") == top["t"]))
-    chosen = chosen.select("src", "dst", "count")
+    if top["c"] is None:
+        return links
+    # Sums of doubles along one path may differ in the last digits.
+    slack = 1 if exact else 1 - 1e-12
+    best = (F.col("count") >= F.lit(top["c"]) * slack) | (F.col("through") >= F.lit(top["t"]) * slack)
+    chosen = scored.where(best).select("src", "dst", "count")
     # Follow tight links back from the starts and forward from the ends of the chosen ones.
     tight = materialise(
         scored.where(F.col("f_src") + F.col("count") == F.col("f_dst"))

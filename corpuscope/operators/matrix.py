@@ -30,7 +30,8 @@ def tf(
     max_occ: int | None = None,
 ) -> DataFrame:
     """``(id, term, tf)``; scheme is raw, binary or log (``ln(1 + tf)``)."""
-    counts = doc_terms(df, col).groupBy("id", "term").agg(n_rows().alias("tf"))
+    # The items of a document are distinct, so each counts once.
+    counts = doc_terms(df, col).select("id", "term", F.lit(1).cast("bigint").alias("tf"))
     if min_occ > 1 or max_occ is not None:
         kept = occurrence_bounds(
             counts.groupBy("term").agg(n_rows().alias("num_documents")), min_occ, max_occ
@@ -50,9 +51,9 @@ def tfidf(
     use_idf: bool = True,
     smooth_idf: bool = True,
     sublinear_tf: bool = False,
-    max_items: int = 3000,
+    max_items: int | None = None,
 ) -> DataFrame:
-    """``(id, term, tfidf)`` of the ``max_items`` terms with the largest total weight.
+    """``(id, term, tfidf)`` of all terms, or the ``max_items`` with the largest total weight.
 
     Weights are normalised per document over all terms, before terms are chosen.
     """
@@ -71,13 +72,15 @@ def tfidf(
     elif norm == "l1":
         table = table.withColumn("_w", F.col("_w") / F.sum(F.abs("_w")).over(doc))
     table = table.select("id", "term", F.col("_w").alias("tfidf"))
+    if max_items is None:
+        return table
     top = (
         table.groupBy("term")
         .agg(F.sum("tfidf").alias("_total"))
         .orderBy(F.round("_total", 9).desc(), "term")
-        .limit(check_axis(max_items))
+        .limit(max_items)
     )
-    return table.join(F.broadcast(top.select("term")), "term", "left_semi")
+    return table.join(top.select("term"), "term", "left_semi")
 
 
 def tfidf_ranking(matrix: DataFrame, max_items: int = 50) -> DataFrame:
@@ -86,14 +89,15 @@ def tfidf_ranking(matrix: DataFrame, max_items: int = 50) -> DataFrame:
         matrix.groupBy("term")
         .agg(F.sum("tfidf").alias("tfidf"))
         .orderBy(F.round("tfidf", 9).desc(), "term")
-        .limit(check_axis(max_items))
+        .limit(max_items)
     )
 
 
 def kept_lists(df: DataFrame, col: str, axis: DataFrame) -> DataFrame:
     """``(id, terms)``: the sorted terms of each document that are on the axis."""
-    names = axis.agg(F.sort_array(F.collect_list("term"))).scalar()
-    kept = F.sort_array(F.array_intersect(items(df, col), names))
+    # At most MAX_AXIS literals, looked up in one set.
+    names = [r["term"] for r in axis.select("term").collect()]
+    kept = F.sort_array(F.filter(items(df, col), lambda t: t.isin(names)))
     return df.select("id", kept.alias("terms")).where(F.size("terms") > 0)
 
 
@@ -161,9 +165,18 @@ def bigraph(
     """
     if col == by:
         raise ValueError("the two columns have to differ")
-    wide = 3000 if top_data else None
-    a = kept_lists(df, col, kept_terms(df, col, wide or max_items, top_by, min_occ))
-    b = kept_lists(df, by, kept_terms(df, by, wide or max_items_by, top_by, min_occ_by))
+    if top_data:
+        check_axis(max_items), check_axis(max_items_by)
+        rows = _largest_totals(df, col, by, max_items, min_occ, min_occ_by)
+        a = kept_lists(df, col, rows)
+        columns = _largest_totals(
+            df.join(a.withColumnRenamed("terms", "_rows"), "id"), by, "_rows", max_items_by, min_occ_by, 1,
+            counters=term_counters(df, by),
+        )
+        b = kept_lists(df, by, columns)
+    else:
+        a = kept_lists(df, col, kept_terms(df, col, max_items, top_by, min_occ))
+        b = kept_lists(df, by, kept_terms(df, by, max_items_by, top_by, min_occ_by))
     cells = (
         a.join(b.withColumnRenamed("terms", "_by"), "id")
         .select(F.explode("terms").alias("term"), "_by")
@@ -171,7 +184,36 @@ def bigraph(
         .groupBy("term", "by")
         .agg(n_rows().alias("n"))
     )
-    return top_axes(cells, max_items, max_items_by) if top_data else cells
+    return cells
+
+
+def _largest_totals(
+    df: DataFrame,
+    col: str,
+    by: str,
+    k: int,
+    min_occ: int,
+    min_occ_by: int,
+    counters: DataFrame | None = None,
+) -> DataFrame:
+    """The ``k`` terms of ``col`` with the largest row totals of the matrix ``col`` x ``by``.
+
+    A term's total is the summed number of ``by`` items of its documents, so no pair is
+    formed.
+    """
+    others = doc_terms(df, by)
+    if min_occ_by > 1:
+        frequent = occurrence_bounds(term_counters(df, by), min_occ_by, None).select("term")
+        others = others.join(frequent, "term", "left_semi")
+    per_doc = others.groupBy("id").agg(n_rows().alias("_n"))
+    totals = (
+        doc_terms(df, col).join(per_doc, "id").groupBy("term").agg(F.sum("_n").alias("_total"))
+    )
+    if min_occ > 1:
+        counted = term_counters(df, col) if counters is None else counters
+        frequent = occurrence_bounds(counted, min_occ, None).select("term")
+        totals = totals.join(frequent, "term", "left_semi")
+    return totals.orderBy(F.col("_total").desc(), "term").limit(k).select("term")
 
 
 def top_axes(cells: DataFrame, k_rows: int, k_cols: int, value: str = "n") -> DataFrame:
@@ -424,9 +466,9 @@ def associates(
     counters = occurrence_bounds(term_counters(df, col), min_occ)
     top = (
         cells.select("term").distinct().join(counters, "term")
-        .orderBy(*sort_columns("num_documents")).limit(check_axis(max_items))
+        .orderBy(*sort_columns("num_documents")).limit(max_items)
     )
-    return cells.join(F.broadcast(top.select("term")), "term", "left_semi").select("keyword", "term", "n")
+    return cells.join(top.select("term"), "term", "left_semi").select("keyword", "term", "n")
 
 
 def compare_keywords(df: DataFrame, col: str, a: str, b: str, max_items: int = 50) -> DataFrame:

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.items import doc_terms, items
 from ..functions.stem import stem_key
@@ -20,31 +22,6 @@ TOKEN = r"[\p{L}\p{N}_\-]+"
 #: Words, and every other visible character as a token of its own.
 TOKEN_OR_MARK = TOKEN + r"|[^\s\p{L}\p{N}_\-]"
 
-# Stock phrases dropped before words are extracted, most of them by rule.
-_STUDY_NOUNS = ["article", "paper", "research", "review", "study", "work"]
-_STUDY_VERBS = [
-    "aiming", "aims", "describes", "evaluates", "explored", "explores", "investigates", "presents",
-    "proposes", "starts",
-]
-BOILERPLATE = [
-    "proposed method",
-    "as a result",
-    "according to the results",
-    "for this purpose",
-    *[f"in this {noun}" for noun in _STUDY_NOUNS],
-    *[f"the aim of this {noun}" for noun in _STUDY_NOUNS],
-    *[f"the objective of this {noun} {verb}" for noun in _STUDY_NOUNS for verb in ("is", "was")],
-    *[f"the present {noun}" for noun in _STUDY_NOUNS],
-    "the proposed method",
-    "the results indicate",
-    "the results obtained indicate",
-    "the results obtained showed",
-    "the results obtained show",
-    "the results showed",
-    "the results show",
-    *[f"this {noun} {verb}" for noun in _STUDY_NOUNS for verb in _STUDY_VERBS],
-]
-
 
 def java_quote(text: str) -> str:
     """``text`` as a literal regular expression."""
@@ -247,19 +224,20 @@ def concordances(
 
 
 def co_mentioned(df: DataFrame, col: str, keyword: str, text: str = "abstract") -> DataFrame:
-    """Keywords of the corpus that share a sentence with ``keyword``."""
+    """Keywords of the corpus that share a sentence with ``keyword``, case aside."""
     lines = df.select(F.explode(F.split(F.lower(F.col(text)), r"\. ", -1)).alias("text")).where(
-        F.col("text").contains(keyword)
+        F.col("text").contains(keyword.lower())
     )
-    terms = doc_terms(df, col).select(F.col("term").alias("pattern"))
-    return containment_join(lines, terms).select(F.col("pattern").alias("term")).distinct()
+    terms = doc_terms(df, col).select("term", F.lower("term").alias("pattern")).distinct()
+    found = containment_join(lines, terms.select("pattern")).select("pattern").distinct()
+    return terms.join(found, "pattern", "left_semi").select("term").distinct()
 
 
 def mentioned_keywords(df: DataFrame, col: str, text: str = "abstract") -> DataFrame:
-    """Keywords that occur in the text of a document they belong to."""
+    """Keywords that occur in the text of a document they belong to, case aside."""
     return (
         doc_terms(df.withColumn("_text", F.lower(text)), col, ["_text"])
-        .where(F.col("_text").contains(F.col("term")))
+        .where(F.col("_text").contains(F.lower("term")))
         .select("term")
         .distinct()
     )
@@ -290,6 +268,22 @@ def _keyword_widths(keywords: DataFrame) -> list[int]:
     return sorted(r[0] for r in keywords.select(width).distinct().collect())
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _unclaimed(pos: pd.Series, width: pd.Series) -> pd.Series:
+    """Places of the runs of tokens that overlap no earlier chosen run."""
+
+    def chosen(starts, widths):
+        taken, out = set(), []
+        for i, (start, n) in enumerate(zip(starts, widths, strict=True)):
+            run = range(start, start + n)
+            if taken.isdisjoint(run):
+                taken.update(run)
+                out.append(i)
+        return out
+
+    return pd.Series([chosen(p, w) for p, w in zip(pos, width, strict=True)])
+
+
 def keywords_in_abstract(
     df: DataFrame,
     text: str = "abstract",
@@ -306,11 +300,18 @@ def keywords_in_abstract(
     )
     vocab = (
         doc_terms(df, author)
-        .select(tokenised.alias("gram"), F.lit(True).alias("a"), F.lit(False).alias("i"))
-        .union(doc_terms(df, index).select(tokenised.alias("gram"), F.lit(False), F.lit(True)))
+        .select("term", tokenised.alias("gram"), F.lit(True).alias("a"), F.lit(False).alias("i"))
+        .union(
+            doc_terms(df, index).select(
+                "term", tokenised.alias("gram"), F.lit(False).alias("a"), F.lit(True).alias("i")
+            )
+        )
         .where("gram <> ''")
-        .groupBy("gram")
+        .groupBy("gram", "term")
         .agg(F.bool_or("a").alias("a"), F.bool_or("i").alias("i"))
+        # Terms that only differ in case or blanks are found together.
+        .groupBy("gram")
+        .agg(F.collect_list(F.struct("term", "a", "i")).alias("terms"))
     )
     widths = _keyword_widths(vocab)
     out = ["abstract_keywords", "abstract_author_keywords", "abstract_index_keywords"]
@@ -319,25 +320,20 @@ def keywords_in_abstract(
     hits = skew_join(_token_grams(df, text, widths), vocab, "gram")
     # Longest keyword first, then left to right; one document at a time.
     ordered = F.array_sort(
-        F.collect_list(
-            F.struct((-F.length("gram")).alias("k"), "gram", "pos", "width", "a", "i")
-        )
+        F.collect_list(F.struct((-F.length("gram")).alias("k"), "gram", "pos", "width", "terms"))
     )
-    claimed = F.aggregate(
-        "_hits",
-        F.expr("cast(array() AS array<struct<k:int,gram:string,pos:int,width:int,a:boolean,i:boolean>>)"),
-        lambda acc, h: F.when(
-            F.exists(
-                acc,
-                lambda c: (c["pos"] < h["pos"] + h["width"]) & (h["pos"] < c["pos"] + c["width"]),
-            ),
-            acc,
-        ).otherwise(F.concat(acc, F.array(h))),
+    found = (
+        hits.groupBy("id")
+        .agg(ordered.alias("_h"))
+        .withColumn("_free", _unclaimed(F.col("_h.pos"), F.col("_h.width")))
+        .select(
+            "id",
+            F.flatten(F.transform("_free", lambda i: F.get("_h", i)["terms"])).alias("_c"),
+        )
     )
-    found = hits.groupBy("id").agg(ordered.alias("_hits")).select("id", claimed.alias("_c"))
 
     def names(keep) -> Column:
-        return F.array_sort(F.array_distinct(F.transform(F.filter("_c", keep), lambda c: c["gram"])))
+        return F.array_sort(F.array_distinct(F.transform(F.filter("_c", keep), lambda c: c["term"])))
 
     lists = found.select(
         "id",
@@ -387,10 +383,12 @@ def extract_words(
     df: DataFrame,
     col: str,
     keywords: DataFrame | None = None,
-    phrases: Sequence[str] = tuple(BOILERPLATE),
+    phrases: Sequence[str] = (),
     new: str = "words",
 ) -> DataFrame:
-    """Content words of a text: no stock phrases, stop words or non-letters.
+    """Content words of a text: no stop words or non-letters, and none of ``phrases``.
+
+    Stock phrases depend on the field; a caller reads its list with ``read_terms``.
 
     Keywords of several words found in the text (table ``(term)``) stay together,
     joined by underscores.

@@ -1,9 +1,10 @@
 """Which texts contain which patterns, without comparing every pair.
 
 Strings are cut at single spaces.  A pattern of three or more tokens can only
-occur in a text that holds its inner tokens, whole and adjacent; both sides are
-keyed by such a run of tokens (the rarest of the pattern), joined, and the
-candidates verified on the full strings.  A pattern of one or two tokens lies
+occur in a text that holds its inner tokens, whole and adjacent.  With three or more
+inner tokens both sides are keyed by a run of them (the rarest of the pattern); with
+one or two, by all of them and the first characters of the token that follows.  The
+candidates are verified on the full strings.  A pattern of one or two tokens lies
 within one or two adjacent tokens of the text, so it is looked for in the
 dictionary of those, keyed by its first characters.  Both ways are exact.
 """
@@ -68,8 +69,43 @@ def _short_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, found).distinct()
 
 
+def _middle_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Candidates for patterns of three or four tokens, by inner tokens and start of the last."""
+    tokens = _tokens("pattern")
+    inner = F.array_join(F.slice(tokens, F.lit(2), F.size(tokens) - 2), " ")
+    keyed = patterns.select(
+        "pattern",
+        inner.alias("run"),
+        F.substring(F.element_at(tokens, -1), 1, PREFIX_CHARS).alias("start"),
+    )
+    lengths = _small_ints(keyed, F.length("start"))
+
+    def runs(width: int) -> Column:
+        found = token_runs(_tokens("text"), width)
+        return F.transform(
+            found,
+            lambda run, i: F.struct(
+                run.alias("run"), F.get(_tokens("text"), i + width).alias("after")
+            ),
+        )
+
+    held = texts.select("_t1", "_t2", F.explode(F.concat(*[runs(w) for w in (1, 2)])).alias("r"))
+    starts = F.array(*[F.substring("r.after", 1, n) for n in lengths])
+    long_enough = F.filter(
+        F.arrays_zip(starts.alias("start"), F.array(*[F.lit(n) for n in lengths]).alias("n")),
+        lambda x: F.length(x["start"]) == x["n"],
+    )
+    held = (
+        held.where("r.after IS NOT NULL")
+        .select("_t1", "_t2", "r.run", F.explode(long_enough).alias("s"))
+        .select("_t1", "_t2", "run", F.col("s.start").alias("start"))
+        .distinct()
+    )
+    return held.join(keyed, ["run", "start"]).select("_t1", "_t2", "pattern")
+
+
 def _long_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Candidates for patterns of three or more tokens, by their rarest inner run."""
+    """Candidates for patterns of five or more tokens, by their rarest inner run."""
     tokens = _tokens("pattern")
     width = F.least(F.lit(GRAM_TOKENS), F.size(tokens) - 2)
     inner = F.transform(
@@ -103,13 +139,11 @@ def containment_join(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         .distinct()
         .withColumns({"_t1": F.xxhash64("text"), "_t2": F.hash("text")})
     )
-    is_short = F.size(_tokens("pattern")) <= 2
-    kinds = {r[0] for r in patterns.select(is_short).distinct().collect()}
-    parts = []
-    if True in kinds:
-        parts.append(_short_matches(texts, patterns.where(is_short)))
-    if False in kinds:
-        parts.append(_long_matches(texts, patterns.where(~is_short)))
+    size = F.size(_tokens("pattern"))
+    ways = {"short": _short_matches, "middle": _middle_matches, "long": _long_matches}
+    kind = F.when(size <= 2, "short").when(size <= 4, "middle").otherwise("long")
+    kinds = {r[0] for r in patterns.select(kind).distinct().collect()}
+    parts = [ways[k](texts, patterns.where(kind == k)) for k in sorted(kinds)]
     if not parts:
         return texts.select("text", F.lit("").alias("pattern")).where(F.lit(False))
     candidates = materialise(reduce(DataFrame.union, parts))

@@ -13,18 +13,25 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_default: dict[str, str] = {}
+def ensure_shared_dir(spark: SparkSession) -> None:
+    """Give a local session without ``spark.checkpoint.dir`` a folder of its own.
+
+    Entry points, tests and the benchmark call this; a cluster has to name a folder
+    that all its executors share.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="corpuscope-"))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can read, private to this application."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = _local_default.setdefault(app, tempfile.mkdtemp(prefix="corpuscope-"))
-    path = f"{base.rstrip('/')}/corpuscope-{app}"
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+    path = f"{base.rstrip('/')}/corpuscope-{spark.sparkContext.applicationId}"
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop_path):

@@ -40,24 +40,25 @@ def skew_join(
     on: str | Sequence[str],
     how: str = "inner",
     ways: int = WAYS,
-    hot: DataFrame | str | None = "detect",
+    hot: DataFrame | str | None = None,
     either: bool = False,
 ) -> DataFrame:
     """Join ``left`` to ``right`` splitting the hot keys of ``left`` over several tasks.
 
-    The rows of a hot key are spread over salts on the left and the matching
-    right rows are repeated once per salt, so no task receives a whole hot key.
-    ``how`` is inner, left, left_semi or left_anti.  Rows with a NULL key match
-    nothing and are spread when they are many.  Without hot keys this is a plain
-    join, which adaptive execution turns into a broadcast when a side is small.
-    Loops pass the result of :func:`hot_keys` as ``hot`` to look for it only once.
-    With ``either`` an inner join also looks for hot keys on the right and then
-    splits that side.
+    ``how`` is inner, left, left_semi or left_anti.  By default this is a plain join:
+    adaptive execution splits the large partitions of hot keys of these kinds of join,
+    and turns it into a broadcast when a side is small.  Given the result of
+    :func:`hot_keys` as ``hot`` (or "detect", which runs ``left`` to find them, so it
+    should be a written table), the rows of a hot key are spread over salts on the left
+    and the matching right rows are repeated once per salt.  Rows with a NULL key match
+    nothing and are spread when they are many.  With ``either``, "detect" also looks
+    for hot keys on the right of an inner join and then splits that side.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if isinstance(hot, str):
+    detect = isinstance(hot, str)
+    if detect:
         hot = hot_keys(left, on, ways)
-    if hot is None and either and how == "inner":
+    if hot is None and detect and either and how == "inner":
         hot = hot_keys(right, on, ways)
         if hot is not None:
             left, right = right, left

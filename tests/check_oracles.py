@@ -88,7 +88,10 @@ def main():
         from catalog import all_queries, all_sql
 
         queries, sql = all_queries(), all_sql()
+    from corpuscope.plans.lineage import ensure_shared_dir
+
     spark, con = session(), connect(a.sf)
+    ensure_shared_dir(spark)
     bad = 0
     for name in a.names or queries:
         t = time.time()

@@ -8,9 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
+    from corpuscope.plans.lineage import ensure_shared_dir
     from tests.check_oracles import session
 
     s = session(4)
+    ensure_shared_dir(s)
     s.conf.set("spark.sql.shuffle.partitions", "4")
     yield s
     s.stop()

@@ -17,7 +17,7 @@ def test_skew_join_equals_plain_join(spark, monkeypatch, how):
     left = spark.createDataFrame(rows, "id int, k string").repartition(4)
     right = spark.createDataFrame([("hot", 1), ("k3", 2), ("k6", 3), ("zz", 4), (None, 5)], "k string, v int")
     assert skew.hot_keys(left, ["k"]) is not None
-    got = sorted(map(repr, skew.skew_join(left, right, "k", how).collect()))
+    got = sorted(map(repr, skew.skew_join(left, right, "k", how, hot="detect").collect()))
     assert got == sorted(map(repr, left.join(right, "k", how).collect()))
 
 
