@@ -39,6 +39,12 @@ def texts(spark, sf):
                     F.when(F.size(words) > 0, words).alias("author_keywords"))
 
 
+def with_abstracts(spark, sf, orders):
+    """Orders with a text each: the documents in turn."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("_doc"), F.col("text").alias("abstract"))
+    return orders.withColumn("_doc", F.col("id") % d.count()).join(d, "_doc").drop("_doc")
+
+
 def benchmark_words(spark, sf, least):
     """Distinct words of the benchmark items with at least ``least`` letters."""
     words = table(spark, sf, "benchmark").select(
@@ -205,13 +211,13 @@ def _(spark, sf):
     return X.co_mentioned(texts(spark, sf), "author_keywords", "that")
 
 
-@query("mentioned_keywords", with_views("ik") + """, d AS (SELECT doc_id AS id, lower(text) AS t FROM documents)
-SELECT DISTINCT w AS term FROM (SELECT id, unnest(string_split(term, ' ')) AS w FROM ik) JOIN d USING (id) WHERE contains(t, w)""")
+@query("mentioned_keywords", with_views("ik") + """, d AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT DISTINCT w AS term FROM (SELECT id, unnest(string_split(term, ' ')) AS w FROM ik)
+JOIN d ON doc_id = id % (SELECT count(*) FROM documents) WHERE contains(t, w)""")
 def _(spark, sf):
     c = corpus(spark, sf, "index_keywords").withColumn(
         "words", F.array_distinct(F.flatten(F.transform("index_keywords", lambda x: F.split(x, " ")))))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
-    return X.mentioned_keywords(c.join(d, "id"), "words")
+    return X.mentioned_keywords(with_abstracts(spark, sf, c), "words")
 
 
 @query("keywords_in_abstract")
@@ -291,28 +297,40 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------- thesauri
 
-def brand_groups(spark, sf, below=99):
-    """Thesaurus Group#(i mod 5) of the brands Brand#i with i under ``below``."""
+def brand_groups(spark, sf):
+    """Thesaurus Group#(i mod 5) of the brands Brand#i."""
+    return _grouped(table(spark, sf, "part"))
+
+
+def last_brands(spark, sf):
+    """The same of the last brand of each type of part, so that other brands have no entry."""
+    return _grouped(table(spark, sf, "part").groupBy("p_type").agg(F.max("p_brand").alias("p_brand")))
+
+
+def _grouped(brands):
     number = F.substring("p_brand", 7, 9).cast("int")
-    return table(spark, sf, "part").where(number < below).select(
+    return brands.select(
         F.concat(F.lit("Group#"), number % 5).alias("canonical"), F.col("p_brand").alias("variant")).distinct()
 
 
 _GROUP = "'Group#' || (CAST(substr(term, 7) AS INTEGER) % 5)"
 
 
-@query("apply_thesaurus_strict", with_views("docs", "kw") + f"""
+_LAST = ", lb AS (SELECT DISTINCT max(p_brand) AS v FROM part GROUP BY p_type)"
+
+
+@query("apply_thesaurus_strict", with_views("docs", "kw") + _LAST + f"""
 SELECT docs.id, string_agg(DISTINCT {_GROUP}, ';' ORDER BY {_GROUP}) AS author_keywords
-FROM docs LEFT JOIN kw ON kw.id = docs.id AND CAST(substr(term, 7) AS INTEGER) < 12 GROUP BY docs.id""")
+FROM docs LEFT JOIN (kw JOIN lb ON v = term) ON kw.id = docs.id GROUP BY docs.id""")
 def _(spark, sf):
-    out = TH.apply_thesaurus(corpus(spark, sf, "author_keywords"), "author_keywords", brand_groups(spark, sf, 12), strict=True)
+    out = TH.apply_thesaurus(corpus(spark, sf, "author_keywords"), "author_keywords", last_brands(spark, sf), strict=True)
     return out.select("id", F.array_join(F.array_sort("author_keywords"), ";").alias("author_keywords"))
 
 
-@query("apply_thesaurus", with_views("docs", "kw") + f""", m AS (SELECT id, CASE WHEN CAST(substr(term, 7) AS INTEGER) < 12 THEN {_GROUP} ELSE term END AS t FROM kw)
+@query("apply_thesaurus", with_views("docs", "kw") + _LAST + f""", m AS (SELECT id, CASE WHEN v IS NOT NULL THEN {_GROUP} ELSE term END AS t FROM kw LEFT JOIN lb ON v = term)
 SELECT docs.id, string_agg(DISTINCT t, ';' ORDER BY t) AS author_keywords FROM docs LEFT JOIN m USING (id) GROUP BY docs.id""")
 def _(spark, sf):
-    out = TH.apply_thesaurus(corpus(spark, sf, "author_keywords"), "author_keywords", brand_groups(spark, sf, 12))
+    out = TH.apply_thesaurus(corpus(spark, sf, "author_keywords"), "author_keywords", last_brands(spark, sf))
     return out.select("id", F.array_join(F.array_sort("author_keywords"), ";").alias("author_keywords"))
 
 
@@ -369,11 +387,11 @@ def _(spark, sf):
 
 
 @query("cluster_terms_by_title", f"""WITH t AS (SELECT trim({_TITLE}, ' ') AS term, count(*) AS n FROM pages GROUP BY 1 HAVING term <> ''),
-k AS (SELECT term, n, {_FP.format(c="replace(replace(term, '&', 'and'), ' of ', '')")} AS k FROM t WHERE NOT regexp_matches(term, '[(\\[]')),
+k AS (SELECT term, n, {_FP.format(c="replace(replace(term, '&', 'and'), ' of ', '')")} AS k FROM t),
 m AS (SELECT k, coalesce(min(term) FILTER (contains(term, '-')), min(term)) AS canonical FROM k GROUP BY k)
 SELECT canonical, term AS variant FROM k JOIN m USING (k)""")
 def _(spark, sf):
-    d = titles(spark, sf).where(~F.rlike("title", F.lit(r"[(\[]"))).select(F.col("page_id").alias("id"), F.array("title").alias("title"))
+    d = titles(spark, sf).select(F.col("page_id").alias("id"), F.array("title").alias("title"))
     return TH.cluster_terms(d, "title", key="fingerprint", name_strategy="alphabetical")
 
 
@@ -397,9 +415,9 @@ def _(spark, sf):
     return TH.merge_keys(brand_groups(spark, sf), "Group#0", ["Group#1", "Group#2"])
 
 
-@query("thesaurus_merge_keys_from", _BG + "SELECT coalesce(p.c2, b.c) AS canonical, v AS variant FROM b LEFT JOIN (SELECT DISTINCT 'Group#' || r_regionkey AS c, r_name AS c2 FROM region WHERE r_regionkey > 2) p USING (c)")
+@query("thesaurus_merge_keys_from", _BG + "SELECT coalesce(p.c2, b.c) AS canonical, v AS variant FROM b LEFT JOIN (SELECT DISTINCT 'Group#' || r_regionkey AS c, r_name AS c2 FROM region) p USING (c)")
 def _(spark, sf):
-    merges = table(spark, sf, "region").where("r_regionkey > 2").select(
+    merges = table(spark, sf, "region").select(
         F.col("r_name").alias("canonical"), F.concat(F.lit("Group#"), "r_regionkey").alias("variant"))
     return TH.merge_keys_from(brand_groups(spark, sf), merges)
 
@@ -544,11 +562,10 @@ def _(spark, sf):
 
 @query("import_corpus")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"))
     c = cited_corpus(spark, sf).join(corpus(
         spark, sf, "authors", "affiliations", "author_keywords", "index_keywords", "source_title", "document_type"
-    ).drop("year", "global_citations"), "id").join(d, "id", "left")
-    out = C.import_corpus(c, nation_countries(spark, sf))
+    ).drop("year", "global_citations"), "id")
+    out = C.import_corpus(with_abstracts(spark, sf, c), nation_countries(spark, sf))
     return out.select("id", "year", "historiograph_id", "num_authors", "bradford_law_zone", "local_citations",
                       F.array_join("institutions", ";").alias("institutions"), "country_1st_author",
                       F.array_join("keywords_cleaned", ";").alias("keywords_cleaned"),
