@@ -220,7 +220,15 @@ def _(spark, sf):
     return X.mentioned_keywords(with_abstracts(spark, sf, c), "words")
 
 
-@query("keywords_in_abstract")
+@query("keywords_in_abstract", "WITH " + _LONG + r""", v AS (SELECT DISTINCT term FROM long),
+t AS (SELECT id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (
+  SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_\-]+|[^\s\p{L}\p{N}_\-]') AS l FROM documents)),
+p AS (SELECT id, w, lag(w) OVER (PARTITION BY id ORDER BY i) IS NOT DISTINCT FROM 'the' AS pair FROM t),
+h AS (SELECT DISTINCT id, CASE WHEN pair THEN 'the ' || w ELSE w END AS k, pair FROM p JOIN v ON term = w),
+g AS (SELECT id, string_agg(k, ';' ORDER BY k) AS a, coalesce(string_agg(k, ';' ORDER BY k) FILTER (WHERE NOT pair), '') AS b,
+      coalesce(string_agg(k, ';' ORDER BY k) FILTER (WHERE pair), '') AS c FROM h GROUP BY id)
+SELECT doc_id AS id, a AS abstract_keywords, b AS abstract_author_keywords, c AS abstract_index_keywords
+FROM documents LEFT JOIN g ON id = doc_id""")
 def _(spark, sf):
     d = texts(spark, sf)
     pairs = F.transform(F.col("author_keywords"), lambda w: F.concat(F.lit("the "), w))
