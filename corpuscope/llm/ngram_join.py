@@ -40,6 +40,8 @@ _U = np.uint64
 #: Sets and shingles in one part of a cluster.
 PART_SETS = 512
 PART_SHINGLES = 400_000
+#: Tasks that the rows of one set are dealt to.
+SALTS = 16
 
 SIGNED = (
     "bucket int, doc_id bigint, n bigint, hi bigint, lo bigint, "
@@ -393,14 +395,19 @@ def similar_groups(
     matches = deal(signatures.mapInArrow(matched, SIGNED), "bucket")
     table = stored(matches.mapInArrow(gathered, CANDIDATES))
     nodes = table.where("other IS NULL").select("doc_id", "n", "hi", "lo")
-    # Equal sets: the smallest id stands for them.
-    equal = (
-        nodes.where("n > 0 AND doc_id IS NOT NULL")
-        .groupBy("hi", "lo")
-        .agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    # Equal sets: the smallest id stands for them.  Only sets that occur again are joined
+    # back, each under every salt, so that a set which most rows share is dealt widely.
+    named = nodes.where("n > 0 AND doc_id IS NOT NULL")
+    again = (
+        named.groupBy("hi", "lo")
+        .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+        .where("copies > 1")
+        .select("hi", "lo", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
-    known = nodes.where("n > 0 AND doc_id IS NOT NULL").join(
-        equal.select("hi", "lo", "first"), ["hi", "lo"]
+    known = (
+        named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        .join(again, ["hi", "lo", "salt"], "left")
+        .select("doc_id", F.coalesce("first", "doc_id").alias("first"), "n")
     )
     names = stored(known.select("doc_id", "first", "n").distinct())
     candidate = table.where("other IS NOT NULL").select(
