@@ -5,8 +5,11 @@ similarity is at least t differ in at most (1 - t) / (1 + t) of their summed siz
 The shingle space is cut into one block more than that many (sizes are handled in
 classes, each set also under the next smaller class), so similar sets agree in a
 whole non-empty block.  A block's shingles are hashed together; sets that share a
-block hash are candidates, and connected candidates form a cluster.  A passage that
-two texts share does not make them candidates unless it fills a block.
+block hash are candidates.  A passage that two texts share does not make them
+candidates unless it fills a block.  Candidates meet around the smallest set of their
+block, with profiles that count the shingles in 256 parts of the hash space: sets
+whose profiles differ by more than similar sets can are parted again.  What is still
+connected forms a cluster.
 
 Within a cluster the sets are stored in a trie, their shingles in one global order,
 the most frequent first, so that similar sets share paths.  A walk down the trie
@@ -47,7 +50,7 @@ SIGNED = (
     "bucket int, doc_id bigint, n bigint, hi bigint, lo bigint, "
     "base bigint, count bigint, docs binary, keys binary"
 )
-CANDIDATES = "doc_id bigint, n bigint, hi bigint, lo bigint, other bigint"
+CANDIDATES = "doc_id bigint, n bigint, hi bigint, lo bigint, other bigint, profile binary"
 
 
 @cache
@@ -169,6 +172,25 @@ def trie_links(
             at = stop
 
 
+def profile(shingle_set: np.ndarray) -> bytes:
+    """Number of shingles, 255 at most, in each of 256 parts of the hash space."""
+    counts = np.bincount(mix(shingle_set) >> _U(56), minlength=256)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def profile_links(profiles: np.ndarray, sizes: np.ndarray, num: int, den: int):
+    """Pairs of sets that their profiles do not part.
+
+    Profiles of two sets differ by no more than the sets do, and similar sets differ by
+    at most (1 - t) / (1 + t) of their summed sizes.
+    """
+    wide = profiles.astype(np.int16)
+    for i in range(len(wide) - 1):
+        apart = np.abs(wide[i + 1 :] - wide[i]).sum(axis=1, dtype=np.int64)
+        for j in np.flatnonzero(apart * (den + num) <= (sizes[i + 1 :] + sizes[i]) * (den - num)):
+            yield i, i + 1 + int(j)
+
+
 class _Forest:
     """Union-find over the members of one part."""
 
@@ -265,7 +287,7 @@ def similar_groups(
                 for doc, found in zip(ids[lo:hi], shingles(hashes, bounds, size), strict=True):
                     digest = xxhash.xxh3_128_digest(found.tobytes())
                     hi64, lo64 = np.frombuffer(digest, "<i8").tolist()
-                    nodes.append((doc, len(found), hi64, lo64))
+                    nodes.append((doc, len(found), hi64, lo64, profile(found)))
                     if doc is None or not len(found) or digest in seen:
                         continue
                     # Equal sets are linked by their digest; one per task is signed.
@@ -276,8 +298,8 @@ def similar_groups(
                         keys.append(block)
                         owners.append(np.full(len(block), doc, np.int64))
             rows = [
-                (i % parts, doc, n, hi64, lo64, 0, 0, b"", b"")
-                for i, (doc, n, hi64, lo64) in enumerate(nodes)
+                (i % parts, doc, n, hi64, lo64, 0, 0, counts, b"")
+                for i, (doc, n, hi64, lo64, counts) in enumerate(nodes)
             ]
             if keys:
                 key, owner = np.concatenate(keys), np.concatenate(owners)
@@ -328,15 +350,10 @@ def similar_groups(
             least = np.minimum.reduceat(owner, np.flatnonzero(changes(key)))
             least = least[np.cumsum(changes(key)) - 1]
             apart = owner != least
-            docs, place = np.unique(np.concatenate([owner[apart], least[apart]]), return_inverse=True)
-            pairs = np.unique(np.stack(np.split(place, 2), axis=1), axis=0)
-            # What hangs together in this partition is linked to its smallest document.
-            forest = _Forest(len(docs))
-            for i, j in pairs.tolist():
-                forest.join(i, j)
-            root = np.array([forest.root(i) for i in range(len(docs))], dtype=np.int64)
-            linked = np.flatnonzero(root != np.arange(len(docs)))
-            a, b = docs[linked], docs[root[linked]]
+            pairs = np.stack([owner[apart], least[apart]], axis=1)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            pairs = pairs[changes(pairs[:, 0], pairs[:, 1])]
+            a, b = pairs[:, 0], pairs[:, 1]
             bucket = doc_buckets(a, parts)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
@@ -360,7 +377,7 @@ def similar_groups(
             if isinstance(part, pa.RecordBatch):
                 none = pa.nulls(part.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in names[:4]), none], names
+                    [*(part.column(n) for n in names[:4]), none, part.column("docs")], names
                 )
                 continue
             b, a = part
@@ -371,7 +388,8 @@ def similar_groups(
             for i in range(0, len(a), 50_000):
                 none = pa.nulls(len(a[i : i + 50_000]), pa.int64())
                 ends = pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])
-                yield pa.RecordBatch.from_arrays([ends[0], none, none, none, ends[1]], names)
+                blank = pa.nulls(len(none), pa.binary())
+                yield pa.RecordBatch.from_arrays([ends[0], none, none, none, ends[1], blank], names)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,6 +412,30 @@ def similar_groups(
     signatures = deal(chosen.mapInArrow(signed, SIGNED), "bucket")
     matches = deal(signatures.mapInArrow(matched, SIGNED), "bucket")
     table = stored(matches.mapInArrow(gathered, CANDIDATES))
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, {}
+        for batch in batches:
+            for now, doc, n, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != hub:
+                    yield from linked(held)
+                    hub, held = now, {}
+                held[doc] = (n, counts)
+        yield from linked(held)
+
+    def linked(held: dict) -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:
+            return
+        docs = sorted(held)
+        sizes = np.array([held[d][0] for d in docs], dtype=np.int64)
+        counts = np.array([np.frombuffer(held[d][1], np.uint8) for d in docs])
+        forest = _Forest(len(docs))
+        for i, j in profile_links(counts, sizes, num, den):
+            forest.join(i, j)
+        pairs = [(d, docs[forest.root(i)]) for i, d in enumerate(docs) if forest.root(i) != i]
+        if pairs:
+            a, b = zip(*pairs, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
     nodes = table.where("other IS NULL").select("doc_id", "n", "hi", "lo")
     # Equal sets: the smallest id stands for them.  Only sets that occur again are joined
     # back, each under every salt, so that a set which most rows share is dealt widely.
@@ -413,11 +455,29 @@ def similar_groups(
     candidate = table.where("other IS NOT NULL").select(
         F.col("doc_id").alias("a"), F.col("other").alias("b")
     )
-    clusters = components(
+    stars = stored(
         candidate.join(names.select(F.col("doc_id").alias("a"), F.col("first").alias("fa")), "a")
         .join(names.select(F.col("doc_id").alias("b"), F.col("first").alias("fb")), "b")
+        .where("fa <> fb")
         .select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+        .distinct()
+    )
+    degree = stars.groupBy("b").agg(F.count(F.lit(1)).alias("members"))
+    counted = stored(stars.join(degree, "b"))
+    small = counted.where(F.col("members") < PART_SETS)
+    around = small.select(F.col("b").alias("hub"), F.col("a").alias("doc_id")).unionByName(
+        small.select(F.col("b").alias("hub"), F.col("b").alias("doc_id")).distinct()
+    )
+    profiles = table.where("other IS NULL AND n > 0").select("doc_id", "n", "profile")
+    near = (
+        around.join(profiles.hint("merge"), "doc_id")
+        .repartition(parts, "hub")
+        .sortWithinPartitions("hub")
+        .select("hub", "doc_id", "n", "profile")
+        .mapInArrow(parted, "a bigint, b bigint")
     )
+    # A set around which very many meet keeps them all as candidates.
+    clusters = components(near.unionByName(counted.where(F.col("members") >= PART_SETS).select("a", "b")))
     sizes = (
         clusters.join(
             names.where("doc_id = first").groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")),
