@@ -16,8 +16,8 @@ _PIECE = 1 << 19
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 5
-_BASE = (_BASE & ~7) | 5
+#: Odd, so that it has an inverse, and 5 modulo 8, so that its powers have a long period.
+_BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(
     0, _MASK, size=256, dtype=_U, endpoint=True
@@ -168,10 +168,6 @@ def scaled(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (((hashes >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
 
 
-def int_list(values: np.ndarray) -> pa.Array:
-    return pa.array(values.astype(np.int64), pa.int64())
-
-
 def narrow(ids: np.ndarray) -> tuple[int, bytes]:
     """Ids as a base and offsets of four bytes if they fit, else of eight."""
     if not len(ids):

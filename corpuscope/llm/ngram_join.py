@@ -17,14 +17,14 @@ carries the overlap of the path with every set at once: the overlap of a shared
 prefix is counted once for all sets below it.  A subtree is left when no set can
 reach the threshold with what remains of its longest member.
 
-Large clusters are dealt in parts of bounded size, all of which hold the cluster's
-first set.  Most members of a group of copies are linked to it there; the sets that
-are not yet connected with it then meet all other parts.
+Where very many meet, by profile or in a trie, they are dealt in parts of bounded size,
+all of which hold the first set.  Most members of a group of copies are linked to it
+there; the sets that are not connected with it then meet all other parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -209,42 +209,82 @@ class _Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def _links(members: DataFrame, group: list[str], num: int, den: int) -> DataFrame:
-    """Spanning links ``(a, b)`` of the similar sets within each group of rows."""
+def _within(rows: DataFrame, group: list[str], pairs_of: Callable) -> DataFrame:
+    """Links ``(cluster, a, b)`` that span what hangs together within each group of rows.
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        key = None
+    Members of a cluster of several parts that do not hang together with its first set
+    also come with a null ``b``.
+    """
+    names = ["cluster", "a", "b"]
+
+    def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for *now, doc, raw in zip(*columns, strict=True):
-                if now != key and held:
-                    yield from spanning(held)
-                    held = []
-                key = now
-                held.append((doc, raw))
-        if held:
-            yield from spanning(held)
-
-    def spanning(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = dict(held)
-        docs = sorted(found)
-        sets = [np.frombuffer(found[d], "<u8") for d in docs]
+            for *now, parts, doc, n, load in zip(*columns, strict=True):
+                if now != key:
+                    yield from links(key, held)
+                    key, held = now, {}
+                held[doc] = (n, load, parts)
+        yield from links(key, held)
+
+    def links(key, held: dict) -> Iterator[pa.RecordBatch]:
+        if len(held) < 2:
+            return
+        docs = sorted(held)
         forest = _Forest(len(docs))
-        for i, j in trie_links(sets, np.array([len(s) for s in sets]), num, den):
+        sizes = np.array([held[d][0] for d in docs], dtype=np.int64)
+        for i, j in pairs_of([held[d][1] for d in docs], sizes):
             forest.join(i, j)
-        pairs = [(d, docs[forest.root(i)]) for i, d in enumerate(docs) if forest.root(i) != i]
-        if pairs:
-            a, b = zip(*pairs, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        roots = [forest.root(i) for i in range(len(docs))]
+        out = [(d, docs[r]) for d, r in zip(docs, roots, strict=True) if docs[r] != d]
+        cluster = key[0]
+        if held[docs[0]][2] > 1 and cluster in held:
+            center = forest.root(docs.index(cluster))
+            out += [(d, None) for d, r in zip(docs, roots, strict=True) if r != center]
+        if out:
+            a, b = zip(*out, strict=True)
+            columns = [pa.array([cluster] * len(a)), pa.array(a), pa.array(b, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    parts = partitions(members)
     return (
-        members.select(*group, "doc_id", "shingles")
-        .repartition(parts, *group)
+        rows.select(*group, "parts", "doc_id", "n", "load")
+        .repartition(partitions(rows), *group)
         .sortWithinPartitions(*group)
-        .mapInArrow(joined, "a bigint, b bigint")
+        .mapInArrow(spanned, "cluster bigint, a bigint, b bigint")
+    )
+
+
+def _meet(members: DataFrame, pairs_of: Callable) -> DataFrame:
+    """Links ``(a, b)`` that connect what ``pairs_of`` links within each cluster.
+
+    ``members`` is ``(cluster, doc_id, n, parts, load)``; a cluster is named by its
+    first set.  The first set meets every part of its cluster.  Members that their part
+    does not connect with it, the strays, then meet all other parts.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
+    is_first = F.col("doc_id") == F.col("cluster")
+    dealt = members.withColumn("part", F.explode(F.when(is_first, every).otherwise(F.array(part))))
+    found = stored(_within(dealt, ["cluster", "part"], pairs_of))
+    links = found.where("b IS NOT NULL").select("a", "b")
+    stray_ids = found.where("b IS NULL").select("cluster", F.col("a").alias("doc_id"))
+    if is_empty(stray_ids):
+        return links
+    per = stray_ids.groupBy("cluster").agg(
+        F.ceil(F.count(F.lit(1)) / PART_SETS).alias("stray_parts")
+    )
+    large = members.where("parts > 1").join(per, "cluster")
+    each = F.sequence(F.lit(0).cast("bigint"), F.col("stray_parts") - 1)
+    others = large.withColumn("part", part).withColumn("stray_part", F.explode(each))
+    strays = (
+        large.join(stray_ids, ["cluster", "doc_id"], "left_semi")
+        .withColumn("stray_part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("stray_parts")))
+        .withColumn("part", F.explode(every))
     )
+    both = others.unionByName(strays)
+    again = stored(_within(both, ["cluster", "part", "stray_part"], pairs_of))
+    return links.unionByName(again.where("b IS NOT NULL").select("a", "b"))
 
 
 def similar_groups(
@@ -398,44 +438,21 @@ def similar_groups(
                 hashes, bounds = words(
                     data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 )
-                sets = [s.tobytes() for s in shingles(hashes, bounds, size)]
+                sets = shingles(hashes, bounds, size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
                         batch.column(2).slice(lo, hi - lo),
+                        pa.array([len(s) for s in sets], pa.int64()),
                         batch.column(3).slice(lo, hi - lo),
-                        pa.array(sets, pa.binary()),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "cluster", "parts", "shingles"],
+                    ["doc_id", "cluster", "n", "parts", "load"],
                 )
 
     signatures = deal(chosen.mapInArrow(signed, SIGNED), "bucket")
     matches = deal(signatures.mapInArrow(matched, SIGNED), "bucket")
     table = stored(matches.mapInArrow(gathered, CANDIDATES))
-
-    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, held = None, {}
-        for batch in batches:
-            for now, doc, n, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != hub:
-                    yield from linked(held)
-                    hub, held = now, {}
-                held[doc] = (n, counts)
-        yield from linked(held)
-
-    def linked(held: dict) -> Iterator[pa.RecordBatch]:
-        if len(held) < 2:
-            return
-        docs = sorted(held)
-        sizes = np.array([held[d][0] for d in docs], dtype=np.int64)
-        counts = np.array([np.frombuffer(held[d][1], np.uint8) for d in docs])
-        forest = _Forest(len(docs))
-        for i, j in profile_links(counts, sizes, num, den):
-            forest.join(i, j)
-        pairs = [(d, docs[forest.root(i)]) for i, d in enumerate(docs) if forest.root(i) != i]
-        if pairs:
-            a, b = zip(*pairs, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
     nodes = table.where("other IS NULL").select("doc_id", "n", "hi", "lo")
     # Equal sets: the smallest id stands for them.  Only sets that occur again are joined
     # back, each under every salt, so that a set which most rows share is dealt widely.
@@ -464,20 +481,19 @@ def similar_groups(
     )
     degree = stars.groupBy("b").agg(F.count(F.lit(1)).alias("members"))
     counted = stored(stars.join(degree, "b"))
-    small = counted.where(F.col("members") < PART_SETS)
-    around = small.select(F.col("b").alias("hub"), F.col("a").alias("doc_id")).unionByName(
-        small.select(F.col("b").alias("hub"), F.col("b").alias("doc_id")).distinct()
+    around = counted.select(F.col("b").alias("cluster"), F.col("a").alias("doc_id"), "members").unionByName(
+        counted.select(F.col("b").alias("cluster"), F.col("b").alias("doc_id"), "members").distinct()
     )
-    profiles = table.where("other IS NULL AND n > 0").select("doc_id", "n", "profile")
-    near = (
-        around.join(profiles.hint("merge"), "doc_id")
-        .repartition(parts, "hub")
-        .sortWithinPartitions("hub")
-        .select("hub", "doc_id", "n", "profile")
-        .mapInArrow(parted, "a bigint, b bigint")
+    profiles = table.where("other IS NULL AND n > 0").select("doc_id", "n", F.col("profile").alias("load"))
+    near = _meet(
+        around.withColumn("parts", F.ceil((F.col("members") + 1) / PART_SETS))
+        .join(profiles.hint("merge"), "doc_id")
+        .select("cluster", "doc_id", "n", "parts", "load"),
+        lambda loads, sizes: profile_links(
+            np.array([np.frombuffer(x, np.uint8) for x in loads]), sizes, num, den
+        ),
     )
-    # A set around which very many meet keeps them all as candidates.
-    clusters = components(near.unionByName(counted.where(F.col("members") >= PART_SETS).select("a", "b")))
+    clusters = components(near)
     sizes = (
         clusters.join(
             names.where("doc_id = first").groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")),
@@ -496,42 +512,12 @@ def similar_groups(
     members = stored(
         chosen.join(clustered.hint("merge"), F.col("doc_id") == F.col("node"))
         .select("doc_id", "text", F.col("component").alias("cluster"), "parts")
-        .mapInArrow(shingled, "doc_id bigint, cluster bigint, parts bigint, shingles binary")
+        .mapInArrow(shingled, "doc_id bigint, cluster bigint, n bigint, parts bigint, load binary")
     )
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
-    is_first = F.col("doc_id") == F.col("cluster")
-    dealt = members.withColumn(
-        "part",
-        F.explode(F.when(is_first, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))),
+    links = _meet(
+        members,
+        lambda loads, sizes: trie_links([np.frombuffer(x, "<u8") for x in loads], sizes, num, den),
     )
-    links = stored(_links(dealt, ["cluster", "part"], num, den))
-
-    # Sets of large clusters that their part did not connect with the first set.
-    if not is_empty(members.where("parts > 1")):
-        so_far = components(links)
-        large = members.where("parts > 1").join(
-            so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left"
-        )
-        apart = F.coalesce("component", "doc_id") != F.col("cluster")
-        large = large.withColumn("apart", apart)
-        strays = stored(large.where("apart").drop("apart", "component"))
-        if not is_empty(strays):
-            per = strays.groupBy("cluster").agg(
-                F.ceil(F.count(F.lit(1)) / PART_SETS).alias("stray_parts")
-            )
-            stray_part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("stray_parts"))
-            pairs = strays.join(per, "cluster").withColumn("stray_part", stray_part).withColumn(
-                "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-            )
-            others = members.where("parts > 1").join(per, "cluster").withColumn(
-                "part", part
-            ).withColumn("stray_part", F.explode(F.sequence(F.lit(0), F.col("stray_parts") - 1)))
-            columns = ["cluster", "part", "stray_part", "doc_id", "shingles"]
-            both = others.select(columns).unionByName(pairs.select(columns))
-            links = links.unionByName(
-                stored(_links(both, ["cluster", "part", "stray_part"], num, den))
-            )
-
     found = components(links)
     first = names.join(
         found.select(F.col("node").alias("first"), "component"), "first", "left"

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.plans.lineage import is_empty, materialise
 
-__all__ = ["deal", "discard", "is_empty", "partitions", "read_table", "stored"]
+__all__ = ["deal", "is_empty", "partitions", "read_table", "stored"]
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -39,17 +37,7 @@ def stored(df: DataFrame) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`stored` that nothing reads any more."""
-    files = df.inputFiles()
-    if not files:
-        return
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def deal(df: DataFrame, bucket: str | Column, also: Sequence[str] = ()) -> DataFrame:
+def deal(df: DataFrame, bucket: str | Column) -> DataFrame:
     """Send each row to the partition that its ``bucket`` (0 .. partitions - 1) names."""
     column = F.col(bucket) if isinstance(bucket, str) else bucket
     return df.repartitionById(partitions(df), column.cast("int"))

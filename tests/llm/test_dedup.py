@@ -7,7 +7,14 @@ import pytest
 
 from corpuscope.llm.components import components
 from corpuscope.llm.line_dedup import drop_lines, keep_bitmaps
-from corpuscope.llm.ngram_join import block_hashes, similar_groups, size_classes, trie_links
+from corpuscope.llm.ngram_join import (
+    block_hashes,
+    profile,
+    profile_links,
+    similar_groups,
+    size_classes,
+    trie_links,
+)
 from corpuscope.llm.suffix_dedup import radix_groups, remove_repeats
 
 from .conftest import awkward
@@ -228,6 +235,28 @@ def test_similar_sets_share_a_block(num, den):
         assert keys[0] & keys[1]
 
 
+def test_profiles_never_part_similar_sets():
+    rng = np.random.default_rng(6)
+    for num, den in ((85, 100), (80, 100), (1, 2)):
+        base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        sets = []
+        for i in range(40):
+            share, more = ((0.5, 1), 90) if i % 2 else ((0.95, 1), 12)
+            keep = base[rng.random(400) < rng.uniform(*share)]
+            other = rng.integers(0, 1 << 63, rng.integers(0, more), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([keep, other])))
+        sizes = np.array([len(s) for s in sets])
+        counts = np.array([np.frombuffer(profile(s), np.uint8) for s in sets])
+        left = set(profile_links(counts, sizes, num, den))
+        similar = {
+            (i, j)
+            for i in range(40)
+            for j in range(i + 1, 40)
+            if den * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j]))
+        }
+        assert similar and similar <= left < {(i, j) for i in range(40) for j in range(i + 1, 40)}
+
+
 def test_components_on_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 60)]
     star = [(1000, i) for i in range(1001, 1040)]
