@@ -7,7 +7,7 @@ classes, each set also under the next smaller class), so similar sets agree in a
 whole non-empty block.  A block's shingles are hashed together; sets that share a
 block hash are candidates.  A passage that two texts share does not make them
 candidates unless it fills a block.  Candidates meet around the smallest set of their
-block, with profiles that count the shingles in 256 parts of the hash space: sets
+block, with profiles that count the shingles in parts of the hash space: sets
 whose profiles differ by more than similar sets can are parted again.  What is still
 connected forms a cluster.
 
@@ -30,7 +30,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -40,9 +40,9 @@ from .storage import deal, is_empty, partitions, stored
 
 _U = np.uint64
 
-#: Sets and shingles in one part of a cluster.
+#: Sets, and bytes of their shingles or profiles, in one part of a cluster.
 PART_SETS = 512
-PART_SHINGLES = 400_000
+PART_BYTES = 3_200_000
 #: Tasks that the rows of one set are dealt to.
 SALTS = 16
 
@@ -172,23 +172,51 @@ def trie_links(
             at = stop
 
 
+def profile_level(n: int) -> int:
+    """Binary logarithm of the number of parts in the profile of a set of ``n``."""
+    return min(max((n // 4).bit_length() - 1, 4), 16)
+
+
 def profile(shingle_set: np.ndarray) -> bytes:
-    """Number of shingles, 255 at most, in each of 256 parts of the hash space."""
-    counts = np.bincount(mix(shingle_set) >> _U(56), minlength=256)
+    """Number of shingles, 255 at most, in each part of the hash space.
+
+    There are four to eight shingles a part, but 16 parts at least and 65,536 at most.
+    """
+    level = profile_level(len(shingle_set))
+    counts = np.bincount(mix(shingle_set) >> _U(64 - level), minlength=1 << level)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def profile_links(profiles: np.ndarray, sizes: np.ndarray, num: int, den: int):
+def profile_links(profiles: list[bytes], sizes: np.ndarray, num: int, den: int):
     """Pairs of sets that their profiles do not part.
 
     Profiles of two sets differ by no more than the sets do, and similar sets differ by
-    at most (1 - t) / (1 + t) of their summed sizes.
+    at most (1 - t) / (1 + t) of their summed sizes.  Profiles of different levels are
+    compared after neighbouring parts of the finer one are added up.
     """
-    wide = profiles.astype(np.int16)
-    for i in range(len(wide) - 1):
-        apart = np.abs(wide[i + 1 :] - wide[i]).sum(axis=1, dtype=np.int64)
-        for j in np.flatnonzero(apart * (den + num) <= (sizes[i + 1 :] + sizes[i]) * (den - num)):
-            yield i, i + 1 + int(j)
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    levels = np.array([len(profiles[i]).bit_length() - 1 for i in order])
+    # Sizes ascend, so levels do; partners of a set are the sets right after it.
+    for level in np.unique(levels).tolist():
+        lo = int(np.searchsorted(levels, level))
+        end = int(np.searchsorted(levels, level, "right"))
+        most = int(sizes[end - 1]) * den // num
+        stop = int(np.searchsorted(sizes, most, "right"))
+        folded = np.stack(
+            [
+                np.frombuffer(profiles[i], np.uint8).reshape(1 << level, -1).sum(axis=1, dtype=np.int16)
+                for i in order[lo:stop]
+            ]
+        )
+        for i in range(lo, end):
+            last = int(np.searchsorted(sizes, int(sizes[i]) * den // num, "right"))
+            if last <= i + 1:
+                continue
+            apart = np.abs(folded[i + 1 - lo : last - lo] - folded[i - lo]).sum(axis=1, dtype=np.int64)
+            near = apart * (den + num) <= (sizes[i + 1 : last] + sizes[i]) * (den - num)
+            for j in np.flatnonzero(near).tolist():
+                yield int(order[i]), int(order[i + 1 + j])
 
 
 class _Forest:
@@ -255,6 +283,11 @@ def _within(rows: DataFrame, group: list[str], pairs_of: Callable) -> DataFrame:
     )
 
 
+def _part_count(sets: Column, octets: Column) -> Column:
+    """Number of parts for so many sets with loads of so many bytes."""
+    return F.greatest(F.ceil(sets / PART_SETS), F.ceil(octets / PART_BYTES))
+
+
 def _meet(members: DataFrame, pairs_of: Callable) -> DataFrame:
     """Links ``(a, b)`` that connect what ``pairs_of`` links within each cluster.
 
@@ -271,10 +304,13 @@ def _meet(members: DataFrame, pairs_of: Callable) -> DataFrame:
     stray_ids = found.where("b IS NULL").select("cluster", F.col("a").alias("doc_id"))
     if is_empty(stray_ids):
         return links
-    per = stray_ids.groupBy("cluster").agg(
-        F.ceil(F.count(F.lit(1)) / PART_SETS).alias("stray_parts")
+    members = members.where("parts > 1")
+    per = (
+        members.join(stray_ids, ["cluster", "doc_id"], "left_semi")
+        .groupBy("cluster")
+        .agg(_part_count(F.count(F.lit(1)), F.sum(F.octet_length("load"))).alias("stray_parts"))
     )
-    large = members.where("parts > 1").join(per, "cluster")
+    large = members.join(per, "cluster")
     each = F.sequence(F.lit(0).cast("bigint"), F.col("stray_parts") - 1)
     others = large.withColumn("part", part).withColumn("stray_part", F.explode(each))
     strays = (
@@ -489,9 +525,7 @@ def similar_groups(
         around.withColumn("parts", F.ceil((F.col("members") + 1) / PART_SETS))
         .join(profiles.hint("merge"), "doc_id")
         .select("cluster", "doc_id", "n", "parts", "load"),
-        lambda loads, sizes: profile_links(
-            np.array([np.frombuffer(x, np.uint8) for x in loads]), sizes, num, den
-        ),
+        lambda loads, sizes: profile_links(loads, sizes, num, den),
     )
     clusters = components(near)
     sizes = (
@@ -503,9 +537,7 @@ def similar_groups(
         .agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
         .select(
             "component",
-            F.greatest(
-                F.ceil(F.col("sets") / PART_SETS), F.ceil(F.col("shingles") / PART_SHINGLES)
-            ).alias("parts"),
+            _part_count(F.col("sets"), 8 * F.col("shingles")).alias("parts"),
         )
     )
     clustered = clusters.join(sizes, "component")
