@@ -40,8 +40,10 @@ from .storage import deal, is_empty, partitions, stored
 
 _U = np.uint64
 
-#: Sets, and bytes of their shingles or profiles, in one part of a cluster.
+#: Sets that meet in one part of a cluster in a trie, and by their much shorter profiles.
 PART_SETS = 512
+PROFILE_SETS = 4096
+#: Bytes of shingles or profiles in one part.
 PART_BYTES = 3_200_000
 #: Tasks that the rows of one set are dealt to.
 SALTS = 16
@@ -283,12 +285,12 @@ def _within(rows: DataFrame, group: list[str], pairs_of: Callable) -> DataFrame:
     )
 
 
-def _part_count(sets: Column, octets: Column) -> Column:
+def _part_count(sets: Column, octets: Column, part_sets: int) -> Column:
     """Number of parts for so many sets with loads of so many bytes."""
-    return F.greatest(F.ceil(sets / PART_SETS), F.ceil(octets / PART_BYTES))
+    return F.greatest(F.ceil(sets / part_sets), F.ceil(octets / PART_BYTES))
 
 
-def _meet(members: DataFrame, pairs_of: Callable) -> DataFrame:
+def _meet(members: DataFrame, pairs_of: Callable, part_sets: int) -> DataFrame:
     """Links ``(a, b)`` that connect what ``pairs_of`` links within each cluster.
 
     ``members`` is ``(cluster, doc_id, n, parts, load)``; a cluster is named by its
@@ -308,7 +310,9 @@ def _meet(members: DataFrame, pairs_of: Callable) -> DataFrame:
     per = (
         members.join(stray_ids, ["cluster", "doc_id"], "left_semi")
         .groupBy("cluster")
-        .agg(_part_count(F.count(F.lit(1)), F.sum(F.octet_length("load"))).alias("stray_parts"))
+        .agg(
+            _part_count(F.count(F.lit(1)), F.sum(F.octet_length("load")), part_sets).alias("stray_parts")
+        )
     )
     large = members.join(per, "cluster")
     each = F.sequence(F.lit(0).cast("bigint"), F.col("stray_parts") - 1)
@@ -522,10 +526,11 @@ def similar_groups(
     )
     profiles = table.where("other IS NULL AND n > 0").select("doc_id", "n", F.col("profile").alias("load"))
     near = _meet(
-        around.withColumn("parts", F.ceil((F.col("members") + 1) / PART_SETS))
+        around.withColumn("parts", F.ceil((F.col("members") + 1) / PROFILE_SETS))
         .join(profiles.hint("merge"), "doc_id")
         .select("cluster", "doc_id", "n", "parts", "load"),
         lambda loads, sizes: profile_links(loads, sizes, num, den),
+        PROFILE_SETS,
     )
     clusters = components(near)
     sizes = (
@@ -537,7 +542,7 @@ def similar_groups(
         .agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
         .select(
             "component",
-            _part_count(F.col("sets"), 8 * F.col("shingles")).alias("parts"),
+            _part_count(F.col("sets"), 8 * F.col("shingles"), PART_SETS).alias("parts"),
         )
     )
     clustered = clusters.join(sizes, "component")
@@ -549,6 +554,7 @@ def similar_groups(
     links = _meet(
         members,
         lambda loads, sizes: trie_links([np.frombuffer(x, "<u8") for x in loads], sizes, num, den),
+        PART_SETS,
     )
     found = components(links)
     first = names.join(

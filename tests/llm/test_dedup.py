@@ -173,6 +173,7 @@ def test_large_groups_are_dealt_in_parts(docs_of, monkeypatch):
     from corpuscope.llm import ngram_join
 
     monkeypatch.setattr(ngram_join, "PART_SETS", 8)
+    monkeypatch.setattr(ngram_join, "PROFILE_SETS", 16)
     rng = np.random.default_rng(5)
     rows = edited_group(rng, 90, 120, 9)
     expected = brute_groups(rows, 4, 85, 100)
