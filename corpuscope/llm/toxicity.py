@@ -2,13 +2,17 @@
 
 Texts are TF-IDF vectors over words and the beginnings of words (four to eight bytes;
 words are runs of letters, A-Z in lower case), so that a stem is seen under any
-ending.  The terms in use are those that tell toxic from clean examples by a
-chi-square test (at least 40) and at least triple the odds.  The examples stand in an inverted index in blocks,
-with the largest weight of every string in each block.  A text's similarity to a
-block's members is at most the product of its vector with those maxima, so blocks are
-read in order of that bound until it cannot beat the k-th best cosine: the neighbours
-are exact.  Their votes, weighted by closeness, are calibrated on the examples
-themselves (each left out of its own vote).
+ending.  Every term of every example is in use, and a term that no example has counts
+in the length of a text's vector.  Document frequencies are those of the examples.  A
+term weighs the more, the better it tells toxic from clean examples: its IDF is
+multiplied by the root of one plus its chi-square statistic.
+
+The examples stand in an inverted index in blocks, with the largest weight of every
+frequent term in each block.  A text's similarity to a block's members is at most the
+product of its vector with those maxima plus the largest sum over the other terms, so
+blocks whose bound does not reach the k-th best cosine are skipped: the neighbours are
+exact.  Their votes, weighted by closeness, are calibrated on the examples themselves
+(each left out of its own vote).
 
 The examples are a bounded sample of the labelled rows, so the index is broadcast;
 texts are scored where they are read, without a shuffle.
@@ -16,6 +20,7 @@ texts are scored where they are read, without a shuffle.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import LOWER, mix, range_hashes, runs, slices, texts
-from .packed import changes
-from .storage import stored
+from .packed import changes, from_planes, planes
+from .storage import partitions, stored
 
 MAX_EXAMPLES = 16_384
-MAX_TERMS = 512
 BLOCK = 64
 NEIGHBOURS = 15
+#: So many of the most frequent terms are held as dense columns, the others as postings.
+_DENSE = 1536
+_SEEDS = 16
+_BATCH = 256
 
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[ord("a") : ord("z") + 1] = True
@@ -56,68 +64,147 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(codes), np.concatenate(of)
 
 
-class Terms:
-    """Chosen terms, found fast."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = np.sort(codes.astype(np.uint64))
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[self._slot(self.codes)] = True
-
-    @staticmethod
-    def _slot(codes: np.ndarray) -> np.ndarray:
-        return codes >> np.uint64(44)
-
-    def counts(self, data: np.ndarray, offsets: np.ndarray):
-        """Row, term and count of the terms in each text."""
-        codes, rows = _codes(data, offsets)
-        some = self.maybe[self._slot(codes)]
-        codes, rows = codes[some], rows[some]
-        at = np.searchsorted(self.codes, codes)
-        if len(self.codes):
-            some = self.codes[np.minimum(at, len(self.codes) - 1)] == codes
-        else:
-            some = np.zeros(len(codes), dtype=bool)
-        pairs, counts = np.unique(rows[some] << 20 | at[some], return_counts=True)
-        return pairs >> 20, pairs & ((1 << 20) - 1), counts
+def _counts(data: np.ndarray, offsets: np.ndarray):
+    """Row, code and count of the terms in each text, by row and code."""
+    codes, rows = _codes(data, offsets)
+    order = np.lexsort((codes, rows))
+    codes, rows = codes[order], rows[order]
+    at = np.flatnonzero(changes(rows, codes))
+    return rows[at], codes[at], np.diff(np.append(at, len(codes)))
+
+
+class Postings:
+    """Weights of examples by term: those of a term are ``bounds[t]:bounds[t + 1]``."""
+
+    def __init__(self, n: int, often: np.ndarray):
+        """Room for ``often`` weights of each term."""
+        self.n = n
+        self.bounds = np.concatenate([[0], np.cumsum(often)])
+        self.rows = np.zeros(self.bounds[-1], np.int32)
+        self.weights = np.zeros(self.bounds[-1], np.float32)
+        self._next = self.bounds[:-1].copy()
+
+    def add(self, row: int, terms: np.ndarray, weights: np.ndarray) -> None:
+        at = self._next[terms]
+        self.rows[at], self.weights[at] = row, weights
+        self._next[terms] += 1
+
+    def sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Product of a vector with every example."""
+        lo = self.bounds[terms]
+        many = self.bounds[terms + 1] - lo
+        at = np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
+        return np.bincount(
+            self.rows[at],
+            self.weights[at] * np.repeat(np.asarray(weights, np.float64), many),
+            minlength=self.n,
+        )
 
 
 class BlockMaxIndex:
-    """Unit vectors of labelled examples in blocks with their largest weights."""
+    """Unit vectors of labelled examples in blocks with their largest weights.
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray):
-        strongest = vectors.argmax(axis=1) if len(vectors) else np.zeros(0, np.int64)
-        order = np.lexsort((ids, strongest, labels))
+    ``vectors`` is a matrix, or a list of the terms and weights of each example, which
+    is emptied, and ``width`` the number of terms.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors, width: int | None = None):
+        n = len(ids)
+        if not isinstance(vectors, list):
+            width = vectors.shape[1]
+            vectors = [(t := np.flatnonzero(v), v[t]) for v in vectors]
+        self.width = width
+        order = self._order(vectors, width)
         self.ids, self.labels = ids[order], labels[order]
-        self.vectors = np.ascontiguousarray(vectors[order], dtype=np.float32)
-        starts = np.arange(0, len(ids), BLOCK)
-        self.maxima = (
-            np.maximum.reduceat(self.vectors, starts, axis=0)
-            if len(ids)
-            else np.zeros((0, vectors.shape[1]), np.float32)
-        )
+        often = np.zeros(width, np.int64)
+        for terms, _ in vectors:
+            often[terms] += 1
+        dense = np.sort(np.argsort(-often, kind="stable")[:_DENSE])
+        self.column = np.full(width, -1, np.int32)
+        self.column[dense] = np.arange(len(dense))
+        self.head = np.zeros((n, len(dense)), np.float32)
+        often[dense] = 0
+        self.tail = Postings(n, often)
+        for row, i in enumerate(order.tolist()):
+            terms, weights = vectors[i]
+            vectors[i] = None
+            column = self.column[terms]
+            self.head[row, column[column >= 0]] = weights[column >= 0]
+            self.tail.add(row, terms[column < 0], weights[column < 0])
+        del self.tail._next
+        self.starts = np.arange(0, n, BLOCK)
+        self.maxima = np.maximum.reduceat(self.head, self.starts, axis=0) if n else self.head
+
+    @staticmethod
+    def _order(vectors: list, width: int) -> np.ndarray:
+        """Examples by the nearest of a few of them, so that blocks hold like ones."""
+        seeds = vectors[:: max(1, len(vectors) // _SEEDS)][:_SEEDS]
+        held = np.zeros((width, len(seeds)), np.float32)
+        for i, (terms, weights) in enumerate(seeds):
+            held[terms, i] = weights
+        nearest = [int((weights @ held[terms]).argmax()) for terms, weights in vectors]
+        return np.argsort(np.array(nearest, np.int64), kind="stable")
+
+    @property
+    def vectors(self) -> np.ndarray:
+        """The whole matrix, for small ones."""
+        out = np.zeros((len(self.ids), self.width), np.float32)
+        dense = np.flatnonzero(self.column >= 0)
+        out[:, dense] = self.head
+        terms = np.repeat(np.arange(self.width), np.diff(self.tail.bounds))
+        out[self.tail.rows, terms] = self.tail.weights
+        return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1):
         """Positions and cosines of the ``k`` nearest examples, nearest first.
 
         Examples that share no term are no neighbours.  Ties go to the smaller
-        position.  ``skip`` is an example to leave out.
+        position.  ``skip`` is an example to leave out, with all of its id.
         """
-        bounds = self.maxima[:, terms] @ weights
-        best, place = np.zeros(0, np.float32), np.zeros(0, np.int64)
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or (len(best) == k and bounds[block] < best[-1] - 1e-6):
-                break
-            lo = block * BLOCK
-            scores = self.vectors[lo : lo + BLOCK][:, terms] @ weights
-            if lo <= skip < lo + BLOCK:
-                scores[skip - lo] = 0
-            found = np.flatnonzero(scores > 0)
-            best = np.concatenate([best, scores[found]])
-            place = np.concatenate([place, found + lo])
-            order = np.lexsort((place, -best))[:k]
-            best, place = best[order], place[order]
-        return place, np.minimum(best, 1.0)
+        return self.nearest_of([(terms, weights)], k, [skip])[0]
+
+    def nearest_of(self, vectors: list[tuple], k: int, skips: list[int]) -> list[tuple]:
+        """:meth:`nearest` of several vectors."""
+        n, blocks = len(self.ids), len(self.starts)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in vectors]
+        head = np.zeros((len(vectors), self.head.shape[1]), np.float32)
+        tail = np.zeros((len(vectors), n))
+        for i, (terms, weights) in enumerate(vectors):
+            column = self.column[terms]
+            head[i, column[column >= 0]] = weights[column >= 0]
+            tail[i] = self.tail.sums(terms[column < 0], weights[column < 0])
+        bounds = head @ self.maxima.T + np.maximum.reduceat(tail, self.starts, axis=1) + 1e-5
+        scores = np.full((len(vectors), n), -1.0, np.float32)
+
+        def read(wanted: np.ndarray) -> None:
+            for block in np.flatnonzero(wanted.any(axis=0)).tolist():
+                mine = np.flatnonzero(wanted[:, block])
+                lo, hi = block * BLOCK, min(n, (block + 1) * BLOCK)
+                scores[mine, lo:hi] = head[mine] @ self.head[lo:hi].T + tail[mine, lo:hi]
+            for i, skip in enumerate(skips):
+                if skip >= 0:
+                    scores[i, self.ids == self.ids[skip]] = -1.0
+
+        def kth() -> np.ndarray:
+            return np.partition(scores, n - k, axis=1)[:, n - k] if n >= k else np.full(len(vectors), -1.0)
+
+        first = min(blocks, 1 + -(-k // BLOCK))
+        wanted = np.zeros(bounds.shape, dtype=bool)
+        best = np.argpartition(-bounds, first - 1, axis=1)[:, :first]
+        wanted[np.arange(len(vectors))[:, None], best] = True
+        read(wanted)
+        read((bounds >= kth()[:, None]) & ~wanted)
+        least = kth() - 1e-5
+        out = []
+        for i in range(len(vectors)):
+            # The sums of a matrix product depend on its shape, so the best are summed again.
+            place = np.flatnonzero((scores[i] >= least[i]) & (scores[i] > 0))
+            cosine = (self.head[place].astype(np.float64) * head[i]).sum(axis=1) + tail[i, place]
+            place, cosine = place[cosine > 0], cosine[cosine > 0]
+            order = np.lexsort((place, -cosine))[:k]
+            out.append((place[order], np.minimum(cosine[order], 1.0)))
+        return out
 
 
 def _increasing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,57 +221,103 @@ def _increasing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.array([b[1] / b[2] for b in blocks])
 
 
+def _squeezed(numbers: np.ndarray) -> bytes | None:
+    return zlib.compress(planes(numbers.astype("<u4")), 1) if len(numbers) else None
+
+
+def _widened(raw: bytes | None) -> np.ndarray:
+    return from_planes(zlib.decompress(raw), "<u4").astype(np.int64) if raw else np.zeros(0, np.int64)
+
+
 class Neighbours:
     """The fitted model: terms, their weights, the index and the calibration."""
 
-    def __init__(self, terms: Terms, idf: np.ndarray, k: int):
-        self.terms, self.idf, self.k = terms, idf, k
-
-    def vector(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        weights = (np.log1p(count) * self.idf[term]).astype(np.float32)
-        norm = np.linalg.norm(weights)
-        return weights / norm if norm > 0 else weights
-
-    def fit(self, ids, labels, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        some = [i for i, (term, _) in enumerate(rows) if len(term)]
-        none = [i for i, (term, _) in enumerate(rows) if not len(term)]
-        vectors = np.zeros((len(some), len(self.terms.codes)), np.float32)
-        for at, i in enumerate(some):
-            vectors[at, rows[i][0]] = self.vector(*rows[i])
-        self.prior = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.5
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list, k: int):
+        """From the ascending codes and the counts of the terms of each example; the list is reused."""
+        n, t = len(ids), int(labels.sum())
+        self.k = k
+        self.codes = np.zeros(0, np.uint64)
+        for i in range(0, n, 1024):
+            self.codes = np.unique(np.concatenate([self.codes, *(v[0] for v in vectors[i : i + 1024])]))
+        total, toxic = np.zeros(len(self.codes)), np.zeros(len(self.codes))
+        for i, (codes, counts) in enumerate(vectors):
+            terms = self._find(codes)[0].astype(np.int32)
+            total[terms] += 1
+            toxic[terms] += labels[i]
+            vectors[i] = _squeezed(np.diff(terms, prepend=0)), _squeezed(counts)
+        expected = total * t / max(n, 1)
+        chi = (toxic - expected) ** 2 * n / np.maximum(expected * (n - t) / max(n, 1) * (n - total), 1e-9)
+        chi[(total == n) | (t == 0) | (t == n)] = 0
+        self.weight = (np.log((1 + n) / (1 + total)) + 1e-3) * np.sqrt(1 + chi)
+        #: Weight of a term that no example has.
+        self.unseen = np.log(1 + n) + 1e-3
+        self.prior = (t + 1) / (n + 2) if n else 0.5
+        none = np.array([v is None for v, _ in vectors], dtype=bool)
         #: Score of a text without any term.
-        self.plain = (labels[none].sum() + self.prior) / (len(none) + 1)
-        self.index = BlockMaxIndex(ids[some], labels[some], vectors)
-        votes = np.array(
-            [
-                self.vote(np.flatnonzero(v), v[np.flatnonzero(v)], skip=i)[0]
-                for i, v in enumerate(self.index.vectors)
-            ]
-        )
+        self.plain = (labels[none].sum() + self.prior) / (none.sum() + 1)
+        self.ids, self.labels, self.vectors = ids, labels, vectors
+        self.steps = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+        self._index = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_index": None}
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        """Built where it is used: the terms and their counts are a sixth of its size."""
+        if self._index is None:
+            vectors = []
+            for steps, counts in self.vectors:
+                terms = np.cumsum(_widened(steps))
+                weights = np.log1p(_widened(counts)) * self.weight[terms]
+                unit = weights / max(np.linalg.norm(weights), 1e-30)
+                vectors.append((terms.astype(np.int32), unit.astype(np.float32)))
+            self._index = BlockMaxIndex(self.ids, self.labels, vectors, len(self.codes))
+        return self._index
+
+    def _find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each code, and whether it is that of a term."""
+        if not len(self.codes):
+            return np.zeros(len(codes), np.int64), np.zeros(len(codes), dtype=bool)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return at, self.codes[at] == codes
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         if len(votes):
-            self.steps = _increasing(votes, self.index.labels.astype(float))
-        else:
-            self.steps = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-
-    def vote(self, terms, weights, skip: int = -1):
-        """Share of toxic votes of the neighbours, with a small vote for the prior."""
-        place, cosine = self.index.nearest(terms, weights, self.k, skip)
-        weight = 1.0 / (1.05 - cosine)
-        share = (weight @ self.index.labels[place] + self.prior) / (weight.sum() + 1.0)
-        return float(share), place, cosine
-
-    def score(self, terms, counts):
-        """Calibrated score and evidence of a text."""
-        if not len(terms):
-            return float(self.plain), []
-        share, place, cosine = self.vote(terms, self.vector(terms, counts))
+            self.steps = _increasing(votes, labels.astype(float))
+
+    def votes(self, data: np.ndarray, offsets: np.ndarray, skips: np.ndarray | None = None):
+        """Row, share of toxic votes and neighbours of each text with terms.
+
+        The prior has a small vote.  ``skips`` has an example to leave out for each text.
+        """
+        rows, codes, counts = _counts(data, offsets)
+        at, known = self._find(codes)
+        weights = np.log1p(counts) * np.where(known, self.weight[at] if len(self.codes) else 0.0, self.unseen)
+        cuts = np.flatnonzero(changes(rows))
+        ends = np.append(cuts[1:], len(rows))
+        for lo in range(0, len(cuts), _BATCH):
+            vectors, skip = [], []
+            for a, b in zip(cuts[lo : lo + _BATCH].tolist(), ends[lo : lo + _BATCH].tolist()):
+                unit = weights[a:b] / np.linalg.norm(weights[a:b])
+                vectors.append((at[a:b][known[a:b]], unit[known[a:b]].astype(np.float32)))
+                skip.append(-1 if skips is None else int(skips[rows[a]]))
+            found = self.index.nearest_of(vectors, self.k, skip)
+            for a, (place, cosine) in zip(cuts[lo : lo + _BATCH].tolist(), found, strict=True):
+                weight = 1.0 / (1.05 - cosine)
+                share = (weight @ self.index.labels[place] + self.prior) / (weight.sum() + 1.0)
+                yield int(rows[a]), float(share), place, cosine
+
+    def score(self, data: np.ndarray, offsets: np.ndarray):
+        """Row, calibrated score and evidence of each text with terms."""
         at, value = self.steps
-        calibrated = float(np.interp(share, at, value))
-        # Votes keep their order within a step.
-        score = min(max(0.98 * calibrated + 0.02 * share, 0.0), 1.0)
-        ids = self.index.ids[place].tolist()
-        labels = self.index.labels[place].tolist()
-        return score, list(zip(ids, cosine.tolist(), labels, strict=True))
+        for row, share, place, cosine in self.votes(data, offsets):
+            calibrated = float(np.interp(share, at, value))
+            # Votes keep their order within a step.
+            score = min(max(0.98 * calibrated + 0.02 * share, 0.0), 1.0)
+            ids = self.index.ids[place].tolist()
+            labels = self.index.labels[place].tolist()
+            yield row, score, list(zip(ids, cosine.tolist(), labels, strict=True))
 
 
 def fit(
@@ -194,7 +327,6 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     max_examples: int = MAX_EXAMPLES,
-    max_terms: int = MAX_TERMS,
     k: int = NEIGHBOURS,
 ) -> Neighbours:
     """Learn from the labelled rows among ``docs``.
@@ -216,88 +348,73 @@ def fit(
         .select(F.col("_id").cast("bigint").alias("doc_id"), "_label", "text")
     )
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = texts(batch.column(1))
+            data, offsets = texts(batch.column(2))
             for lo, hi in slices(offsets):
-                codes, rows = _codes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                order = np.lexsort((rows, codes))
-                codes, rows = codes[order], rows[order]
-                once = changes(codes, rows)
-                codes, toxic = codes[once], (label[lo + rows[once]] > 0).astype(np.int64)
-                at = np.flatnonzero(changes(codes))
-                if not len(at):
-                    continue
-                total = np.diff(np.append(at, len(codes)))
+                rows, codes, counts = _counts(
+                    data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                )
+                cuts = np.searchsorted(rows, np.arange(hi - lo + 1)).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(codes[at].view(np.int64)),
-                        pa.array(np.add.reduceat(toxic, at)),
-                        pa.array(total),
+                        batch.column(0).slice(lo, hi - lo),
+                        batch.column(1).slice(lo, hi - lo),
+                        pa.array([codes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                        pa.array(
+                            [counts[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:])],
+                            pa.binary(),
+                        ),
                     ],
-                    ["code", "toxic", "total"],
+                    ["doc_id", "label", "codes", "counts"],
                 )
 
-    size = sample.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("_label") > 0).cast("int")), F.lit(0)).alias("t")
-    ).first()
-    n, t = float(size["n"]), float(size["t"])
-    a, total = F.col("toxic").cast("double"), F.col("total").cast("double")
-    expected = total * t / max(n, 1.0)
-    chi = (a - expected) ** 2 * n / (
-        F.greatest(expected, F.lit(1e-9)) * max(n - t, 1e-9) / max(n, 1.0)
-        * F.greatest(n - total, F.lit(1e-9))
-    )
-    terms = (
-        sample.select("_label", "text")
-        .mapInArrow(frequencies, "code bigint, toxic bigint, total bigint")
-        .groupBy("code")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
-        .where((a >= 5) & (a * (n - t) > 3 * (total - a) * t))
-        .withColumn("chi", chi)
-        .where("chi >= 40")
-        .orderBy(F.desc("chi"), "code")
-        .limit(max_terms)
-        .collect()
+    found = sample.select("doc_id", "_label", "text").mapInArrow(
+        counted, "doc_id bigint, label int, codes binary, counts binary"
     )
-    codes = np.array([r["code"] for r in terms], dtype=np.int64).view(np.uint64)
-    df = np.array([r["total"] for r in terms], dtype=float)[np.argsort(codes)]
-    model = Neighbours(Terms(codes), np.log((1 + n) / (1 + df)) + 1e-3, k)
-    chosen_terms = model.terms
+    ids, marks, vectors = [], [], []
+    for r in found.toLocalIterator():
+        ids.append(r["doc_id"])
+        marks.append(int(r["label"] > 0))
+        vectors.append((np.frombuffer(r["codes"], "<u8"), np.frombuffer(r["counts"], "<i4")))
+    # Equal tables give equal models in whatever order their rows come.
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], *(x[:99].tobytes() for x in vectors[i])))
+    ids, marks = np.array(ids, np.int64)[order], np.array(marks, np.int64)[order]
+    vectors = [vectors[i] for i in order]
+    model = Neighbours(ids, marks, vectors, k)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        by_id = np.argsort(fitted.index.ids, kind="stable")
         for batch in batches:
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            label = batch.column(1).to_numpy(zero_copy_only=False)
+            skips = by_id[np.searchsorted(fitted.index.ids, doc, sorter=by_id)]
             data, offsets = texts(batch.column(2))
-            out = [([], []) for _ in range(batch.num_rows)]
             for lo, hi in slices(offsets):
-                rows = chosen_terms.counts(
-                    data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                some = fitted.votes(
+                    data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], skips[lo:hi]
+                )
+                got = [(int(doc[lo + row]), int(label[lo + row] > 0), share) for row, share, _, _ in some]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x[0] for x in got], pa.int64()),
+                        pa.array([x[1] for x in got], pa.int32()),
+                        pa.array([x[2] for x in got], pa.float64()),
+                    ],
+                    ["doc_id", "label", "share"],
                 )
-                for row, term, count in zip(*(x.tolist() for x in rows), strict=True):
-                    out[lo + row][0].append(term)
-                    out[lo + row][1].append(count)
-            many = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([x[0] for x in out], many),
-                    pa.array([x[1] for x in out], many),
-                ],
-                ["doc_id", "label", "terms", "counts"],
-            )
 
-    rows = (
-        sample.mapInArrow(vectors, "doc_id bigint, label int, terms array<int>, counts array<int>")
-        .orderBy("doc_id")
+    votes = (
+        sample.select("doc_id", "_label", "text")
+        .repartition(partitions(docs))
+        .mapInArrow(voted, "doc_id bigint, label int, share double")
         .collect()
     )
-    model.fit(
-        np.array([r["doc_id"] for r in rows], dtype=np.int64),
-        np.array([int(r["label"] > 0) for r in rows], dtype=np.int64),
-        [(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64)) for r in rows],
-    )
+    votes.sort()
+    model.calibrate(np.array([r["share"] for r in votes]), np.array([r["label"] for r in votes]))
+    shared.destroy()
     return model
 
 
@@ -334,14 +451,10 @@ def score(docs: DataFrame, model: Neighbours, text_col: str = "text") -> DataFra
             scores = np.full(batch.num_rows, fitted.plain)
             evidence: list[list] = [[] for _ in range(batch.num_rows)]
             for lo, hi in slices(offsets):
-                rows, terms, counts = fitted.terms.counts(
-                    data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                )
-                cuts = np.flatnonzero(changes(rows)).tolist()
-                for a, b in zip(cuts, [*cuts[1:], len(rows)]):
-                    row = lo + int(rows[a])
-                    scores[row], found = fitted.score(terms[a:b], counts[a:b])
-                    evidence[row] = [
+                some = fitted.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                for row, value, found in some:
+                    scores[lo + row] = value
+                    evidence[lo + row] = [
                         {"doc_id": d, "similarity": s, "toxic": t} for d, s, t in found
                     ]
             yield pa.RecordBatch.from_arrays(

@@ -49,6 +49,34 @@ def test_toxicity_on_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_every_term_of_every_example_counts(docs_of, spark):
+    # Three toxic examples and no term with a strong chi-square: neighbours all the same.
+    name = [a + b for a in "bdfgk" for b in "aeiouymn"]
+    rows = [(100 + i, f"stone garden {name[i]}x quietly") for i in range(40)]
+    rows += [(200 + i, f"stone rubbish {name[i]}z quietly grumpy") for i in range(3)]
+    labels = spark.createDataFrame([(d, int(d >= 200)) for d, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs_of(rows), labels)
+    assert len(model.index.ids) == len(rows)
+    test = docs_of([(1, f"{name[17]}x quietly"), (2, f"{name[1]}z grumpy"), (3, f"{name[1]}z grumpy")])
+    got = {r.doc_id: r for r in toxicity.score(test, model).collect()}
+    assert got[1].evidence[0].doc_id == 117 and got[2].evidence[0].doc_id == 201
+    assert got[2].toxicity == got[3].toxicity > got[1].toxicity
+
+
+def test_toxicity_finds_held_out_toxic_texts(spark):
+    from corpuscope.llm.queries import QUERIES
+
+    for size, share in (("sf0.001", 1.0), ("sf0.01", 0.8), ("sf0.1", 0.9)):
+        sf = f"/root/testdata/{size}"
+        labels = spark.read.parquet(f"{sf}/labels.parquet")
+        got = QUERIES["op3_toxicity"](spark, sf).cache()
+        assert got.where("size(evidence) = 0").count() == 0
+        held = got.where("held_out").join(labels, "doc_id").collect()
+        toxic = [r.predicted for r in held if r.toxic]
+        clean = [r.predicted for r in held if not r.toxic]
+        assert sum(toxic) >= share * len(toxic) and sum(clean) <= 0.06 * len(clean)
+
+
 def labelled(docs_of, spark, n=120):
     rows = []
     for i in range(n):
