@@ -13,8 +13,11 @@ of suffixes:
 1. records are dealt and sorted by the anchor's hash; anchors of one document leave;
 2. next they are sorted by the hash of all bytes that the run spans; where that is
    equal, the runs are equal, and all but those of the smallest document are removed;
-3. one document per distinct run remains.  Its bytes are fetched and its windows
-   sorted digit by digit (eight bytes each) to the full depth.
+3. one document per distinct run remains.  The hashes of its windows are dealt and
+   sorted, so that the windows of one anchor go to many tasks.  Of the windows with
+   one hash that a task meets, it removes all but those of the smallest document
+   before the shuffle: a window is sent once by each million windows of a task,
+   however many documents share it.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ _U = np.uint64
 _SLICE = 1 << 20
 _PLACE = (1 << 24) - 1
 
-_RUN, _REMOVED, _LEADER = 0, 1, 2
+_RUN, _REMOVED, _LEADER, _WINDOW = 0, 1, 2, 3
 
 PER_DOC = "doc_id bigint, removed binary, leaders binary, leader_keys binary"
 
@@ -108,6 +111,14 @@ def radix_groups(windows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, n
     return index, group
 
 
+def window_verdicts(ids, hashes, place):
+    """Windows by hash and document, and flags of those that a smaller document has, too."""
+    order = np.lexsort((ids, hashes))
+    ids, hashes, place = ids[order], hashes[order], place[order]
+    new = changes(hashes)
+    return ids, hashes, place, ids > ids[new][np.cumsum(new) - 1]
+
+
 def _merged(ids, start, count):
     """Union of runs of starts per document: document, start and count, sorted."""
     order = np.lexsort((start, ids))
@@ -258,94 +269,64 @@ def repeated_runs(
         )
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = 0
         for batch in batches:
-            out: list[tuple] = []
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = texts(batch.column(1))
-            for i, (places, keys) in enumerate(
-                zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ):
-                place, key = np.frombuffer(places, "<u8"), np.frombuffer(keys, "<u8")
+            for i, places in enumerate(batch.column(2).to_pylist()):
+                place = np.frombuffer(places, "<u8")
                 start, count = (place >> _U(8)).astype(np.int64), (place & _U(255)).astype(np.int64)
                 fits = start + count + window - 1 <= offsets[i + 1] - offsets[i]
-                out += [
-                    (k, ids[i], s, c, data[s + offsets[i] : s + offsets[i] + c + window - 1].tobytes())
-                    for k, s, c in zip(
-                        key[fits].tolist(), start[fits].tolist(), count[fits].tolist()
-                    )
-                ]
-            bucket = scaled(np.array([x[0] for x in out], dtype=_U), parts)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
-            rows = []
-            for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
-                mine = [out[j] for j in order[lo:hi].tolist()]
-                key, doc, start, count, raw = zip(*mine)
-                rows.append(
-                    (
-                        int(bucket[order[lo]]),
-                        np.array(key, dtype="<u8").tobytes(),
-                        np.array(doc, dtype="<i8").tobytes(),
-                        np.array(start, dtype="<i8").tobytes(),
-                        np.array(count, dtype="<i8").tobytes(),
-                        b"".join(raw),
+                start, count = start[fits], count[fits]
+                # A long text's runs are hashed in stretches; a stretch has a run at least.
+                order = np.argsort(start, kind="stable")
+                start, count = start[order], count[order]
+                at = 0
+                while at < len(start):
+                    lo = int(start[at])
+                    stop = max(at + 1, int(np.searchsorted(start, lo + _SLICE)))
+                    mine = slice(at, stop)
+                    end = int((start[mine] + count[mine]).max()) + window - 1
+                    hashes = mix(Rolling(data[offsets[i] + lo : offsets[i] + end]).windows(window))
+                    step = np.arange(count[mine].sum()) - np.repeat(
+                        np.cumsum(count[mine]) - count[mine], count[mine]
                     )
-                )
-            for i in range(0, len(rows), 200):
-                values = zip(*rows[i : i + 200])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, pa.int32() if n == "bucket" else pa.binary()) for n, v in zip(fields, values)],
-                    fields,
-                )
+                    first = np.repeat(start[mine], count[mine]) + step
+                    out.append((np.full(len(first), ids[i]), hashes[first - lo], first.astype(_U)))
+                    held += len(first)
+                    at = stop
+                    if held > 1 << 20:
+                        yield from least(out)
+                        out, held = [], 0
+        yield from least(out)
 
-    def sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc, start, count, raw = [], [], [], [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                key.append(np.frombuffer(row["key"], "<u8"))
-                doc.append(np.frombuffer(row["doc"], "<i8"))
-                start.append(np.frombuffer(row["start"], "<i8"))
-                count.append(np.frombuffer(row["count"], "<i8"))
-                raw.append(np.frombuffer(row["raw"], np.uint8))
-        if not key:
+    def least(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Windows of the smallest document of each hash; the others are removed at once."""
+        if not out:
             return
-        key, doc, start, count, raw = map(np.concatenate, (key, doc, start, count, raw))
-        begin = np.cumsum(count + window - 1) - (count + window - 1)
-        # Keys are worked off in chunks of whole groups, so that the windows fit in memory.
-        order = np.argsort(key, kind="stable")
-        group = np.cumsum(changes(key[order])) - 1
-        through = np.cumsum(count[order])
-        at = 0
-        while at < len(order):
-            reach = np.searchsorted(through, (through[at - 1] if at else 0) + 200_000, "right")
-            stop = max(int(reach), at + 1)
-            stop = int(np.searchsorted(group, group[stop - 1], "right"))
-            mine = order[at:stop]
-            owner = np.repeat(np.arange(len(mine)), count[mine])
-            step = np.arange(len(owner)) - np.repeat(np.cumsum(count[mine]) - count[mine], count[mine])
-            all_windows = np.lib.stride_tricks.sliding_window_view(raw, window)
-            windows = all_windows[begin[mine][owner] + step]
-            index, equal = radix_groups(windows, key[mine][owner])
-            if len(index):
-                ids = doc[mine][owner[index]]
-                least = np.full(int(equal.max()) + 1, np.iinfo(np.int64).max)
-                np.minimum.at(least, equal, ids)
-                gone = ids > least[equal]
-                place = (start[mine][owner] + step)[index[gone]].astype(_U)
-                one = np.ones(len(place), _U)
-                yield from pack_rows(
-                    doc_buckets(ids[gone], parts), ids[gone], [place, one, one], _REMOVED
-                )
-            at = stop
-
-    fields = ["bucket", "key", "doc", "start", "count", "raw"]
+        ids, hashes, place = map(np.concatenate, zip(*out))
+        ids, hashes, place, gone = window_verdicts(ids, hashes, place)
+        yield from pack_rows(
+            scaled(hashes[~gone], parts), ids[~gone], [place[~gone], hashes[~gone]], _WINDOW
+        )
+        one = np.ones(int(gone.sum()), _U)
+        yield from pack_rows(doc_buckets(ids[gone], parts), ids[gone], [place[gone], one], _REMOVED)
+
+    def sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, (place, hashes), kind = unpack(batches, ["<u8", "<u8"])
+        whole = kind == _REMOVED
+        done, at = ids[whole], place[whole]
+        ids, hashes, place, gone = window_verdicts(ids[~whole], hashes[~whole], place[~whole])
+        for doc, start in ((done, at), (ids[gone], place[gone])):
+            one = np.ones(len(doc), _U)
+            yield from pack_rows(doc_buckets(doc, parts), doc, [start, one, one], _REMOVED)
+
     runs = deal(chosen.mapInArrow(anchored, SCHEMA), "bucket")
     verdicts = deal(runs.mapInArrow(judged, SCHEMA), "bucket")
     first = stored(verdicts.mapInArrow(gathered, PER_DOC))
     leaders = first.where(F.octet_length("leaders") > 0).select("doc_id", "leaders", "leader_keys")
-    contexts = chosen.join(leaders.hint("merge"), "doc_id").mapInArrow(
-        fetched, "bucket int, key binary, doc binary, start binary, count binary, raw binary"
-    )
+    contexts = chosen.join(leaders.hint("merge"), "doc_id").mapInArrow(fetched, SCHEMA)
     found = deal(contexts, "bucket").mapInArrow(sorted_windows, SCHEMA)
     second = stored(deal(found, "bucket").mapInArrow(gathered, PER_DOC))
     return first.select("doc_id", "removed").join(

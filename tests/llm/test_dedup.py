@@ -15,7 +15,7 @@ from corpuscope.llm.ngram_join import (
     size_classes,
     trie_links,
 )
-from corpuscope.llm.suffix_dedup import radix_groups, remove_repeats
+from corpuscope.llm.suffix_dedup import radix_groups, remove_repeats, window_verdicts
 
 from .conftest import awkward
 
@@ -109,6 +109,23 @@ def test_repeats_in_texts_longer_than_a_slice(docs_of):
     assert bytes(got[3].kept) == b"?"
 
 
+def test_repeats_of_a_passage_with_other_edges_in_each_text(docs_of):
+    rng = np.random.default_rng(4)
+    passage = bytes(rng.integers(97, 123, 120, dtype=np.uint8)).decode()
+    edges = ["".join(chr(x) for x in rng.integers(97, 123, 70)) for _ in range(800)]
+    rows = [(i, edges[2 * i] + passage + edges[2 * i + 1]) for i in range(400)]
+    expected = brute_repeats(rows)
+    got = remove_repeats(docs_of(rows)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got} == expected
+    # A task sends a window that all its texts share once, whatever their number.
+    ids = np.repeat(np.arange(400), 3)
+    hashes = np.tile(np.array([7, 7, 9], np.uint64), 400)
+    places = np.tile(np.array([1, 5, 8], np.uint64), 400)
+    doc, key, place, gone = window_verdicts(ids, hashes, places)
+    assert list(zip(doc[~gone], key[~gone], place[~gone])) == [(0, 7, 1), (0, 7, 5), (0, 9, 8)]
+    assert gone.sum() == 3 * 399
+
+
 def test_radix_groups_are_the_equal_windows():
     rng = np.random.default_rng(1)
     windows = rng.integers(0, 2, (300, 11), dtype=np.uint8) * (np.arange(11) > 4)
