@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, toxicity
+from .chat_format import format_chats, read_loss, read_turns, text_parts
 from .edit_fingerprints import compare_with_next
 from .line_dedup import drop_lines, keep_bitmaps
 from .mixing import mix_sources, word_count
 from .ngram_join import similar_groups
 from .packing import pack
 from .pii import KINDS, pseudonymise
+from .spelling_variants import spelling_variants, word_counts
 from .storage import read_table
+from .structure_repair import gather_turns, repair_structure
 from .suffix_dedup import remove_repeats
 from .topk import top_k
 
@@ -241,3 +244,99 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every twentieth vector with all others."""
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, usual form and root."""
+    found = spelling_variants(word_counts(read_table(spark, sf_dir, "documents")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def sample_chat(spark: SparkSession) -> DataFrame:
+    """Conversation -1: a question and an answer that both consist of control strings."""
+    turn = F.col("id")
+    return spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        turn.alias("turn"),
+        F.when(turn == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+
+
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+written AS (
+  SELECT *, regexp_replace(role, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|/?INST\])', '\1\\\2\3', 'g') AS safe_role,
+         regexp_replace(text, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|/?INST\])', '\1\\\2\3', 'g') AS safe_text
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                       FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>') + length(safe_role) + length('<|im_sep|>') + length(safe_text)
+                + length('<|im_end|>')) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id
+"""
+
+
+@query("op12_chat_format", CHAT_SQL)
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as transcripts, read back from these."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    chats = format_chats(turns.unionByName(sample_chat(spark)), text_parts("text"))
+    back = chats.withColumns({"_turns": read_turns("formatted"), "_loss": read_loss("segments")})
+    lines = F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("_turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("_loss").cast("bigint").alias("loss_chars"),
+        F.sha2("_loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """``(conv_id, copies)``: what is left of each row, as an array of no, one or two turns.
+
+    crc32 of ``conv_id:turn`` (a null is one space) modulo 20: 0 drops the row, 1 empties
+    its text, 2 takes its full stops, 3 repeats it, 4 makes it the user's.
+    """
+    space = F.lit(" ")
+    name = [F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat(name[0], F.lit(":"), name[1]).cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    row = F.struct(
+        F.col("turn").alias("turn"), F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text")
+    )
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    return turns.select("conv_id", F.array_repeat(row, times).alias("copies"))
+
+
+@query("op13_structure_repair")
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and brought into order by the cheapest edits."""
+    gathered = gather_turns(damaged(read_table(spark, sf_dir, "conversations")), F.col("copies"))
+    numbers = F.filter(F.array_distinct("turns.turn"), lambda t: t.isNotNull())
+    gaps = F.when(
+        F.size(numbers) > 0, F.array_max(numbers) - F.array_min(numbers) + 1 - F.size(numbers)
+    ).otherwise(0)
+    found = repair_structure(gathered.withColumn("gaps", gaps.cast("bigint")))
+    lines = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    return found.select(
+        "conv_id",
+        "gaps",
+        "blank",
+        "duplicate",
+        "truncated",
+        "illegal",
+        "cost",
+        "audit",
+        F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"),
+    )
