@@ -30,10 +30,9 @@ TOKEN = r"[\p{L}\p{N}_\-]+"
 
 
 def texts(spark, sf):
-    """Documents with their long words as author keywords."""
+    """Documents with their words as author keywords."""
     d = table(spark, sf, "documents")
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.length(w) >= 12)
-    words = F.array_sort(F.array_distinct(words))
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))))
     return d.select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"), "lang", "source",
                     (F.col("n_chars") % 100).alias("global_citations"),
                     F.when(F.size(words) > 0, words).alias("author_keywords"))
@@ -45,15 +44,14 @@ def with_abstracts(spark, sf, orders):
     return orders.withColumn("_doc", F.col("id") % d.count()).join(d, "_doc").drop("_doc")
 
 
-def benchmark_words(spark, sf, least):
-    """Distinct words of the benchmark items with at least ``least`` letters."""
-    words = table(spark, sf, "benchmark").select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("term"))
-    return words.where(F.length("term") >= least).distinct()
+def benchmark_words(spark, sf):
+    """Distinct words of the benchmark items."""
+    return table(spark, sf, "benchmark").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("term")).distinct()
 
 
-_LONG = r"""long AS (SELECT doc_id AS id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda w: len(w) >= 12))) AS term FROM documents)"""
-_BW = r"""bw AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM benchmark) WHERE len(term) >= %d)"""
+_WORDS = r"""words AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}+'))) AS term FROM documents)"""
+_BW = r"""bw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM benchmark)"""
 _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
 _FP_NORM = r"""strip_accents(regexp_replace(replace(lower(trim({c}, E' \n\t\r')), '-', ' '), '[!"#$%&''()*+,./:;<=>?@\[\]^_`{{|}}~-]', '', 'g'))"""
 _FP = "array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(" + _FP_NORM + r", '\s+'), lambda x: x <> ''))), ' ')"
@@ -142,9 +140,9 @@ def _(spark, sf):
     return X.transform_keywords(vocab, X.KeywordSet(["old", "b[a-z]+"], use_re=True))
 
 
-@query("extract_keywords_from_table", "WITH " + _BW % 10 + " SELECT doc_id AS id, term FROM documents JOIN bw ON contains(lower(text), term)")
+@query("extract_keywords_from_table", "WITH " + _BW + " SELECT doc_id AS id, term FROM documents JOIN bw ON contains(lower(text), term)")
 def _(spark, sf):
-    return X.extract_keywords_from_table(texts(spark, sf), "abstract", benchmark_words(spark, sf, 10))
+    return X.extract_keywords_from_table(texts(spark, sf), "abstract", benchmark_words(spark, sf))
 
 
 _AT = "strpos(lower(text), 'tion')"
@@ -204,7 +202,7 @@ def _(spark, sf):
     return X.concordances(texts(spark, sf), ["that", "with"]).select("id", "global_citations", "concordance")
 
 
-@query("co_mentioned", "WITH " + _LONG + """, k AS (SELECT DISTINCT term FROM long),
+@query("co_mentioned", "WITH " + _WORDS + """, k AS (SELECT DISTINCT term FROM words),
 s AS (SELECT DISTINCT s FROM (SELECT unnest(string_split(lower(text), '. ')) AS s FROM documents) WHERE contains(s, 'that'))
 SELECT DISTINCT term FROM k JOIN s ON contains(s, term)""")
 def _(spark, sf):
@@ -220,10 +218,11 @@ def _(spark, sf):
     return X.mentioned_keywords(with_abstracts(spark, sf, c), "words")
 
 
-@query("keywords_in_abstract", "WITH " + _LONG + r""", v AS (SELECT DISTINCT term FROM long),
+@query("keywords_in_abstract", "WITH " + _WORDS + r""", v AS (SELECT DISTINCT term FROM words),
 t AS (SELECT id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (
   SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_\-]+|[^\s\p{L}\p{N}_\-]') AS l FROM documents)),
-p AS (SELECT id, w, lag(w) OVER (PARTITION BY id ORDER BY i) IS NOT DISTINCT FROM 'the' AS pair FROM t),
+n AS (SELECT id, w, lag(w) OVER (PARTITION BY id ORDER BY i) IS NOT DISTINCT FROM 'the' AND w <> 'the' AS pair, lead(w) OVER (PARTITION BY id ORDER BY i) AS nxt FROM t),
+p AS (SELECT id, w, pair FROM n WHERE w <> 'the' OR nxt IS NULL OR nxt = 'the' OR nxt NOT IN (SELECT term FROM v)),
 h AS (SELECT DISTINCT id, CASE WHEN pair THEN 'the ' || w ELSE w END AS k, pair FROM p JOIN v ON term = w),
 g AS (SELECT id, string_agg(k, ';' ORDER BY k) AS a, coalesce(string_agg(k, ';' ORDER BY k) FILTER (WHERE NOT pair), '') AS b,
       coalesce(string_agg(k, ';' ORDER BY k) FILTER (WHERE pair), '') AS c FROM h GROUP BY id)
@@ -231,16 +230,17 @@ SELECT doc_id AS id, a AS abstract_keywords, b AS abstract_author_keywords, c AS
 FROM documents LEFT JOIN g ON id = doc_id""")
 def _(spark, sf):
     d = texts(spark, sf)
-    pairs = F.transform(F.col("author_keywords"), lambda w: F.concat(F.lit("the "), w))
+    # Pairs that cannot overlap, so that SQL can say which run claims a word.
+    pairs = F.transform(F.array_remove("author_keywords", "the"), lambda w: F.concat(F.lit("the "), w))
     out = X.keywords_in_abstract(d.withColumn("index_keywords", pairs))
     return out.select("id", *[F.array_join(c, ";").alias(c) for c in
                               ("abstract_keywords", "abstract_author_keywords", "abstract_index_keywords")])
 
 
-@query("to_american", "WITH " + _BW % 6 + r""", t AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), 1) AS i FROM documents)
+@query("to_american", "WITH " + _BW + r""", t AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), 1) AS i FROM documents)
 SELECT id, string_agg(CASE WHEN bw.term IS NOT NULL THEN reverse(w) ELSE w END, '' ORDER BY i) AS abstract FROM t LEFT JOIN bw ON w = bw.term GROUP BY id""")
 def _(spark, sf):
-    spelling = benchmark_words(spark, sf, 6).select(F.col("term").alias("british"), F.reverse("term").alias("american"))
+    spelling = benchmark_words(spark, sf).select(F.col("term").alias("british"), F.reverse("term").alias("american"))
     return X.to_american(texts(spark, sf), ["abstract"], spelling).select("id", "abstract")
 
 
@@ -276,12 +276,16 @@ def _(spark, sf):
     return texts(spark, sf).select("id", X.highlight(F.col("abstract"), ["the", "there"]).alias("abstract"))
 
 
-@query("complete_keywords", "WITH " + _LONG + """, v AS (SELECT DISTINCT term FROM long),
-f AS (SELECT doc_id AS id, term FROM documents JOIN v ON contains(lower(source || ' ' || text), term) WHERE doc_id NOT IN (SELECT id FROM long)),
-u AS (SELECT id, term FROM long UNION ALL SELECT id, term FROM f)
+@query("complete_keywords", "WITH " + _WORDS + """, poor AS (SELECT doc_id AS id FROM labels WHERE quality = 0),
+kw AS (SELECT id, term FROM words WHERE id NOT IN (SELECT id FROM poor)), v AS (SELECT DISTINCT term FROM kw),
+f AS (SELECT doc_id AS id, term FROM documents JOIN v ON contains(lower(source || ' ' || text), term) WHERE doc_id NOT IN (SELECT id FROM kw)),
+u AS (SELECT id, term FROM kw UNION ALL SELECT id, term FROM f)
 SELECT doc_id AS id, string_agg(term, ';' ORDER BY term) AS author_keywords FROM documents LEFT JOIN u ON id = doc_id GROUP BY doc_id""")
 def _(spark, sf):
-    out = X.complete_keywords(texts(spark, sf), texts=("source", "abstract"))
+    poor = table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("id"), F.lit(True).alias("poor")).distinct()
+    d = texts(spark, sf).join(poor, "id", "left")
+    d = d.withColumn("author_keywords", F.when(F.col("poor").isNull() & (F.size("author_keywords") > 0), F.col("author_keywords")))
+    out = X.complete_keywords(d, texts=("source", "abstract"))
     return out.select("id", F.array_join("author_keywords", ";").alias("author_keywords"))
 
 

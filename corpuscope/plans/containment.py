@@ -1,30 +1,25 @@
-"""Which texts contain which patterns, without comparing every pair.
-
-Strings are cut at single spaces.  A pattern of three or more tokens can only
-occur in a text that holds its inner tokens, whole and adjacent.  With three or more
-inner tokens both sides are keyed by a run of them (the rarest of the pattern); with
-one or two, by all of them and the first characters of the token that follows.  The
-candidates are verified on the full strings.  A pattern of one or two tokens lies
-within one or two adjacent tokens of the text, so it is looked for in the
-dictionary of those, keyed by its first characters.  Both ways are exact.
+"""Which texts contain which patterns, by automata over shards of the patterns.
+
+The patterns are dealt by hash to shards of bounded size and the texts to buckets.  A
+task receives one shard and one bucket, sorted so that the patterns come first: it builds
+an Aho-Corasick automaton of them and streams the texts through it, batch by batch.  Each
+text is read once per shard, what comes out are matches, and there are no candidate pairs
+whatever the patterns have in common.  A task holds one shard's automaton and one batch.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import materialise
-from .skew import skew_join
-
-GRAM_TOKENS = 3
-PREFIX_CHARS = 12
-
 
-def _tokens(name: str) -> Column:
-    return F.split(F.col(name), " ", -1)
+#: Characters of patterns in one automaton, and of texts that go through one at least.
+SHARD_CHARS = 1_000_000
+BUCKET_CHARS = 32_000_000
 
 
 def token_runs(tokens: Column, width: int) -> Column:
@@ -36,119 +31,82 @@ def token_runs(tokens: Column, width: int) -> Column:
     return F.when(F.size(tokens) >= width, runs).otherwise(F.array().cast("array<string>"))
 
 
-def _substrings(text: str, width: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (width - 1), F.lit(1)))
-    parts = F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(width)))
-    return F.when(F.length(text) >= width, parts).otherwise(F.array().cast("array<string>"))
-
-
-def _small_ints(df: DataFrame, c: Column) -> list[int]:
-    """Distinct values of a column known to take only a few small integers."""
-    return sorted(r[0] for r in df.select(c).distinct().collect())
-
-
-def _short_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Matches of patterns of one or two tokens, by way of the token dictionary."""
-    found = []
-    for n in _small_ints(patterns, F.size(_tokens("pattern"))):
-        some = patterns.where(F.size(_tokens("pattern")) == n).withColumn(
-            "key", F.substring("pattern", 1, PREFIX_CHARS)
-        )
-        pieces = texts.select(
-            "_t1", "_t2", F.explode(F.array_distinct(token_runs(_tokens("text"), n))).alias("piece")
-        )
-        widths = _small_ints(some, F.length("key"))
-        keys = F.array_distinct(F.concat(*[_substrings("piece", w) for w in widths]))
-        dictionary = pieces.select("piece").distinct().select("piece", F.explode(keys).alias("key"))
-        hits = (
-            skew_join(dictionary, some, "key")
-            .where(F.contains("piece", "pattern"))
-            .select("piece", "pattern")
-        )
-        found.append(skew_join(pieces, hits, "piece").select("_t1", "_t2", "pattern"))
-    return reduce(DataFrame.union, found).distinct()
-
-
-def _middle_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Candidates for patterns of three or four tokens, by inner tokens and start of the last."""
-    tokens = _tokens("pattern")
-    inner = F.array_join(F.slice(tokens, F.lit(2), F.size(tokens) - 2), " ")
-    keyed = patterns.select(
-        "pattern",
-        inner.alias("run"),
-        F.substring(F.element_at(tokens, -1), 1, PREFIX_CHARS).alias("start"),
-    )
-    lengths = _small_ints(keyed, F.length("start"))
-
-    def runs(width: int) -> Column:
-        found = token_runs(_tokens("text"), width)
-        return F.transform(
-            found,
-            lambda run, i: F.struct(
-                run.alias("run"), F.get(_tokens("text"), i + width).alias("after")
-            ),
-        )
-
-    held = texts.select("_t1", "_t2", F.explode(F.concat(*[runs(w) for w in (1, 2)])).alias("r"))
-    starts = F.array(*[F.substring("r.after", 1, n) for n in lengths])
-    long_enough = F.filter(
-        F.arrays_zip(starts.alias("start"), F.array(*[F.lit(n) for n in lengths]).alias("n")),
-        lambda x: F.length(x["start"]) == x["n"],
-    )
-    held = (
-        held.where("r.after IS NOT NULL")
-        .select("_t1", "_t2", "r.run", F.explode(long_enough).alias("s"))
-        .select("_t1", "_t2", "run", F.col("s.start").alias("start"))
-        .distinct()
-    )
-    return held.join(keyed, ["run", "start"]).select("_t1", "_t2", "pattern")
-
-
-def _long_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Candidates for patterns of five or more tokens, by their rarest inner run."""
-    tokens = _tokens("pattern")
-    width = F.least(F.lit(GRAM_TOKENS), F.size(tokens) - 2)
-    inner = F.transform(
-        F.sequence(F.lit(2), F.size(tokens) - width),
-        lambda i: F.array_join(F.slice(tokens, i, width), " "),
-    )
-    runs = patterns.select("pattern", F.explode(inner).alias("run"))
-    frequency = runs.groupBy("run").agg(F.count(F.lit(1)).alias("_f"))
-    keyed = (
-        skew_join(runs, frequency, "run")
-        .groupBy("pattern")
-        .agg(F.min_by("run", F.struct("_f", "run")).alias("run"))
-    )
-    widths = _small_ints(patterns, width)
-    runs_of_text = F.array_distinct(F.concat(*[token_runs(_tokens("text"), w) for w in widths]))
-    held = texts.select("_t1", "_t2", F.explode(runs_of_text).alias("run"))
-    return skew_join(held, keyed, "run").select("_t1", "_t2", "pattern")
-
-
-def containment_join(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+class _Shard:
+    """An automaton that takes its patterns first and texts afterwards."""
+
+    def __init__(self) -> None:
+        import ahocorasick
+
+        self._trie = ahocorasick.Automaton()
+        self._ready = False
+
+    def add(self, pattern: str) -> None:
+        self._trie.add_word(pattern, pattern)
+
+    def found_in(self, text: str) -> list[str]:
+        if not len(self._trie):
+            return []
+        if not self._ready:
+            self._trie.make_automaton()
+            self._ready = True
+        return list({pattern for _, pattern in self._trie.iter(text)})
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(text, patterns)`` of the texts in which the patterns before them occur."""
+    held = shard = None
+    for batch in batches:
+        rows, found = [], []
+        places, texts, values = (batch.column(c).to_pylist() for c in ("_part", "_text", "value"))
+        for row, (place, is_text, value) in enumerate(zip(places, texts, values)):
+            if place != held:
+                held, shard = place, _Shard()
+            if not is_text:
+                shard.add(value)
+            elif hits := shard.found_in(value):
+                rows.append(row)
+                found.append(hits)
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("value").take(pa.array(rows)), pa.array(found, pa.list_(pa.string()))],
+                names=["text", "patterns"],
+            )
+
+
+def containment_join(
+    texts: DataFrame,
+    patterns: DataFrame,
+    shard_chars: int = SHARD_CHARS,
+    bucket_chars: int = BUCKET_CHARS,
+) -> DataFrame:
     """Pairs ``(text, pattern)`` of distinct strings where the text contains the pattern.
 
     ``texts`` has a column ``text`` and ``patterns`` a column ``pattern``; empty
     and NULL strings never match.
     """
+    spark = texts.sparkSession
     patterns = materialise(patterns.select("pattern").where("pattern <> ''").distinct())
-    # Only a 96-bit hash of the text travels with its tokens; the text is joined back.
-    texts = materialise(
-        texts.select("text")
-        .where("text <> ''")
-        .distinct()
-        .withColumns({"_t1": F.xxhash64("text"), "_t2": F.hash("text")})
-    )
-    size = F.size(_tokens("pattern"))
-    ways = {"short": _short_matches, "middle": _middle_matches, "long": _long_matches}
-    kind = F.when(size <= 2, "short").when(size <= 4, "middle").otherwise("long")
-    kinds = {r[0] for r in patterns.select(kind).distinct().collect()}
-    parts = [ways[k](texts, patterns.where(kind == k)) for k in sorted(kinds)]
-    if not parts:
-        return texts.select("text", F.lit("").alias("pattern")).where(F.lit(False))
-    candidates = materialise(reduce(DataFrame.union, parts))
-    return (
-        skew_join(candidates, texts, ["_t1", "_t2"])
-        .where(F.contains("text", "pattern"))
-        .select("text", "pattern")
+    texts = materialise(texts.select("text").where("text <> ''").distinct())
+    none = F.lit(0).cast("bigint")
+    in_patterns = patterns.agg(F.coalesce(F.sum(F.length("pattern")), none)).first()[0]
+    in_texts = texts.agg(F.coalesce(F.sum(F.length("text")), none)).first()[0]
+    shards = 1 + in_patterns // shard_chars
+    cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1 + in_texts // bucket_chars, -(-cores // shards))
+
+    def dealt(df: DataFrame, column: str, is_text: bool) -> DataFrame:
+        """Rows in each part that needs them: one shard of patterns, one bucket of texts."""
+        own = F.pmod(F.xxhash64(column), F.lit(buckets if is_text else shards))
+        others = F.explode(F.sequence(F.lit(0), F.lit((shards if is_text else buckets) - 1)))
+        part = F.col("_other") * buckets + own if is_text else own * buckets + F.col("_other")
+        return df.withColumn("_other", others).select(
+            part.cast("int").alias("_part"), F.lit(is_text).alias("_text"), F.col(column).alias("value")
+        )
+
+    rows = dealt(patterns, "pattern", False).unionByName(dealt(texts, "text", True))
+    found = (
+        rows.repartitionById(shards * buckets, F.col("_part"))
+        .sortWithinPartitions("_part", "_text")
+        .mapInArrow(_scan, "text string, patterns array<string>")
     )
+    return found.select("text", F.explode("patterns").alias("pattern"))

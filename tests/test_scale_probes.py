@@ -4,25 +4,59 @@ import random
 import time
 from collections import Counter
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.operators import graph, text
+from corpuscope.operators.cleaning import citation_pairs
 from corpuscope.operators.matrix import bigraph, tfidf, tfidf_ranking, tf
+from corpuscope.plans import containment
 from corpuscope.plans.containment import containment_join
 from corpuscope.plans.lineage import materialise
 
 
-def test_containment_with_a_common_middle_word_stays_linear(spark):
-    names = [(f"alpha{i} of beta{i}",) for i in range(3000)]
+@pytest.mark.parametrize(
+    "name", ["alpha{} of beta{}", "alpha{} one of the beta{}", "alpha{} of internationalisation{}", "the the the {} {}"]
+)
+def test_containment_with_common_words_gives_matches_only(spark, name):
+    names = [(name.format(i, i),) for i in range(1000, 4000)]
     texts = spark.createDataFrame(names, "text string")
     patterns = spark.createDataFrame(names, "pattern string")
-    from corpuscope.plans import containment
+    rows = []
+    scan = containment._scan
 
-    candidates = containment._middle_matches(
-        texts.withColumns({"_t1": F.xxhash64("text"), "_t2": F.hash("text")}), patterns
-    )
-    assert candidates.count() < 10 * 3000
+    def counted(batches):
+        for batch in scan(batches):
+            rows.extend(batch.column("patterns").to_pylist())
+            yield batch
+
+    parts = [(0, False, n) for (n,) in names] + [(0, True, n) for (n,) in names]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*parts)], names=["_part", "_text", "value"])
+    list(counted(iter([batch])))
+    assert rows == [[n] for (n,) in names]
+    start = time.time()
     assert containment_join(texts, patterns).count() == 3000
+    assert time.time() - start < 30
+
+
+def test_containment_over_shards_and_buckets(spark):
+    rng = random.Random(4)
+    texts = {"".join(rng.choices("abc ", k=rng.randrange(1, 60))) for _ in range(300)}
+    patterns = {"".join(rng.choices("abc ", k=rng.randrange(1, 7))) for _ in range(200)} | {"", "abc" * 30}
+    a = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string")
+    b = spark.createDataFrame([(p,) for p in patterns] + [(None,)], "pattern string")
+    got = [(r["text"], r["pattern"]) for r in containment_join(a, b, shard_chars=50, bucket_chars=500).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(t, p) for t in texts for p in patterns if p and p in t}
+    assert containment_join(a, b.limit(0)).count() == containment_join(a.limit(0), b).count() == 0
+
+
+def test_citations_of_a_common_title_meet_by_year(spark):
+    docs = [(i, 1900 + i % 100, "editorial", [f"X, Editorial, {1900 + (i + 1) % 100}"] if i < 3 else None) for i in range(2000)]
+    df = spark.createDataFrame(docs, "id int, year int, title string, global_references array<string>")
+    got = {(r["citing"], r["cited"]) for r in citation_pairs(df).collect()}
+    assert got == {(i, j) for i in range(3) for j in range(2000) if j % 100 == i + 1}
 
 
 def test_components_of_a_long_path(spark):
