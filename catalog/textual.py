@@ -91,6 +91,39 @@ def _(spark, sf):
     return words.select("term", stem.stem_key("term").alias("key"))
 
 
+# Stems worked out by hand from the published rules: adverbs and plurals of the words of parts.
+_STEMS = """stems(word, stem) AS (VALUES ('newly', 'newli'), ('hotly', 'hot'), ('coldly', 'cold'), ('redly', 'red'),
+ ('oldly', 'old'), ('largely', 'larg'), ('smallly', 'smallli'), ('bluely', 'blueli'), ('bolts', 'bolt'), ('plates', 'plate'),
+ ('rods', 'rod'), ('gears', 'gear'), ('gizmos', 'gizmo'), ('anvils', 'anvil'), ('widgets', 'widget'), ('rings', 'ring'),
+ ('new', 'new'), ('hot', 'hot'), ('cold', 'cold'), ('red', 'red'), ('old', 'old'), ('large', 'larg'), ('small', 'small'),
+ ('blue', 'blue'), ('bolt', 'bolt'), ('plate', 'plate'), ('rod', 'rod'), ('gear', 'gear'), ('gizmo', 'gizmo'),
+ ('anvil', 'anvil'), ('widget', 'widget'), ('ring', 'ring'))"""
+_FORMS = _STEMS + """, p AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS n FROM part),
+forms AS (SELECT a || ' ' || n AS term, a, n FROM p UNION SELECT a || 'ly ' || n, a || 'ly', n FROM p
+ UNION SELECT a || 'ly ' || n || 's', a || 'ly', n || 's' FROM p UNION SELECT n || 's ' || a, a, n || 's' FROM p),
+keyed AS (SELECT term, least(x.stem, y.stem) || ' ' || greatest(x.stem, y.stem) AS key FROM forms JOIN stems x ON x.word = a JOIN stems y ON y.word = n)"""
+
+
+def part_forms(spark, sf):
+    """Names of parts as they are, as adverbs, in the plural and the other way round."""
+    words = F.split("p_name", " ")
+    a, n, s = words[0], words[1], F.lit("s")
+    forms = F.array(
+        F.concat_ws(" ", a, n), F.concat(a, F.lit("ly "), n), F.concat(a, F.lit("ly "), n, s), F.concat(n, F.lit("s "), a))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), forms.alias("forms"))
+
+
+@query("stem_key_snowball", "WITH " + _FORMS + " SELECT DISTINCT term, key FROM keyed")
+def _(spark, sf):
+    terms = part_forms(spark, sf).select(F.explode("forms").alias("term")).distinct()
+    return terms.select("term", stem.stem_key("term", "snowball").alias("key"))
+
+
+@query("find_terms_by_stem_snowball", "WITH " + _FORMS + " SELECT DISTINCT term FROM keyed WHERE contains(key, 'larg plate')")
+def _(spark, sf):
+    return X.find_terms_by_stem(part_forms(spark, sf), "forms", "plated largely", kind="snowball")
+
+
 @query("find_terms", with_views("ik") + r" SELECT DISTINCT term FROM ik WHERE regexp_matches(term, '(?i)RED|^old.*t$')")
 def _(spark, sf):
     c = corpus(spark, sf, "index_keywords")
@@ -278,7 +311,8 @@ def _(spark, sf):
 
 @query("complete_keywords", "WITH " + _WORDS + """, poor AS (SELECT doc_id AS id FROM labels WHERE quality = 0),
 kw AS (SELECT id, term FROM words WHERE id NOT IN (SELECT id FROM poor)), v AS (SELECT DISTINCT term FROM kw),
-f AS (SELECT doc_id AS id, term FROM documents JOIN v ON contains(lower(source || ' ' || text), term) WHERE doc_id NOT IN (SELECT id FROM kw)),
+m AS MATERIALIZED (SELECT doc_id AS id, lower(source || ' ' || text) AS t FROM documents WHERE doc_id NOT IN (SELECT id FROM kw)),
+f AS (SELECT id, term FROM m JOIN v ON contains(t, term)),
 u AS (SELECT id, term FROM kw UNION ALL SELECT id, term FROM f)
 SELECT doc_id AS id, string_agg(term, ';' ORDER BY term) AS author_keywords FROM documents LEFT JOIN u ON id = doc_id GROUP BY doc_id""")
 def _(spark, sf):
@@ -407,6 +441,12 @@ def _(spark, sf):
     return TH.cluster_terms(d, "title", key="fingerprint", name_strategy="alphabetical")
 
 
+@query("cluster_terms_snowball", "WITH " + _FORMS + """, names AS (SELECT key, min(term) AS canonical FROM keyed GROUP BY key)
+SELECT DISTINCT canonical, term AS variant FROM keyed JOIN names USING (key)""")
+def _(spark, sf):
+    return TH.cluster_terms(part_forms(spark, sf), "forms", key="snowball", name_strategy="alphabetical")
+
+
 @query("keywords_thesaurus")
 def _(spark, sf):
     return TH.keywords_thesaurus(texts(spark, sf), ["author_keywords"])

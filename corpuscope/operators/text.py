@@ -519,20 +519,22 @@ def find_terms(
     return doc_terms(df, col).where(matches).select("term").distinct()
 
 
-def _stems(terms: DataFrame) -> DataFrame:
+def _stems(terms: DataFrame, kind: str) -> DataFrame:
     plain = F.lower(remove_accents(F.col("term")))
-    return terms.select("term", stem_key(plain).alias("stems"))
+    return terms.select("term", stem_key(plain, kind).alias("stems"))
 
 
-def find_terms_by_stem(df: DataFrame, col: str, query: str, mode: str = "and") -> DataFrame:
-    """Distinct terms sharing stems with ``query``.
+def find_terms_by_stem(
+    df: DataFrame, col: str, query: str, mode: str = "and", kind: str = "porter"
+) -> DataFrame:
+    """Distinct terms sharing stems with ``query``, Porter's or Snowball's.
 
     ``and``: the sorted stems of the query occur in the sorted stems of the term;
     ``or``: any stem of the query occurs in any stem of the term.
     """
     spark = df.sparkSession
-    terms = _stems(doc_terms(df, col).select("term").distinct())
-    wanted = _stems(spark.createDataFrame([(query,)], "term string")).select("stems").scalar()
+    terms = _stems(doc_terms(df, col).select("term").distinct(), kind)
+    wanted = _stems(spark.createDataFrame([(query,)], "term string"), kind).select("stems").scalar()
     terms = terms.withColumn("_q", wanted)
     if mode == "and":
         return terms.where(F.contains("stems", "_q")).select("term")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,10 @@ KEYS = {
     "1-gram": one_gram,
     "2-gram": two_gram,
     "porter": stem_key,
+    "snowball": partial(stem_key, kind="snowball"),
 }
+#: Most entries a thesaurus of regular expressions may have.
+MAX_EXPRESSIONS = 2000
 
 
 def apply_thesaurus(
@@ -53,7 +57,10 @@ def _ranked(th: DataFrame) -> DataFrame:
 
 def _regex_entries(th: DataFrame) -> list:
     """A thesaurus of regular expressions is written by hand; its entries become literals."""
-    return _ranked(th).orderBy("rank").collect()
+    entries = _ranked(th).orderBy("rank").limit(MAX_EXPRESSIONS + 1).collect()
+    if len(entries) > MAX_EXPRESSIONS:
+        raise ValueError(f"a thesaurus holds at most {MAX_EXPRESSIONS} regular expressions")
+    return entries
 
 
 def _matches(
