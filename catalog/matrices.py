@@ -295,13 +295,36 @@ def _(spark, sf):
     return K.silhouette_sweep(embedding_vectors(spark, sf), [2, 3, 4])
 
 
-@query("density_clusters")
+def _density_sql(points: str, eps: float, least: int) -> str:
+    """Density clusters by definition: points ``p(term, x)`` with a list of coordinates."""
+    return f"""WITH RECURSIVE {points},
+near AS MATERIALIZED (SELECT a.term AS a, b.term AS b FROM p a JOIN p b ON list_distance(a.x, b.x) <= {eps}),
+core AS (SELECT a AS term FROM near GROUP BY a HAVING count(*) >= {least}),
+l AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT term FROM core) AND b IN (SELECT term FROM core)),
+rr AS (SELECT a, b FROM l UNION SELECT rr.a, l.b FROM rr JOIN l ON rr.b = l.a),
+named AS (SELECT a AS term, min(b) AS name FROM rr GROUP BY a),
+border AS (SELECT near.a AS term, min(name) AS name FROM near JOIN named ON named.term = near.b
+           WHERE near.a NOT IN (SELECT term FROM core) GROUP BY 1)
+SELECT term, CAST(name AS VARCHAR) AS cluster FROM p LEFT JOIN (FROM named UNION ALL FROM border) USING (term)"""
+
+
+@query("density_clusters", _density_sql("p AS (SELECT s_suppkey AS term, [s_acctbal / 1000, CAST(s_nationkey AS DOUBLE)] AS x FROM supplier)", 1.0, 4))
 def _(spark, sf):
     p = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("term"), F.posexplode(
         F.array(F.col("s_acctbal") / 1000, F.col("s_nationkey").cast("double"))).alias("axis", "value"))
     return K.density_clusters(p, 1.0, 4)
 
 
+@query("density_clusters_five_dimensions", _density_sql("""p AS (SELECT l_suppkey AS term, [round(avg(l_quantity), 6), round(avg(l_extendedprice) / 2000, 6),
+ round(100 * avg(l_discount), 6), round(100 * avg(l_tax), 6), CAST(min(l_linenumber) AS DOUBLE)] AS x FROM lineitem GROUP BY l_suppkey)""", 1.2, 5))
+def _(spark, sf):
+    mean = lambda c, by=1.0: F.round(by * F.avg(c), 6)
+    p = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("term")).agg(F.array(
+        mean("l_quantity"), F.round(F.avg("l_extendedprice") / 2000, 6), mean("l_discount", 100.0), mean("l_tax", 100.0),
+        F.min("l_linenumber").cast("double")).alias("x"))
+    return K.density_clusters(p.select("term", F.posexplode("x").alias("axis", "value")), 1.2, 5)
+
+
 @query("affinity_clusters")
 def _(spark, sf):
     c, edges = _equivalence(spark, sf)

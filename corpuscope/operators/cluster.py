@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.items import doc_terms, items
 from ..plans.lineage import materialise
 from ..plans.skew import skew_join
+from ..plans.spatial import near_boxes
 from .graph import connected_components
 from .terms import check_axis, kept_terms
 
@@ -105,17 +105,22 @@ def threshold_clusters(edges: DataFrame, threshold: float) -> DataFrame:
 def density_clusters(
     coords: DataFrame, eps: float = 0.5, min_samples: int = 5, item: str = "term"
 ) -> DataFrame:
-    """``(item, cluster)``: density clustering of points ``(item, axis, value)`` in few dimensions.
+    """``(item, cluster)``: density clustering of points ``(item, axis, value)``.
 
     Equal points are one weighted point.  Space is cut into cells whose diagonal
     is ``eps``: points of one cell are neighbours, so a cell with ``min_samples``
     points is all core and is one node, and only cells with fewer points are
-    compared point by point with their surroundings.  Noise has a NULL cluster.
+    compared point by point with their surroundings.  The occupied cells within reach
+    of each other come from a tree over their boxes, whatever the number of dimensions.
+    A cluster is named by its smallest core item; a border point takes the smallest name
+    among those of the cores it can see.  Noise has a NULL cluster.
     """
     points = coords.groupBy(item).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("axis", "value"))), lambda s: s["value"]).alias("x")
     )
     dims = points.select(F.max(F.size("x"))).first()[0]
+    if dims is None:
+        return points.select(item, F.lit(None).cast("string").alias("cluster"))
     side = eps / dims**0.5
     cell = F.transform("x", lambda v: F.floor(v / side).cast("int"))
     points = materialise(points.withColumn("cell", cell))
@@ -126,17 +131,18 @@ def density_clusters(
     totals = distinct.groupBy("cell").agg(F.sum("w").alias("n"))
     dense = totals.where(F.col("n") >= min_samples).select("cell")
     sparse = distinct.join(totals.where(F.col("n") < min_samples).select("cell"), "cell", "left_semi")
-    reach = int(dims**0.5) + 1
-    steps = F.array(*[F.array(*[F.lit(d) for d in s]) for s in product(range(-reach, reach + 1), repeat=dims)])
-
-    def around(c):
-        return F.transform(steps, lambda s: F.zip_with(c, s, lambda a, b: a + b))
+    corners = [f(F.col("x")[i]).alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    boxes = distinct.groupBy("cell").agg(*corners)
+    boxes = boxes.select("cell", F.array(*[f"lo{i}" for i in range(dims)]).alias("lo"), F.array(*[f"hi{i}" for i in range(dims)]).alias("hi"))
+    boxes = materialise(boxes)
+    beside = materialise(near_boxes(boxes.withColumnRenamed("cell", "box"), eps))
 
     def near(a: str, b: str):
         squares = F.zip_with(a, b, lambda u, v: (u - v) * (u - v))
         return F.aggregate(squares, F.lit(0.0), lambda s, v: s + v) <= eps * eps + 1e-12
 
-    probes = sparse.select(F.col("pid").alias("probe"), F.col("x").alias("px"), F.explode(around(F.col("cell"))).alias("cell"))
+    probes = sparse.select(F.col("pid").alias("probe"), F.col("x").alias("px"), F.col("cell").alias("a"))
+    probes = skew_join(probes, beside, "a").select("probe", "px", F.col("b").alias("cell"))
     close = materialise(
         skew_join(distinct, probes, "cell").where(near("x", "px")).select("probe", "pid", "cell", "w")
     )
@@ -151,10 +157,10 @@ def density_clusters(
         F.concat(F.lit("point "), "probe").alias("t1"), F.col("node").alias("t2")
     )
     dense_points = distinct.join(dense, "cell", "left_semi").select("x", "cell")
-    boxes = dense_points.groupBy("cell").agg(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))])
-    boxes = boxes.select("cell", F.array(*[f"lo{i}" for i in range(dims)]).alias("lo"), F.array(*[f"hi{i}" for i in range(dims)]).alias("hi"))
-    pairs = boxes.select(F.col("cell").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(around(F.col("cell"))).alias("cell"))
-    pairs = pairs.join(boxes, "cell").where(F.array_join("a", " ") < F.array_join("cell", " "))
+    dense_boxes = boxes.join(dense, "cell", "left_semi")
+    first = dense_boxes.select(F.col("cell").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
+    pairs = beside.where(F.array_join("a", " ") < F.array_join("b", " ")).withColumnRenamed("b", "cell")
+    pairs = pairs.join(first, "a").join(dense_boxes, "cell")
 
     def squared(parts):
         return F.aggregate(parts, F.lit(0.0), lambda s, v: s + v * v)
@@ -177,15 +183,17 @@ def density_clusters(
     cells = sure.union(met).select(name("a").alias("t1"), name("b").alias("t2"))
     own = node_of.select(F.col("node").alias("t1"), F.col("node").alias("t2")).distinct()
     comps = materialise(connected_components(seen.union(cells).union(own)))
-    cores = node_of.join(comps, "node").select("pid", "cluster")
+    keyed = points.withColumn("pid", F.array_join(F.transform("x", lambda v: v.cast("string")), " "))
+    cores = materialise(node_of.join(comps, "node").select("pid", "cluster"))
+    names = skew_join(keyed, cores, "pid").groupBy("cluster").agg(F.min(item).alias("name"))
+    cores = skew_join(cores, names, "cluster").select("pid", "name")
     border = (
         skew_join(close.join(core_probes, "probe", "left_anti"), cores, "pid")
         .groupBy(F.col("probe").alias("pid"))
-        .agg(F.min("cluster").alias("cluster"))
+        .agg(F.min("name").alias("name"))
     )
-    labelled = cores.union(border).groupBy("pid").agg(F.min("cluster").alias("cluster"))
-    keyed = points.withColumn("pid", F.array_join(F.transform("x", lambda v: v.cast("string")), " "))
-    return skew_join(keyed, labelled, "pid", "left").select(item, "cluster")
+    labelled = cores.union(border)
+    return skew_join(keyed, labelled, "pid", "left").select(item, F.col("name").cast("string").alias("cluster"))
 
 
 def cluster_documents(df: DataFrame, col: str, clusters: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from corpuscope.operators import cluster as K
 from corpuscope.operators import factor as D
 from corpuscope.operators import graph as G
 from corpuscope.plans.lineage import materialise
+from corpuscope.plans.spatial import Splits, near_boxes
 
 
 @pytest.fixture(scope="module")
@@ -67,11 +68,11 @@ def test_mds_keeps_distances(spark):
     assert np.allclose(np.linalg.norm(y[:, None] - y[None], axis=2), d)
 
 
-@pytest.mark.parametrize("dims", [1, 2])
-def test_density_clusters_match_definition(spark, dims):
+@pytest.mark.parametrize("dims, eps", [(1, 0.4), (2, 0.4), (3, 0.4), (5, 0.9), (10, 1.6)])
+def test_density_clusters_match_definition(spark, dims, eps):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(c, 0.35, (25, dims)) for c in (0, 2, 5)] + [rng.uniform(-3, 9, (15, dims)), np.zeros((6, dims))])
-    eps, least = 0.4, 4
+    least = 4
     cells = [(i, a, float(x[i, a])) for i in range(len(x)) for a in range(dims)]
     got = {r["term"]: r["cluster"] for r in K.density_clusters(spark.createDataFrame(cells, "term int, axis int, value double"), eps, least).collect()}
     near = np.linalg.norm(x[:, None] - x[None], axis=2) <= eps
@@ -88,6 +89,33 @@ def test_density_clusters_match_definition(spark, dims):
             assert (got[i] is None) == (not (near[i] & core).any())
 
 
+@pytest.mark.parametrize("dims", [1, 2, 6])
+def test_near_boxes_match_brute_force(spark, dims):
+    rng = np.random.default_rng(dims)
+    # Half of the boxes crowd around one border of the tree.
+    lo = np.vstack([rng.uniform(0, 10, (300, dims)), np.full((300, dims), 5.0) + rng.normal(0, 0.05, (300, dims))])
+    hi = lo + rng.uniform(0, 0.3, lo.shape)
+    reach = 0.2 * dims
+    rows = [([i, -i], lo[i].tolist(), hi[i].tolist()) for i in range(len(lo))]
+    boxes = spark.createDataFrame(rows, "box array<int>, lo array<double>, hi array<double>").repartition(3)
+    found = near_boxes(boxes, reach, leaf_boxes=25).collect()
+    got = {(r["a"][0], r["b"][0]) for r in found}
+    gaps = np.maximum(np.maximum(lo[None] - hi[:, None], lo[:, None] - hi[None]), 0)
+    assert len(found) == len(got)
+    assert got == set(zip(*map(list, np.nonzero(np.square(gaps).sum(2) <= reach**2 + 1e-12))))
+    assert near_boxes(boxes.limit(0), reach).collect() == []
+
+
+def test_splits_balance_a_crowd(spark):
+    """Most boxes at one border: medians cut the crowd itself into leaves."""
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.uniform(-100, 100, (1000, 2)), rng.normal(0, 0.01, (20_000, 2))])
+    splits = Splits.from_sample(points[rng.choice(len(points), 1600, replace=False)], 100)
+    rows, leaves = splits.touched(points, points)
+    assert len(rows) == len(points)
+    assert np.bincount(leaves).max() < 6 * len(points) / 100
+
+
 def two_cliques(spark):
     edges = [(f"{s}{i}", f"{s}{j}", 1.0) for s in "ab" for i in range(5) for j in range(i + 1, 5)] + [("a0", "b0", 1.0)]
     return spark.createDataFrame(edges, "t1 string, t2 string, value double")
