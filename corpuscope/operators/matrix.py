@@ -343,21 +343,75 @@ def _average_ranks(cells: DataFrame, m: Column) -> DataFrame:
     return cells.join(shifted, ["term", "n"]).select("term", "by", "v")
 
 
-def _kendall(x: Sequence[float], y: Sequence[float]) -> float:
-    """Kendall's tau-b of two short vectors."""
-    x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
-    concordance = tied_x = tied_y = 0.0
-    for i in range(len(x) - 1):  # one row of sign pairs at a time
-        sx, sy = np.sign(x[i + 1 :] - x[i]), np.sign(y[i + 1 :] - y[i])
-        concordance += float(sx @ sy)
-        tied_x += float(np.abs(sx).sum())
-        tied_y += float(np.abs(sy).sum())
-    return concordance / np.sqrt(tied_x * tied_y) if tied_x and tied_y else np.nan
+#: Cells of the vectors that are worked on at once.
+_KENDALL_CELLS = 2_000_000
+
+
+def _tied_pairs(same: np.ndarray) -> np.ndarray:
+    """Pairs within runs of each row; ``same`` marks the places equal to the one before."""
+    place = np.arange(same.shape[1])
+    start = np.maximum.accumulate(np.where(same, 0, place), axis=1)
+    return (place - start).sum(axis=1)
+
+
+def _inversions(rows: np.ndarray) -> np.ndarray:
+    """Pairs of each row of whole numbers whose earlier one is larger, by merge sort.
+
+    In a stable merge of two sorted halves, an element of the left half moves back by the
+    number of smaller ones of the right half.
+    """
+    n, m = rows.shape
+    width = 1 << max(m - 1, 0).bit_length()
+    padded = np.full((n, width), rows.max(initial=0) + 1, dtype=np.int64)
+    padded[:, :m] = rows
+    total, half = np.zeros(n, dtype=np.int64), 1
+    while half < width:
+        blocks = padded.reshape(n, -1, 2 * half)
+        order = np.argsort(blocks, axis=2, kind="stable")
+        moved = np.where(order < half, np.arange(2 * half), 0).sum(axis=(1, 2))
+        total += moved - blocks.shape[1] * (half * (half - 1) // 2)
+        padded = np.take_along_axis(blocks, order, axis=2).reshape(n, width)
+        half *= 2
+    return total
+
+
+def kendall(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Kendall's tau-b of each row of ``x`` with the same row of ``y``, by Knight's method.
+
+    Rows are sorted by x, then y; what y is out of order is discordant.  NaN where a row
+    is constant.
+    """
+    n, m = x.shape
+    if m < 2:
+        return np.full(n, np.nan)
+
+    def ranks(v):
+        order = np.argsort(v, axis=1, kind="stable")
+        sorted_v = np.take_along_axis(v, order, axis=1)
+        rises = np.concatenate([np.zeros((n, 1), bool), sorted_v[:, 1:] != sorted_v[:, :-1]], axis=1)
+        out = np.empty((n, m), dtype=np.int64)
+        np.put_along_axis(out, order, rises.cumsum(axis=1), axis=1)
+        return out, _tied_pairs(np.concatenate([np.zeros((n, 1), bool), ~rises[:, 1:]], axis=1))
+
+    (rx, tied_x), (ry, tied_y) = ranks(x), ranks(y)
+    joint = np.sort(rx * m + ry, axis=1, kind="stable")
+    same = np.concatenate([np.zeros((n, 1), bool), joint[:, 1:] == joint[:, :-1]], axis=1)
+    pairs = m * (m - 1) // 2
+    excess = pairs - tied_x - tied_y + _tied_pairs(same) - 2 * _inversions(joint % m)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return excess / np.sqrt((pairs - tied_x).astype(float) * (pairs - tied_y))
 
 
 @F.pandas_udf(T.DoubleType())
 def _kendall_udf(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([_kendall(a, b) for a, b in zip(x, y)])
+    if not len(x):
+        return pd.Series([], dtype=float)
+    step = max(1, _KENDALL_CELLS // max(len(x.iloc[0]), 1))
+    parts = [
+        kendall(np.stack(x.iloc[i : i + step].to_list()), np.stack(y.iloc[i : i + step].to_list()))
+        for i in range(0, len(x), step)
+    ]
+    return pd.Series(np.concatenate(parts))
 
 
 def cross_correlation(

@@ -1,5 +1,7 @@
 """Invariants of factorizations, clusters and communities, checked with numpy."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuscope.operators import cluster as K
 from corpuscope.operators import factor as D
 from corpuscope.operators import graph as G
+from corpuscope.operators import matrix as M
 from corpuscope.plans.lineage import materialise
 from corpuscope.plans.spatial import Splits, near_boxes
 
@@ -150,3 +153,26 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.format_string("n%03d", "id").alias("t1"), F.format_string("n%03d", F.col("id") + 1).alias("t2"))
     got = G.connected_components(edges).select("cluster").distinct().collect()
     assert [r[0] for r in got] == ["n000"]
+
+
+def test_kendall_matches_its_definition():
+    rng = np.random.default_rng(8)
+    for m in (2, 3, 7, 16, 33):
+        x, y = rng.integers(0, 5, (40, m)).astype(float), rng.normal(size=(40, m)).round(1)
+        x[0] = 1.0
+        got = M.kendall(x, y)
+        for a, b, t in zip(x, y, got):
+            i, j = np.triu_indices(m, 1)
+            sx, sy = np.sign(a[i] - a[j]), np.sign(b[i] - b[j])
+            norm = np.sqrt((sx**2).sum() * (sy**2).sum())
+            assert np.isnan(t) if norm == 0 else t == pytest.approx((sx * sy).sum() / norm)
+    assert np.isnan(M.kendall(np.ones((2, 1)), np.ones((2, 1)))).all()
+
+
+def test_kendall_of_long_profiles_is_fast():
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 50, (20, 3000)).astype(float), rng.integers(0, 50, (20, 3000)).astype(float)
+    M.kendall(x[:1], y[:1])
+    start = time.time()
+    M.kendall(x, y)
+    assert (time.time() - start) / 20 < 0.05
