@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over words and the beginnings of words (four to eight bytes;
-words are runs of letters, A-Z in lower case), so that a stem is seen under any
-ending.  Every term of every example is in use, and a term that no example has counts
-in the length of a text's vector.  Document frequencies are those of the examples.  A
-term weighs the more, the better it tells toxic from clean examples: its IDF is
-multiplied by the root of one plus its chi-square statistic.
+Texts are TF-IDF vectors over words and their first four bytes (words are runs of
+letters, A-Z in lower case), so that a stem is seen under any ending.  Every term of
+every example is in use, with its document frequency in all documents; a term that no
+example has counts in the length of a text's vector only.  A term weighs the more, the
+better it tells toxic from clean examples: its IDF is multiplied by the root of one plus
+its chi-square statistic.  (Without that factor the neighbours share small talk, and a
+fifth of the held-out toxic texts is missed.)
 
 The examples stand in an inverted index in blocks, with the largest weight of every
 frequent term in each block.  A text's similarity to a block's members is at most the
@@ -14,8 +15,9 @@ blocks whose bound does not reach the k-th best cosine are skipped: the neighbou
 exact.  Their votes, weighted by closeness, are calibrated on the examples themselves
 (each left out of its own vote).
 
-The examples are a bounded sample of the labelled rows, so the index is broadcast;
-texts are scored where they are read, without a shuffle.
+The examples are a sample of the labelled rows that is bounded in rows and bytes, so the
+index is broadcast; terms are counted and vectors packed in tasks, and texts are scored
+where they are read, without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +38,14 @@ from .storage import partitions, stored
 MAX_EXAMPLES = 16_384
 BLOCK = 64
 NEIGHBOURS = 15
+#: Bytes of the texts of all examples together.
+MAX_BYTES = 1 << 28
 #: So many of the most frequent terms are held as dense columns, the others as postings.
-_DENSE = 1536
+_DENSE = 512
+#: Bytes of the beginning of a word that is a term too.
+_STEM = 4
+#: Terms whose document frequencies travel in one row.
+_SLOT = 1 << 16
 _SEEDS = 16
 _BATCH = 256
 
@@ -47,21 +55,17 @@ _LETTERS[128:] = True
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each text and of their beginnings, and the row of each."""
+    """Hashes of the words of each text and of their first bytes, and the row of each."""
     low = LOWER[data]
     starts, ends = runs(_LETTERS[low], offsets)
     rows = np.searchsorted(offsets, starts, side="right") - 1
     if not len(starts):
         return np.zeros(0, np.uint64), rows
     padded = np.concatenate([low, np.zeros(8, np.uint8)])
-    first = np.lib.stride_tricks.sliding_window_view(padded, 8)[starts].view("<u8")[:, 0]
-    codes, of = [range_hashes(low, starts, ends)], [rows]
-    for length in range(4, 9):
-        long = np.flatnonzero(ends - starts >= length)
-        head = first[long] & np.uint64((1 << 8 * length) - 1)
-        codes.append(mix(mix(head) + np.uint64(length)))
-        of.append(rows[long])
-    return np.concatenate(codes), np.concatenate(of)
+    long = np.flatnonzero(ends - starts >= _STEM)
+    first = np.lib.stride_tricks.sliding_window_view(padded, 8)[starts[long]].view("<u8")[:, 0]
+    stems = mix(mix(first & np.uint64((1 << 8 * _STEM) - 1)) + np.uint64(_STEM))
+    return np.concatenate([range_hashes(low, starts, ends), stems]), np.concatenate([rows, rows[long]])
 
 
 def _counts(data: np.ndarray, offsets: np.ndarray):
@@ -186,16 +190,21 @@ class BlockMaxIndex:
                 if skip >= 0:
                     scores[i, self.ids == self.ids[skip]] = -1.0
 
-        def kth() -> np.ndarray:
-            return np.partition(scores, n - k, axis=1)[:, n - k] if n >= k else np.full(len(vectors), -1.0)
+        def kth(some: np.ndarray) -> np.ndarray:
+            many = some.shape[1]
+            return np.partition(some, many - k, axis=1)[:, many - k] if many >= k else np.full(len(some), -1.0)
 
         first = min(blocks, 1 + -(-k // BLOCK))
         wanted = np.zeros(bounds.shape, dtype=bool)
         best = np.argpartition(-bounds, first - 1, axis=1)[:, :first]
         wanted[np.arange(len(vectors))[:, None], best] = True
         read(wanted)
-        read((bounds >= kth()[:, None]) & ~wanted)
-        least = kth() - 1e-5
+        # The members of the most promising blocks say what the others have to reach.
+        members = (best[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(len(vectors), -1)
+        seen = np.take_along_axis(scores, np.minimum(members, n - 1), axis=1)
+        seen[members >= n] = -1.0
+        read((bounds >= kth(seen)[:, None]) & ~wanted)
+        least = kth(scores) - 1e-5
         out = []
         for i in range(len(vectors)):
             # The sums of a matrix product depend on its shape, so the best are summed again.
@@ -229,38 +238,67 @@ def _widened(raw: bytes | None) -> np.ndarray:
     return from_planes(zlib.decompress(raw), "<u4").astype(np.int64) if raw else np.zeros(0, np.int64)
 
 
+class Terms:
+    """The terms of the examples in ascending order of their codes."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each code, and whether it is that of a term."""
+        if not len(self.codes):
+            return np.zeros(len(codes), np.int64), np.zeros(len(codes), dtype=bool)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return at, self.codes[at] == codes
+
+
 class Neighbours:
     """The fitted model: terms, their weights, the index and the calibration."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list, k: int):
-        """From the ascending codes and the counts of the terms of each example; the list is reused."""
+    def __init__(
+        self,
+        terms: Terms,
+        total: np.ndarray,
+        toxic: np.ndarray,
+        documents: np.ndarray,
+        n_documents: int,
+        ids: np.ndarray,
+        labels: np.ndarray,
+        vectors: list[tuple[bytes, bytes]],
+        k: int,
+    ):
+        """From the examples, toxic examples and documents with each term, and packed vectors."""
         n, t = len(ids), int(labels.sum())
-        self.k = k
-        self.codes = np.zeros(0, np.uint64)
-        for i in range(0, n, 1024):
-            self.codes = np.unique(np.concatenate([self.codes, *(v[0] for v in vectors[i : i + 1024])]))
-        total, toxic = np.zeros(len(self.codes)), np.zeros(len(self.codes))
-        for i, (codes, counts) in enumerate(vectors):
-            terms = self._find(codes)[0].astype(np.int32)
-            total[terms] += 1
-            toxic[terms] += labels[i]
-            vectors[i] = _squeezed(np.diff(terms, prepend=0)), _squeezed(counts)
+        self.k, self.terms = k, terms
         expected = total * t / max(n, 1)
         chi = (toxic - expected) ** 2 * n / np.maximum(expected * (n - t) / max(n, 1) * (n - total), 1e-9)
         chi[(total == n) | (t == 0) | (t == n)] = 0
-        self.weight = (np.log((1 + n) / (1 + total)) + 1e-3) * np.sqrt(1 + chi)
+        idf = np.log((1 + n_documents) / (1 + np.minimum(documents, n_documents))) + 1e-3
+        self.weight = idf * np.sqrt(1 + chi)
         #: Weight of a term that no example has.
-        self.unseen = np.log(1 + n) + 1e-3
+        self.unseen = np.log((1 + max(n_documents, 1)) / 2) + 1e-3
         self.prior = (t + 1) / (n + 2) if n else 0.5
         none = np.array([v is None for v, _ in vectors], dtype=bool)
         #: Score of a text without any term.
         self.plain = (labels[none].sum() + self.prior) / (none.sum() + 1)
         self.ids, self.labels, self.vectors = ids, labels, vectors
         self.steps = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        self._index = None
+        self._index = self._shared = None
+
+    def shared(self, spark):
+        """The model in every task; :meth:`release` ends that."""
+        if self._shared is None:
+            self._shared = spark.sparkContext.broadcast(self)
+        return self._shared
+
+    def release(self) -> None:
+        """Free what the tasks hold of the model, once what it scored is written."""
+        if self._shared is not None:
+            self._shared.destroy()
+            self._shared = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None}
+        return self.__dict__ | {"_index": None, "_shared": None}
 
     @property
     def index(self) -> BlockMaxIndex:
@@ -272,16 +310,9 @@ class Neighbours:
                 weights = np.log1p(_widened(counts)) * self.weight[terms]
                 unit = weights / max(np.linalg.norm(weights), 1e-30)
                 vectors.append((terms.astype(np.int32), unit.astype(np.float32)))
-            self._index = BlockMaxIndex(self.ids, self.labels, vectors, len(self.codes))
+            self._index = BlockMaxIndex(self.ids, self.labels, vectors, len(self.weight))
         return self._index
 
-    def _find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each code, and whether it is that of a term."""
-        if not len(self.codes):
-            return np.zeros(len(codes), np.int64), np.zeros(len(codes), dtype=bool)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return at, self.codes[at] == codes
-
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         if len(votes):
             self.steps = _increasing(votes, labels.astype(float))
@@ -292,8 +323,8 @@ class Neighbours:
         The prior has a small vote.  ``skips`` has an example to leave out for each text.
         """
         rows, codes, counts = _counts(data, offsets)
-        at, known = self._find(codes)
-        weights = np.log1p(counts) * np.where(known, self.weight[at] if len(self.codes) else 0.0, self.unseen)
+        at, known = self.terms.find(codes)
+        weights = np.log1p(counts) * np.where(known, self.weight[at] if len(self.weight) else 0.0, self.unseen)
         cuts = np.flatnonzero(changes(rows))
         ends = np.append(cuts[1:], len(rows))
         for lo in range(0, len(cuts), _BATCH):
@@ -320,21 +351,8 @@ class Neighbours:
             yield row, score, list(zip(ids, cosine.tolist(), labels, strict=True))
 
 
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "toxic",
-    max_examples: int = MAX_EXAMPLES,
-    k: int = NEIGHBOURS,
-) -> Neighbours:
-    """Learn from the labelled rows among ``docs``.
-
-    ``labels`` has a row per label; repeated ids count once, as toxic if any row says
-    so; rows with a null id or label are ignored.  Of more than ``max_examples`` rows
-    those with the least hash of their id are used.
-    """
+def _examples(docs, labels, id_col, text_col, label_col, max_examples, max_bytes) -> DataFrame:
+    """``(doc_id, label, text)`` of the examples, one row an id."""
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
@@ -343,79 +361,151 @@ def fit(
         .limit(max_examples)
     )
     sample = stored(
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+        docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "_id")
-        .select(F.col("_id").cast("bigint").alias("doc_id"), "_label", "text")
+        .groupBy("_id", "_label")
+        .agg(F.min("text").alias("text"))
+    )
+    # A row for each of at most max_examples ids.
+    before = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = sample.select("_id", F.sum(F.octet_length("text")).over(before).alias("_bytes")).where(
+        F.col("_bytes") <= max_bytes
+    )
+    return sample.join(F.broadcast(within), "_id").select(
+        F.col("_id").cast("bigint").alias("doc_id"), (F.col("_label") > 0).cast("int").alias("label"), "text"
     )
 
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(doc_id, label, codes, counts)`` of ``(doc_id, label, text)``."""
+    for batch in batches:
+        data, offsets = texts(batch.column(2))
+        for lo, hi in slices(offsets):
+            rows, codes, counts = _counts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            cuts = pa.array(np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(lo, hi - lo),
+                    batch.column(1).slice(lo, hi - lo),
+                    pa.ListArray.from_arrays(cuts, pa.array(codes.view(np.int64))),
+                    pa.ListArray.from_arrays(cuts, pa.array(counts.astype(np.int32))),
+                ],
+                ["doc_id", "label", "codes", "counts"],
+            )
+
+
+def _document_frequencies(docs: DataFrame, text_col: str, shared, n_terms: int) -> np.ndarray:
+    """Documents with each term, summed in the tasks and then by slots of terms."""
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_terms, np.int64)
         for batch in batches:
-            data, offsets = texts(batch.column(2))
+            data, offsets = texts(batch.column(0))
             for lo, hi in slices(offsets):
-                rows, codes, counts = _counts(
-                    data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                )
-                cuts = np.searchsorted(rows, np.arange(hi - lo + 1)).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        batch.column(1).slice(lo, hi - lo),
-                        pa.array([codes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                        pa.array(
-                            [counts[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:])],
-                            pa.binary(),
-                        ),
-                    ],
-                    ["doc_id", "label", "codes", "counts"],
-                )
+                _, codes, _ = _counts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                at, known = shared.value.find(codes)
+                total += np.bincount(at[known], minlength=n_terms)
+        parts = [total[i : i + _SLOT].tobytes() for i in range(0, n_terms, _SLOT)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], ["slot", "counts"]
+        )
+
+    def added(key, table):
+        total = sum(np.frombuffer(c.as_py(), np.int64) for c in table.column("counts"))
+        return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "slot int, counts binary"
+    parts = docs.select(text_col).mapInArrow(counted, kind).groupBy("slot").applyInArrow(added, kind)
+    found = np.zeros(n_terms, np.int64)
+    for r in parts.collect():  # eight bytes a term of the examples
+        here = np.frombuffer(r["counts"], np.int64)
+        found[r["slot"] * _SLOT : r["slot"] * _SLOT + len(here)] = here
+    return found
 
-    found = sample.select("doc_id", "_label", "text").mapInArrow(
-        counted, "doc_id bigint, label int, codes binary, counts binary"
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    max_examples: int = MAX_EXAMPLES,
+    max_bytes: int = MAX_BYTES,
+    k: int = NEIGHBOURS,
+) -> Neighbours:
+    """Learn from the labelled rows among ``docs``.
+
+    ``labels`` has a row per label; repeated ids count once, as toxic if any row says
+    so, with the smallest of their texts; rows with a null id or label are ignored.  Of
+    more than ``max_examples`` ids, or ``max_bytes`` of text, those with the least hash
+    are used.  Document frequencies are those of all ``docs``.  An empty table gives a
+    model without examples, for which every text has the same score.
+    """
+    spark = docs.sparkSession
+    sample = _examples(docs, labels, id_col, text_col, label_col, max_examples, max_bytes)
+    kind = "doc_id bigint, label int, codes array<bigint>, counts array<int>"
+    vectors = stored(sample.mapInArrow(_vectors, kind))
+    stats = (
+        vectors.select("label", F.explode("codes").alias("code"))
+        .groupBy("code")
+        .agg(F.count(F.lit(1)).alias("total"), F.sum("label").alias("toxic"))
+        .toArrow()
     )
-    ids, marks, vectors = [], [], []
-    for r in found.toLocalIterator():
-        ids.append(r["doc_id"])
-        marks.append(int(r["label"] > 0))
-        vectors.append((np.frombuffer(r["codes"], "<u8"), np.frombuffer(r["counts"], "<i4")))
-    # Equal tables give equal models in whatever order their rows come.
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], *(x[:99].tobytes() for x in vectors[i])))
-    ids, marks = np.array(ids, np.int64)[order], np.array(marks, np.int64)[order]
-    vectors = [vectors[i] for i in order]
-    model = Neighbours(ids, marks, vectors, k)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    codes = stats.column("code").to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    terms = Terms(codes[order])
+    total, toxic = (stats.column(c).to_numpy()[order].astype(float) for c in ("total", "toxic"))
+    shared = spark.sparkContext.broadcast(terms)
+    documents = _document_frequencies(docs, text_col, shared, len(codes))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, often = [], []
+            for mine, counts in zip(batch.column(2), batch.column(3), strict=True):
+                at = shared.value.find(mine.values.to_numpy().view(np.uint64))[0]
+                held.append(_squeezed(np.diff(at, prepend=0)))
+                often.append(_squeezed(counts.values.to_numpy()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(held, pa.binary()), pa.array(often, pa.binary())],
+                ["doc_id", "label", "terms", "counts"],
+            )
+
+    # Packed vectors of the bounded sample; equal tables give equal models.
+    kept = vectors.mapInArrow(packed, "doc_id bigint, label int, terms binary, counts binary")
+    rows = kept.toArrow().sort_by("doc_id")
+    ids, marks = (rows.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label"))
+    held = list(zip(rows.column("terms").to_pylist(), rows.column("counts").to_pylist(), strict=True))
+    n_documents = docs.select(F.count(F.lit(1))).first()[0]
+    model = Neighbours(terms, total, toxic, documents, n_documents, ids, marks, held, k)
+    shared.destroy()
+    model.calibrate(*_own_votes(sample, model))
+    return model
+
+
+def _own_votes(sample: DataFrame, model: Neighbours) -> tuple[np.ndarray, np.ndarray]:
+    """Share of toxic votes of each example without its own, and its label, by id."""
+    shared = model.shared(sample.sparkSession)
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         by_id = np.argsort(fitted.index.ids, kind="stable")
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
-            label = batch.column(1).to_numpy(zero_copy_only=False)
             skips = by_id[np.searchsorted(fitted.index.ids, doc, sorter=by_id)]
             data, offsets = texts(batch.column(2))
             for lo, hi in slices(offsets):
-                some = fitted.votes(
-                    data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], skips[lo:hi]
-                )
-                got = [(int(doc[lo + row]), int(label[lo + row] > 0), share) for row, share, _, _ in some]
+                part = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                got = [(lo + row, share) for row, share, _, _ in fitted.votes(*part, skips[lo:hi])]
+                at = pa.array([row for row, _ in got], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[0] for x in got], pa.int64()),
-                        pa.array([x[1] for x in got], pa.int32()),
-                        pa.array([x[2] for x in got], pa.float64()),
-                    ],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array([x for _, x in got], pa.float64())],
                     ["doc_id", "label", "share"],
                 )
 
-    votes = (
-        sample.select("doc_id", "_label", "text")
-        .repartition(partitions(docs))
-        .mapInArrow(voted, "doc_id bigint, label int, share double")
-        .collect()
-    )
-    votes.sort()
-    model.calibrate(np.array([r["share"] for r in votes]), np.array([r["label"] for r in votes]))
-    shared.destroy()
-    return model
+    votes = sample.repartition(partitions(sample)).mapInArrow(voted, "doc_id bigint, label int, share double")
+    found = votes.toArrow().sort_by("doc_id")
+    model.release()
+    return found.column("share").to_numpy(), found.column("label").to_numpy()
 
 
 def score(docs: DataFrame, model: Neighbours, text_col: str = "text") -> DataFrame:
@@ -423,10 +513,12 @@ def score(docs: DataFrame, model: Neighbours, text_col: str = "text") -> DataFra
 
     All columns pass through, but for old columns of those names.  Null and empty
     texts, and texts without any term, get the share of toxic examples among such
-    texts and no evidence.  Repeated rows are scored alike.
+    texts and no evidence.  Repeated rows are scored alike, and a text of any length
+    whole, by itself where it is longer than a slice; an empty table stays empty.  Call
+    ``model.release()`` when the result has been written.
     """
     plain = docs.drop("toxicity", "evidence")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession)
     place = plain.columns.index(text_col)
     neighbour = T.StructType(
         [
