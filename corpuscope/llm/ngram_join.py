@@ -255,21 +255,26 @@ def _within(rows: DataFrame, group: list[str], pairs_of: Callable) -> DataFrame:
                 if now != key:
                     yield from links(key, held)
                     key, held = now, {}
-                held[doc] = (n, load, parts)
+                # Rows may share an id and yet hold different sets.
+                held[doc, load] = (n, parts)
         yield from links(key, held)
 
     def links(key, held: dict) -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
-        docs = sorted(held)
+        members = sorted(held)
+        docs = [doc for doc, _ in members]
         forest = _Forest(len(docs))
-        sizes = np.array([held[d][0] for d in docs], dtype=np.int64)
-        for i, j in pairs_of([held[d][1] for d in docs], sizes):
+        for i in range(1, len(docs)):
+            if docs[i] == docs[i - 1]:
+                forest.join(i, i - 1)
+        sizes = np.array([held[m][0] for m in members], dtype=np.int64)
+        for i, j in pairs_of([load for _, load in members], sizes):
             forest.join(i, j)
         roots = [forest.root(i) for i in range(len(docs))]
         out = [(d, docs[r]) for d, r in zip(docs, roots, strict=True) if docs[r] != d]
         cluster = key[0]
-        if held[docs[0]][2] > 1 and cluster in held:
+        if held[members[0]][1] > 1 and cluster in docs:
             center = forest.root(docs.index(cluster))
             out += [(d, None) for d, r in zip(docs, roots, strict=True) if r != center]
         if out:

@@ -268,7 +268,8 @@ class Neighbours:
         self.weight = idf * np.sqrt(1 + chi)
         #: Weight of a term that no example has.
         self.unseen = np.log((1 + max(n_documents, 1)) / 2) + 1e-3
-        self.prior = (t + 1) / (n + 2) if n else 0.5
+        #: Without examples nothing speaks against a text.
+        self.prior = (t + 1) / (n + 2) if n else 0.0
         none = np.array([v is None for v, _ in vectors], dtype=bool)
         #: Score of a text without any term.
         self.plain = (labels[none].sum() + self.prior) / (none.sum() + 1)
@@ -430,7 +431,7 @@ def fit(
     so, with the smallest of their texts; rows with a null id or label are ignored.  Of
     more than ``max_examples`` ids, or ``max_bytes`` of text, those with the least hash
     are used.  Document frequencies are those of all ``docs``.  An empty table gives a
-    model without examples, for which every text has the same score.
+    model without examples, for which every text has the score 0.
     """
     spark = docs.sparkSession
     sample = _examples(docs, labels, id_col, text_col, label_col, max_examples, max_bytes)

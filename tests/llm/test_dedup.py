@@ -295,3 +295,27 @@ def test_query_digests(spark, sf):
         n, removed, spans, kept = expected[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans) == (n, removed, spans)
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_rows_that_share_an_id_keep_the_links_of_each(docs_of):
+    a = " ".join(f"apple{i}" for i in range(120))
+    b = " ".join(f"berry{i}" for i in range(120))
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, "alone " * 40)]
+    got = {r.doc_id: r.component_id for r in similar_groups(docs_of(rows), size=4, threshold=(85, 100)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_patterned_lines_are_told_apart(docs_of):
+    """Lines that collide under every polynomial hash modulo a power of two."""
+    one, other = thue_morse(4096)
+    rows = [(i, one) for i in range(4)] + [(4, other)]
+    docs = docs_of(rows)
+    kept = {r.doc_id: r.text for r in drop_lines(docs, keep_bitmaps(docs)).collect()}
+    assert kept == dict(rows)

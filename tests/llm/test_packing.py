@@ -48,6 +48,16 @@ def test_pack_round_trip(docs_of, real):
     check(rows, pack(docs_of(rows)).collect())
 
 
+def test_pack_tells_patterned_words_apart(docs_of):
+    """Words that collide under every polynomial hash modulo a power of two."""
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - x for x in bits]
+    one, other = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rows = [(1, f"{one} {other}"), (2, other), (3, one)]
+    check(rows, pack(docs_of(rows)).collect())
+
+
 def test_pack_awkward(docs_of):
     rows = awkward()
     check(rows, pack(docs_of(rows)).collect())
