@@ -47,7 +47,7 @@ _STEM = 4
 #: Terms whose document frequencies travel in one row.
 _SLOT = 1 << 16
 _SEEDS = 16
-_BATCH = 256
+_BATCH = 128
 
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[ord("a") : ord("z") + 1] = True
@@ -80,12 +80,18 @@ def _counts(data: np.ndarray, offsets: np.ndarray):
 class Postings:
     """Weights of examples by term: those of a term are ``bounds[t]:bounds[t + 1]``."""
 
-    def __init__(self, n: int, width: int, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray):
-        """From entries whose rows ascend."""
+    def __init__(self, n: int, often: np.ndarray):
+        """Room for ``often`` weights of each term."""
         self.n = n
-        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=width))])
-        order = np.argsort(terms, kind="stable").astype(np.int32)
-        self.rows, self.weights = rows[order], weights[order]
+        self.bounds = np.concatenate([[0], np.cumsum(often)])
+        self.rows = np.zeros(self.bounds[-1], np.int32)
+        self.weights = np.zeros(self.bounds[-1], np.float32)
+        self._next = self.bounds[:-1].copy()
+
+    def add(self, row: int, terms: np.ndarray, weights: np.ndarray) -> None:
+        at = self._next[terms]
+        self.rows[at], self.weights[at] = row, weights
+        self._next[terms] += 1
 
     def sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Product of a vector with every example."""
@@ -113,20 +119,22 @@ class BlockMaxIndex:
         self.width = width
         order = self._order(vectors, width)
         self.ids, self.labels = ids[order], labels[order]
-        many = np.array([len(vectors[i][0]) for i in order.tolist()], np.int64)
-        terms = np.concatenate([np.zeros(0, np.int32), *(vectors[i][0] for i in order.tolist())])
-        weights = np.concatenate([np.zeros(0, np.float32), *(vectors[i][1] for i in order.tolist())])
-        vectors.clear()
-        rows = np.repeat(np.arange(n, dtype=np.int32), many)
-        often = np.bincount(terms, minlength=width)
+        often = np.zeros(width, np.int64)
+        for terms, _ in vectors:
+            often[terms] += 1
         dense = np.sort(np.argsort(-often, kind="stable")[:_DENSE])
         self.column = np.full(width, -1, np.int32)
         self.column[dense] = np.arange(len(dense))
-        column = self.column[terms]
-        here = column >= 0
         self.head = np.zeros((n, len(dense)), np.float32)
-        self.head[rows[here], column[here]] = weights[here]
-        self.tail = Postings(n, width, rows[~here], terms[~here], weights[~here].astype(np.float32))
+        often[dense] = 0
+        self.tail = Postings(n, often)
+        for row, i in enumerate(order.tolist()):
+            terms, weights = vectors[i]
+            vectors[i] = None
+            column = self.column[terms]
+            self.head[row, column[column >= 0]] = weights[column >= 0]
+            self.tail.add(row, terms[column < 0], weights[column < 0])
+        del self.tail._next
         self.starts = np.arange(0, n, BLOCK)
         self.maxima = np.maximum.reduceat(self.head, self.starts, axis=0) if n else self.head
 
@@ -164,7 +172,7 @@ class BlockMaxIndex:
         if not n:
             return [(np.zeros(0, np.int64), np.zeros(0)) for _ in vectors]
         head = np.zeros((len(vectors), self.head.shape[1]), np.float32)
-        tail = np.zeros((len(vectors), n))
+        tail = np.zeros((len(vectors), n), np.float32)
         for i, (terms, weights) in enumerate(vectors):
             column = self.column[terms]
             head[i, column[column >= 0]] = weights[column >= 0]
