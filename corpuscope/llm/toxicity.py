@@ -46,6 +46,8 @@ _DENSE = 512
 _STEM = 4
 #: Terms whose document frequencies travel in one row.
 _SLOT = 1 << 16
+#: Text that is scored at once, beside the index.
+_SLICE_BYTES = 1 << 20
 _SEEDS = 16
 _BATCH = 128
 
@@ -313,6 +315,12 @@ class Neighbours:
             self._index = BlockMaxIndex(self.ids, self.labels, vectors, len(self.weight))
         return self._index
 
+    def settled(self) -> Neighbours:
+        """The model in a task: with its index, and without what that is made of."""
+        if self.index is not None:
+            self.vectors = []
+        return self
+
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         if len(votes):
             self.steps = _increasing(votes, labels.astype(float))
@@ -487,7 +495,7 @@ def _own_votes(sample: DataFrame, model: Neighbours) -> tuple[np.ndarray, np.nda
     shared = model.shared(sample.sparkSession)
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+        fitted = shared.value.settled()
         by_id = np.argsort(fitted.index.ids, kind="stable")
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
@@ -537,12 +545,12 @@ def score(docs: DataFrame, model: Neighbours, text_col: str = "text") -> DataFra
     )
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+        fitted = shared.value.settled()
         for batch in batches:
             data, offsets = texts(batch.column(place))
             scores = np.full(batch.num_rows, fitted.plain)
             evidence: list[list] = [[] for _ in range(batch.num_rows)]
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, _SLICE_BYTES):
                 some = fitted.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for row, value, found in some:
                     scores[lo + row] = value
