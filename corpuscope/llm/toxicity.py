@@ -5,8 +5,8 @@ letters, A-Z in lower case), so that a stem is seen under any ending.  Every ter
 every example is in use, with its document frequency in all documents; a term that no
 example has counts in the length of a text's vector only.  A term weighs the more, the
 better it tells toxic from clean examples: its IDF is multiplied by the root of one plus
-its chi-square statistic.  (Without that factor the neighbours share small talk, and a
-fifth of the held-out toxic texts is missed.)
+its chi-square statistic.  (Without that factor the neighbours share small talk, and a quarter
+to a half of the held-out toxic texts is missed.)
 
 The examples stand in an inverted index in blocks, with the largest weight of every
 frequent term in each block.  A text's similarity to a block's members is at most the
