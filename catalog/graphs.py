@@ -69,14 +69,23 @@ def _(spark, sf):
     return G.path_counts(links(spark, sf)).withColumn("count", F.col("count").cast("bigint"))
 
 
-@query("main_path", _REC + """, fv(node, v) AS (SELECT DISTINCT src, 0::HUGEINT FROM l WHERE src NOT IN (SELECT dst FROM l) UNION SELECT dst, v + c FROM fv JOIN l ON src = node),
+_MAIN = _REC + """, fv(node, v) AS (SELECT DISTINCT src, 0::HUGEINT FROM l WHERE src NOT IN (SELECT dst FROM l) UNION SELECT dst, v + c FROM fv JOIN l ON src = node),
 bv(node, v) AS (SELECT DISTINCT dst, 0::HUGEINT FROM l WHERE dst NOT IN (SELECT src FROM l) UNION SELECT src, v + c FROM bv JOIN l ON dst = node),
 mf AS (SELECT node, max(v) AS v FROM fv GROUP BY node), mb AS (SELECT node, max(v) AS v FROM bv GROUP BY node),
 s AS (SELECT src, dst, c, fs.v AS fsrc, fd.v AS fdst, bs.v AS bsrc, bd.v AS bdst, fs.v + c + bd.v AS t FROM l JOIN mf fs ON fs.node = src JOIN mf fd ON fd.node = dst
   JOIN mb bs ON bs.node = src JOIN mb bd ON bd.node = dst),
 ch AS (SELECT * FROM s WHERE c = (SELECT max(c) FROM s) OR t = (SELECT max(t) FROM s)),
 up(src, dst, c) AS (SELECT src, dst, c FROM ch UNION SELECT s.src, s.dst, s.c FROM s JOIN up ON s.dst = up.src WHERE s.fsrc + s.c = s.fdst),
-dn(src, dst, c) AS (SELECT src, dst, c FROM ch UNION SELECT s.src, s.dst, s.c FROM s JOIN dn ON s.src = dn.dst WHERE s.c + s.bdst = s.bsrc)
+dn(src, dst, c) AS (SELECT src, dst, c FROM ch UNION SELECT s.src, s.dst, s.c FROM s JOIN dn ON s.src = dn.dst WHERE s.c + s.bdst = s.bsrc)"""
+
+
+@query("main_path", _MAIN + """
 SELECT src, dst, CAST(c AS BIGINT) AS count FROM up UNION SELECT src, dst, CAST(c AS BIGINT) FROM dn""")
 def _(spark, sf):
     return G.main_path(links(spark, sf)).withColumn("count", F.col("count").cast("bigint"))
+
+
+@query("main_path_nodes", _MAIN + """, nodes AS (SELECT src AS id FROM up UNION SELECT dst FROM up UNION SELECT src FROM dn UNION SELECT dst FROM dn)
+SELECT id, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders JOIN nodes ON o_orderkey = id""")
+def _(spark, sf):
+    return G.main_path_nodes(corpus(spark, sf), G.main_path(links(spark, sf))).select("id", "year")

@@ -8,6 +8,7 @@ from corpuscope.functions import items as I
 from corpuscope.operators import cluster as K
 from corpuscope.operators import factor as D
 from corpuscope.operators import graph as G
+from corpuscope.operators import linkage as L
 from corpuscope.operators import matrix as M
 from corpuscope.operators import terms as T
 from corpuscope.plans import analyses as A
@@ -342,6 +343,39 @@ def _(spark, sf):
 SQL["threshold_clusters"] = SQL["threshold_clusters"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+_FOREST = _co(k=40).replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT t1, t2, n, row_number() OVER (ORDER BY n DESC, t1, t2) AS r FROM co WHERE t1 < t2),
+b AS (SELECT t1 AS x, t2 AS y, r FROM e UNION ALL SELECT t2, t1, r FROM e),
+reach(r, node) AS (SELECT r, t1 FROM e UNION SELECT reach.r, b.y FROM reach JOIN b ON b.x = reach.node WHERE b.r < reach.r),
+f AS (SELECT t1, t2, n FROM e WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.r = e.r AND reach.node = e.t2))"""
+
+
+def _forest(spark, sf):
+    co = materialise(M.co_occurrence(brands(spark, sf), "author_keywords", 40))
+    return co, L.spanning_forest(co.select("t1", "t2", F.col("n").alias("value")))
+
+
+@query("spanning_forest", _FOREST + " SELECT t1, t2, n AS value FROM f")
+def _(spark, sf):
+    return _forest(spark, sf)[1]
+
+
+@query("linkage_profile", _FOREST + """ SELECT n AS value, count(*) AS merges,
+(SELECT count(*) FROM top) - sum(count(*)) OVER (ORDER BY n DESC) AS clusters FROM f GROUP BY n""")
+def _(spark, sf):
+    co, forest = _forest(spark, sf)
+    return L.linkage_profile(forest, co.select(F.col("t1").alias("node")))
+
+
+@query("linkage_levels", _co(k=25).replace("WITH ", "WITH RECURSIVE ", 1) + _normal("salton") + """,
+th AS (SELECT unnest([0.175, 0.181, 0.19])::DOUBLE AS th), l AS (SELECT th, t1, t2 FROM v, th WHERE value >= th),
+rr(th, a, b) AS (SELECT th, term, term FROM top, th UNION SELECT rr.th, rr.a, l.t2 FROM rr JOIN l ON rr.b = l.t1 AND rr.th = l.th)
+SELECT th AS threshold, a AS node, min(b) AS cluster FROM rr GROUP BY th, a""")
+def _(spark, sf):
+    edges = materialise(M.normalize(M.co_occurrence(brands(spark, sf), "author_keywords", 25), "salton"))
+    forest = materialise(L.spanning_forest(edges))
+    return L.linkage_levels(forest, edges.select(F.col("t1").alias("node")), [0.175, 0.181, 0.19])
+
+
 @query("cluster_members", with_views("docs", "kw") + _TOP.format(rel="kw", k=12) + _CL + """
 SELECT cluster, CAST(row_number() OVER w AS INTEGER) AS rank, term, d AS num_documents, first_value(term) OVER w AS name, count(*) OVER (PARTITION BY cluster) AS size
 FROM top JOIN cl USING (term) WINDOW w AS (PARTITION BY cluster ORDER BY d DESC, c DESC, term)""")

@@ -245,6 +245,74 @@ def _exact_sum(value: str) -> Column:
     return F.when(F.count(value) == F.count(F.lit(1)), F.try_sum(value)).cast(COUNT)
 
 
+def _chains(links: DataFrame) -> DataFrame | None:
+    """``(dir, node, at, w)``: the ends of the chains that nodes lie on; None without any.
+
+    A node with one link in and one out lies on a chain.  ``at`` is the nearest node
+    before it (``dir`` f) or after it (b) that does not, ``w`` the sum of the weights up to
+    there.  Ways are doubled, so the rounds are logarithmic in the longest chain.
+    """
+    into = links.groupBy(F.col("dst").alias("node")).agg(
+        F.count(F.lit(1)).alias("i"), F.min("src").alias("before"), F.min("w").alias("wi")
+    )
+    out = links.groupBy(F.col("src").alias("node")).agg(
+        F.count(F.lit(1)).alias("o"), F.min("dst").alias("after"), F.min("w").alias("wo")
+    )
+    inner = materialise(into.where("i = 1").join(out.where("o = 1"), "node"))
+    n = inner.count()
+    if not n:
+        return None
+    kind = links.schema["w"].dataType
+    ways = materialise(
+        inner.select(F.lit("f").alias("dir"), "node", F.col("before").alias("at"), F.col("wi").alias("w")).union(
+            inner.select(F.lit("b"), "node", "after", "wo")
+        )
+    )
+    for _ in range(n.bit_length() + 2):
+        ahead = ways.toDF("dir", "at", "next", "more")
+        moved = materialise(
+            skew_join(ways, ahead, ["dir", "at"], "left", hot="detect").select(
+                "dir",
+                "node",
+                F.coalesce("next", "at").alias("at"),
+                (F.col("w") + F.coalesce("more", F.lit(0))).cast(kind).alias("w"),
+                F.col("next").isNotNull().alias("moved"),
+            )
+        )
+        ways = moved.drop("moved")
+        if is_empty(moved.where("moved")):
+            return ways
+    raise ValueError("the citation graph has a cycle")
+
+
+def _dag_values(edges: DataFrame, longest: bool, contract: bool = True) -> DataFrame:
+    """:func:`_dag_pass` with each chain of nodes as one link.
+
+    Levels are then counted between branching nodes only.  Sums of doubles would depend on
+    the way they are added up, so ``contract`` is for whole numbers.
+    """
+    links = edges if longest else edges.select("src", "dst", F.lit(0).cast(COUNT).alias("w"))
+    ways = _chains(links) if contract else None
+    if ways is None:
+        return _dag_pass(edges, longest)
+    kind = links.schema["w"].dataType
+    on = ways.where("dir = 'b'").select(F.col("node").alias("dst"), "at", F.col("w").alias("more"))
+    heads = links.join(on.select(F.col("dst").alias("src")), "src", "left_anti")
+    short = materialise(
+        skew_join(heads, on, "dst", "left").select(
+            "src",
+            F.coalesce("at", "dst").alias("dst"),
+            (F.col("w") + F.coalesce("more", F.lit(0))).cast(kind).alias("w"),
+        )
+    )
+    values = _dag_pass(short, longest)
+    value = (F.col("value") + F.col("w")).cast(values.schema["value"].dataType) if longest else F.col("value")
+    between = skew_join(ways, values.withColumnRenamed("node", "at"), ["dir", "at"], hot="detect").select(
+        "dir", "node", value.alias("value"), "approx"
+    )
+    return materialise(values.union(between))
+
+
 def _dag_pass(edges: DataFrame, longest: bool) -> DataFrame:
     """``(dir, node, value, approx)`` for both directions of a DAG ``(src, dst[, w])``.
 
@@ -318,7 +386,7 @@ def path_counts(edges: DataFrame, approximate: bool = False) -> DataFrame:
     doubles in ``approx``.
     """
     links = materialise(edges.select("src", "dst").distinct())
-    values = _dag_pass(links, longest=False)
+    values = _dag_values(links, longest=False)
     counted = skew_join(skew_join(links, _side(values, "f", "src", "_f"), "src"), _side(values, "b", "dst", "_b"), "dst")
     exact = F.try_multiply("_f", "_b").cast(COUNT)
     columns = ["src", "dst", exact.alias("count")]
@@ -337,7 +405,8 @@ def main_path(edges: DataFrame) -> DataFrame:
     counted = materialise(path_counts(edges, approximate=True))
     exact = is_empty(counted.where(F.col("count").isNull() | (F.col("approx") > 1e36)))
     links = counted.select("src", "dst", F.col("count") if exact else F.col("approx").alias("count"))
-    values = _dag_pass(links.select("src", "dst", F.col("count").alias("w")), longest=True).drop("approx")
+    weighted = links.select("src", "dst", F.col("count").alias("w"))
+    values = _dag_values(weighted, longest=True, contract=exact).drop("approx")
     values = values.withColumn("approx", F.lit(None).cast("double"))
     scored = links
     for direction in ("f", "b"):
