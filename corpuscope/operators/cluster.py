@@ -10,11 +10,12 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, No
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.items import doc_terms, items
 from ..plans.lineage import materialise
+from ..plans.running import ordinal
 from ..plans.skew import skew_join
 from ..plans.spatial import near_boxes
 from .graph import connected_components
@@ -85,11 +86,11 @@ def affinity_clusters(edges: DataFrame, k: int, max_iter: int = 10) -> DataFrame
     """``(term, cluster)`` by power iteration on ``(t1, t2, value)`` similarities."""
     links = edges.where("t1 < t2 AND value > 0")
     names = links.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
-    numbered = names.withColumn("id", F.row_number().over(Window.orderBy("term")).cast("bigint"))
-    numbered = materialise(numbered)  # an axis of at most MAX_AXIS terms
-    graph = links.join(F.broadcast(numbered.toDF("t1", "src")), "t1").join(
-        F.broadcast(numbered.toDF("t2", "dst")), "t2"
-    ).select("src", "dst", F.col("value").alias("weight"))
+    numbered = ordinal(names.withColumn("_all", F.lit(0)), ["_all"], [F.col("term")], "id")
+    numbered = materialise(numbered.select("term", "id"))
+    graph = links.join(numbered.toDF("t1", "src"), "t1").join(numbered.toDF("t2", "dst"), "t2").select(
+        "src", "dst", F.col("value").alias("weight")
+    )
     model = PowerIterationClustering(k=k, maxIter=max_iter, weightCol="weight")
     found = model.assignClusters(graph).join(numbered, "id")
     return found.select("term", F.format_string("CL_%02d", F.col("cluster")).alias("cluster"))

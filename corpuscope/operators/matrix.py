@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.items import doc_terms, items
+from ..plans.running import ordinal
 from ..plans.skew import skew_join
 from .filters import occurrence_bounds
 from .terms import check_axis, kept_terms, n_rows, sort_columns, term_counters
@@ -240,12 +241,9 @@ def sort_axis(
     names = cells.groupBy(axis).agg(F.max(value).alias("data"))
     if counters is not None:
         names = names.join(counters.withColumnRenamed("term", axis), axis, "left")
-    # At most MAX_AXIS names.
-    placed = names.select(
-        axis,
-        F.row_number().over(Window.orderBy(*sort_columns(by, ascending, axis))).alias("position"),
-    )
-    return cells.join(placed, axis)
+    order = sort_columns(by, ascending, axis)
+    placed = ordinal(names.withColumn("_all", F.lit(0)), ["_all"], order, "position")
+    return cells.join(placed.select(axis, F.col("position").cast("int").alias("position")), axis)
 
 
 def normalize(co: DataFrame, method: str | None = "jaccard", n_documents: Column | int | None = None) -> DataFrame:
@@ -258,8 +256,7 @@ def normalize(co: DataFrame, method: str | None = "jaccard", n_documents: Column
     diagonal = co.where("t1 = t2").select(F.col("t1").alias("t"), F.col("n").alias("d"))
     a = diagonal.select(F.col("t").alias("t1"), F.col("d").cast("double").alias("a"))
     b = diagonal.select(F.col("t").alias("t2"), F.col("d").cast("double").alias("b"))
-    # The diagonal has at most MAX_AXIS rows.
-    table = co.join(F.broadcast(a), "t1").join(F.broadcast(b), "t2")
+    table = co.join(a, "t1").join(b, "t2")
     c, a, b = F.col("n").cast("double"), F.col("a"), F.col("b")
     if method is None:
         value = c
@@ -552,8 +549,8 @@ def cluster_co_occurrence(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     first = clusters.select(F.col("term").alias("t1"), F.col("cluster").alias("c1"))
     second = clusters.select(F.col("term").alias("t2"), F.col("cluster").alias("c2"))
     return (
-        edges.join(F.broadcast(first), "t1")
-        .join(F.broadcast(second), "t2")
+        edges.join(first, "t1")
+        .join(second, "t2")
         .groupBy("c1", "c2")
         .agg(F.sum("value").alias("value"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.items import doc_terms, items
+from ..plans.running import running
 from ..plans.skew import skew_join
 from .filters import exclude_terms, occurrence_bounds
 
@@ -358,11 +359,11 @@ def keywords_coverage(df: DataFrame, col: str, ranked: DataFrame) -> DataFrame:
     )
     added = best.groupBy("rank").agg(n_rows().alias("_added"))
     total = df.where(items(df, col).isNotNull()).agg(F.count(F.lit(1))).scalar()
-    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    covered = F.sum(F.coalesce("_added", F.lit(0))).over(upto)
+    placed = ranked.join(added, "rank", "left").withColumn("_all", F.lit(0))
+    sums = {"cum_documents": F.coalesce("_added", F.lit(0)).cast("bigint")}
     return (
-        ranked.join(added, "rank", "left")
-        .select("term", "rank", covered.cast("bigint").alias("cum_documents"))
+        running(placed, ["_all"], [F.col("rank"), F.col("term")], sums)
+        .select("term", "rank", "cum_documents")
         .withColumn("cum_pct", F.round(100.0 * F.col("cum_documents") / total, 1))
     )
 
