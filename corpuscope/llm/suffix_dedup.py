@@ -11,18 +11,22 @@ anchor start at consecutive positions.  One record per anchor stands for that ru
 of suffixes:
 
 1. records are dealt and sorted by the anchor's hash; anchors of one document leave;
-2. next they are sorted by the hash of all bytes that the run spans; where that is
-   equal, the runs are equal, and all but those of the smallest document are removed;
-3. one document per distinct run remains.  The hashes of its windows are dealt and
-   sorted, so that the windows of one anchor go to many tasks.  Of the windows with
-   one hash that a task meets, it removes all but those of the smallest document
-   before the shuffle: a window is sent once by each million windows of a task,
-   however many documents share it.
+2. next they are sorted by a 128-bit BLAKE2b digest of all bytes that the run spans;
+   where that is equal, the runs are equal, and all but those of the smallest document
+   are removed;
+3. one document per distinct run remains, the leader.  The leaders' bytes are dealt by
+   their anchor and their windows sorted digit by digit, eight bytes each, to the full
+   depth.  A clash of anchors' hashes only puts more windows into a group.
+
+An anchor with many leaders (the edge of a passage that many documents share) is split:
+each of its windows is dealt by itself, by a hash of its bytes.  Of equal windows that a
+task meets at once, it sends that of the smallest document and removes the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +40,18 @@ from .storage import deal, partitions, stored
 _U = np.uint64
 _SLICE = 1 << 20
 _PLACE = (1 << 24) - 1
+#: A place is a tag of the text (25 bits), a start (31 bits) and a number of starts (8 bits).
+_START_BITS = 31
+_START = (1 << _START_BITS) - 1
 
-_RUN, _REMOVED, _LEADER, _WINDOW = 0, 1, 2, 3
+_RUN, _REMOVED, _LEADER = 0, 1, 2
+
+#: Leaders of an anchor from which on its windows are dealt one by one.
+SPLIT_LEADERS = 4096
+_CHUNK = 1 << 14
 
 PER_DOC = "doc_id bigint, removed binary, leaders binary, leader_keys binary"
+SPELLED = SCHEMA + ", raw binary"
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,14 +65,27 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:n], out[rest : rest + n]) if rest else out[:n]
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit digest of each byte range."""
+    whole = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(
+        b"".join(
+            [
+                blake2b(whole[lo:hi], digest_size=16).digest()
+                for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True)
+            ]
+        ),
+        "V16",
+    )
+
+
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
-    """Row, first start, number of starts, anchor hash and span hash of each run."""
+    """Row, first start, number of starts, anchor hash and span digest of each run."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none.astype(_U), none.astype(_U)
-    rolling = Rolling(data)
-    hashes = mix(rolling.windows(gram))
+        return none, none, none, none.astype(_U), np.zeros(0, "V16")
+    hashes = mix(Rolling(data).windows(gram))
     ranked = (hashes & ~_U(_PLACE)) | np.arange(len(hashes), dtype=_U)
     place = (_sliding_min(ranked, window - gram + 1) & _U(_PLACE)).astype(np.int64)
     valid = np.ones(n, dtype=bool)
@@ -71,15 +96,14 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     new[1:] &= (place[1:] != place[:-1]) | ~valid[:-1]
     starts = np.flatnonzero(new)
     if not len(starts):
-        return none, none, none, none.astype(_U), none.astype(_U)
+        return none, none, none, none.astype(_U), np.zeros(0, "V16")
     stop = np.flatnonzero(np.append(valid[:-1] & ~valid[1:], valid[-1]))
     # A run ends before the next one starts or at the last valid start of its text.
     following = np.append(starts[1:], len(place))
     last = stop[np.searchsorted(stop, starts)]
     count = np.minimum(following, last + 1) - starts
     key = mix(hashes[place[starts]] + _U(1))
-    span = rolling.ranges(starts, starts + count + window - 1)
-    span = mix(span + count.astype(_U) * _U(0xA0761D6478BD642F))
+    span = digests(data, starts, starts + count + window - 1)
     row = np.searchsorted(offsets, starts, side="right") - 1
     return row, starts - offsets[row], count, key, span
 
@@ -111,30 +135,64 @@ def radix_groups(windows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, n
     return index, group
 
 
-def window_verdicts(ids, hashes, place):
-    """Windows by hash and document, and flags of those that a smaller document has, too."""
-    order = np.lexsort((ids, hashes))
-    ids, hashes, place = ids[order], hashes[order], place[order]
-    new = changes(hashes)
-    return ids, hashes, place, ids > ids[new][np.cumsum(new) - 1]
+def spelled(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> bytes:
+    """The bytes of several ranges, one after another."""
+    out = []
+    for i in range(0, len(begin), _CHUNK):
+        size = lengths[i : i + _CHUNK]
+        ahead = np.cumsum(size) - size
+        at = np.repeat(begin[i : i + _CHUNK] - ahead, size) + np.arange(size.sum())
+        out.append(data[at].tobytes())
+    return b"".join(out)
+
+
+def window_hashes(windows: np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of bytes, mixed eight bytes at a time."""
+    n, depth = windows.shape
+    padded = np.zeros((n, -(-depth // 8) * 8), np.uint8)
+    padded[:, :depth] = windows
+    state = np.zeros(n, _U)
+    for digit in padded.view("<u8").T:
+        state = mix(state ^ digit) * _U(0x9E3779B97F4A7C15)
+    return mix(state)
+
+
+def later_windows(windows: np.ndarray, groups: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Indices of the windows that a smaller document of their group has, too."""
+    index, equal = radix_groups(windows, groups)
+    if not len(index):
+        return index
+    least = np.full(int(equal.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, equal, ids[index])
+    return index[ids[index] > least[equal]]
+
+
+def _expand(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run and step in it of each window of the runs."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
 
 
 def _merged(ids, start, count):
-    """Union of runs of starts per document: document, start and count, sorted."""
+    """Union of runs of starts per text: document, start and count, sorted.
+
+    A start carries the tag of its text above ``_START_BITS``.
+    """
     order = np.lexsort((start, ids))
     ids, start, count = ids[order], start[order], count[order]
     if not len(ids):
         return ids, start, count
-    # Documents are laid out one after another so that one running maximum serves all.
-    end = start + count
-    number = np.cumsum(changes(ids)) - 1
+    # Texts are laid out one after another so that one running maximum serves all.
+    tag, begin = start >> _START_BITS, start & _START
+    end = begin + count
+    number = np.cumsum(changes(ids, tag)) - 1
     stride = int(end.max()) + 2
     reach = np.maximum.accumulate(end + number * stride)
     new = np.ones(len(ids), dtype=bool)
-    new[1:] = start[1:] + number[1:] * stride > reach[:-1]
+    new[1:] = begin[1:] + number[1:] * stride > reach[:-1]
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(ids)) - 1
-    return ids[at], start[at], reach[last] - number[last] * stride - start[at]
+    return ids[at], start[at], reach[last] - number[last] * stride - begin[at]
 
 
 def _per_doc(ids, start, count, lead_ids, lead_place, lead_key) -> Iterator[pa.RecordBatch]:
@@ -169,16 +227,15 @@ def repeated_runs(
     text_col: str = "text",
     window: int = 50,
     gram: int = 20,
+    split_leaders: int = SPLIT_LEADERS,
 ) -> DataFrame:
     """Starts of windows that also start in a document with a smaller id.
 
     Returns ``doc_id``, ``removed`` and ``refined``: little-endian 64-bit pairs
-    (first start, number of starts); their union counts.  One row per document that
-    has any.  Rows that share an id count as one document and are expected to share
-    their text.  Null ids and texts take no part.
+    (first start below the text's tag, number of starts); their union counts.  One row
+    per document that has any.  Rows that share an id are one document; :func:`text_tag`
+    tells the places in their texts apart.  Null ids and texts take no part.
     """
-    import xxhash
-
     parts = partitions(docs)
     chosen = docs.where(
         F.col(id_col).isNotNull() & (F.octet_length(text_col) >= window)
@@ -189,20 +246,23 @@ def repeated_runs(
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = texts(batch.column(1))
-            copies: list[tuple[int, int]] = []
+            copies: list[tuple[int, int, int]] = []
+            tags = np.zeros(len(ids), dtype=_U)
             keep = np.ones(len(ids), dtype=bool)
             for i, doc in enumerate(ids.tolist()):
                 whole = data[offsets[i] : offsets[i + 1]]
-                digest = xxhash.xxh3_128_digest(whole)
+                digest = blake2b(whole, digest_size=16).digest()
+                tags[i] = text_tag(digest)
                 first = seen.setdefault(digest, doc)
                 if doc < first:
                     seen[digest] = doc
                 elif first < doc:
                     keep[i] = False
-                    copies.append((doc, len(whole) - window + 1))
+                    copies.append((doc, int(tags[i]) << _START_BITS, len(whole) - window + 1))
             if copies:
-                doc, count = np.array(copies, dtype=np.int64).T
-                columns = [np.zeros(len(doc), _U), np.zeros(len(doc), _U), count.astype(_U)]
+                doc, start, count = np.array(copies, dtype=np.int64).T
+                blank = np.zeros(len(doc), "V16")
+                columns = [start.astype(_U), blank, count.astype(_U)]
                 yield from pack_rows(doc_buckets(doc, parts), doc, columns, _REMOVED)
             out: list[tuple] = []
             held = 0
@@ -212,7 +272,8 @@ def repeated_runs(
                     continue
                 for base, piece, cuts in _pieces(data, offsets, rows, window):
                     row, start, count, key, span = anchor_runs(piece, cuts, window, gram)
-                    place = (start + base).astype(_U) << _U(8) | count.astype(_U)
+                    tagged = tags[rows[row]] << _U(_START_BITS) | (start + base).astype(_U)
+                    place = tagged << _U(8) | count.astype(_U)
                     out.append((ids[rows[row]], key, span, place))
                     held += len(row)
                     if held > 1 << 20:
@@ -221,12 +282,10 @@ def repeated_runs(
             yield from _flush(out, parts)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, (key, span, place), kind = unpack(batches, ["<u8", "<u8", "<u8"])
+        ids, (key, span, place), kind = unpack(batches, ["<u8", "V16", "<u8"])
         whole = kind == _REMOVED
-        done, count = ids[whole], place[whole]
-        yield from pack_rows(
-            doc_buckets(done, parts), done, [np.zeros(len(done), _U), count, count], _REMOVED
-        )
+        done, start, count = ids[whole], key[whole], place[whole]
+        yield from pack_rows(doc_buckets(done, parts), done, [start, count, count], _REMOVED)
         runs = np.flatnonzero(~whole)
         ids, key, span, place = ids[runs], key[runs], span[runs], place[runs]
         del runs
@@ -235,11 +294,12 @@ def repeated_runs(
         many = np.flatnonzero(~(new & np.append(new[1:], True)))
         pick = order[many]
         ids, key, span, place = ids[pick], key[pick], span[pick], place[pick]
-        order = np.lexsort((ids, span, key))
-        ids, key, span, place = ids[order], key[order], span[order], place[order]
+        high, low = span.view("<u8").reshape(-1, 2).T
+        order = np.lexsort((ids, low, high, key))
+        ids, key, place = ids[order], key[order], place[order]
         if not len(ids):
             return
-        by_key, by_span = changes(key), changes(key, span)
+        by_key, by_span = changes(key), changes(key, high[order], low[order])
         group, sub = np.cumsum(by_key) - 1, np.cumsum(by_span) - 1
         at = np.flatnonzero(by_key)
         several = (np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at))[group]
@@ -247,6 +307,9 @@ def repeated_runs(
         first = ids[np.flatnonzero(by_span)][sub]
         gone = ids > first
         lead = several & (spans > 1) & ~gone
+        # The last bit of a leader's key says that its anchor has many of them.
+        crowd = np.add.reduceat(lead.astype(np.int64), at) > split_leaders
+        key = key & ~_U(1) | crowd[group].astype(_U)
         start, count = place >> _U(8), place & _U(255)
         yield from pack_rows(
             doc_buckets(ids[gone], parts), ids[gone], [start[gone], count[gone], count[gone]], _REMOVED
@@ -269,64 +332,99 @@ def repeated_runs(
         )
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        held = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = texts(batch.column(1))
-            for i, places in enumerate(batch.column(2).to_pylist()):
-                place = np.frombuffer(places, "<u8")
-                start, count = (place >> _U(8)).astype(np.int64), (place & _U(255)).astype(np.int64)
-                fits = start + count + window - 1 <= offsets[i + 1] - offsets[i]
-                start, count = start[fits], count[fits]
-                # A long text's runs are hashed in stretches; a stretch has a run at least.
-                order = np.argsort(start, kind="stable")
-                start, count = start[order], count[order]
-                at = 0
-                while at < len(start):
-                    lo = int(start[at])
-                    stop = max(at + 1, int(np.searchsorted(start, lo + _SLICE)))
-                    mine = slice(at, stop)
-                    end = int((start[mine] + count[mine]).max()) + window - 1
-                    hashes = mix(Rolling(data[offsets[i] + lo : offsets[i] + end]).windows(window))
-                    step = np.arange(count[mine].sum()) - np.repeat(
-                        np.cumsum(count[mine]) - count[mine], count[mine]
-                    )
-                    first = np.repeat(start[mine], count[mine]) + step
-                    out.append((np.full(len(first), ids[i]), hashes[first - lo], first.astype(_U)))
-                    held += len(first)
-                    at = stop
-                    if held > 1 << 20:
-                        yield from least(out)
-                        out, held = [], 0
-        yield from least(out)
-
-    def least(out: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """Windows of the smallest document of each hash; the others are removed at once."""
-        if not out:
-            return
-        ids, hashes, place = map(np.concatenate, zip(*out))
-        ids, hashes, place, gone = window_verdicts(ids, hashes, place)
-        yield from pack_rows(
-            scaled(hashes[~gone], parts), ids[~gone], [place[~gone], hashes[~gone]], _WINDOW
+            place, key = (
+                [np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in (2, 3)
+            )
+            row = np.repeat(np.arange(len(ids)), [len(x) for x in place])
+            if not len(row):
+                continue
+            place, key = np.concatenate(place), np.concatenate(key)
+            tags = np.array(
+                [
+                    text_tag(blake2b(data[lo:hi], digest_size=16).digest())
+                    for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)
+                ],
+                dtype=_U,
+            )
+            mine = np.flatnonzero(place >> _U(8 + _START_BITS) == tags[row])
+            row, place, key = row[mine], place[mine], key[mine]
+            begin = offsets[row] + (place >> _U(8) & _U(_START)).astype(np.int64)
+            split = key & _U(1) == 1
+            whole, parted = np.flatnonzero(~split), np.flatnonzero(split)
+            for i in range(0, len(whole), _CHUNK << 4):
+                at = whole[i : i + (_CHUNK << 4)]
+                yield from _pack_spelled(ids[row[at]], key[at], place[at], data, begin[at], window, parts)
+            for i in range(0, len(parted), _CHUNK):
+                at = parted[i : i + _CHUNK]
+                yield from apart(ids[row[at]], place[at], data, begin[at])
+
+    def apart(ids, place, data, begin) -> Iterator[pa.RecordBatch]:
+        """The windows of some runs one by one, the equal ones of larger documents removed."""
+        owner, step = _expand((place & _U(255)).astype(np.int64))
+        ids, begin = ids[owner], begin[owner] + step
+        start = (place >> _U(8))[owner] + step.astype(_U)
+        windows = np.lib.stride_tricks.sliding_window_view(data, window)[begin]
+        key = window_hashes(windows)
+        gone = later_windows(windows, key, ids)
+        one = np.ones(len(gone), _U)
+        for rows in pack_rows(
+            doc_buckets(ids[gone], parts), ids[gone], [start[gone], one, one], _REMOVED
+        ):
+            yield _with_raw(rows, [b""] * rows.num_rows)
+        stay = np.ones(len(ids), dtype=bool)
+        stay[gone] = False
+        yield from _pack_spelled(
+            ids[stay], key[stay], start[stay] << _U(8) | _U(1), data, begin[stay], window, parts
         )
-        one = np.ones(int(gone.sum()), _U)
-        yield from pack_rows(doc_buckets(ids[gone], parts), ids[gone], [place[gone], one], _REMOVED)
 
     def sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, (place, hashes), kind = unpack(batches, ["<u8", "<u8"])
-        whole = kind == _REMOVED
-        done, at = ids[whole], place[whole]
-        ids, hashes, place, gone = window_verdicts(ids[~whole], hashes[~whole], place[~whole])
-        for doc, start in ((done, at), (ids[gone], place[gone])):
-            one = np.ones(len(doc), _U)
-            yield from pack_rows(doc_buckets(doc, parts), doc, [start, one, one], _REMOVED)
+        held, raw = [], []
+        for batch in batches:
+            for kind, text in zip(batch.column("kind").to_pylist(), batch.column("raw").to_pylist()):
+                if kind == _LEADER:
+                    raw.append(np.frombuffer(text, np.uint8))
+            held.append(batch.drop_columns(["raw"]))
+        ids, (place, key), kind = unpack(held, ["<u8", "<u8"])
+        del held
+        done = kind == _REMOVED
+        one = np.ones(int(done.sum()), _U)
+        yield from pack_rows(
+            doc_buckets(ids[done], parts), ids[done], [place[done], one, one], _REMOVED
+        )
+        ids, place, key = ids[~done], place[~done], key[~done]
+        if not len(ids):
+            return
+        raw = np.concatenate(raw)
+        start, count = place >> _U(8), (place & _U(255)).astype(np.int64)
+        begin = np.cumsum(count + window - 1) - (count + window - 1)
+        # Groups are worked off in chunks; a group is bounded by split_leaders.
+        order = np.argsort(key, kind="stable")
+        group = np.cumsum(changes(key[order])) - 1
+        through = np.cumsum(count[order])
+        all_windows = np.lib.stride_tricks.sliding_window_view(raw, window)
+        at = 0
+        while at < len(order):
+            reach = np.searchsorted(through, (through[at - 1] if at else 0) + 200_000, "right")
+            stop = max(int(reach), at + 1)
+            stop = int(np.searchsorted(group, group[stop - 1], "right"))
+            mine, name = order[at:stop], group[at:stop]
+            owner, step = _expand(count[mine])
+            windows = all_windows[begin[mine][owner] + step]
+            gone = later_windows(windows, name[owner], ids[mine][owner])
+            doc = ids[mine][owner[gone]]
+            first = start[mine][owner[gone]] + step[gone].astype(_U)
+            one = np.ones(len(gone), _U)
+            yield from pack_rows(doc_buckets(doc, parts), doc, [first, one, one], _REMOVED)
+            at = stop
 
     runs = deal(chosen.mapInArrow(anchored, SCHEMA), "bucket")
     verdicts = deal(runs.mapInArrow(judged, SCHEMA), "bucket")
     first = stored(verdicts.mapInArrow(gathered, PER_DOC))
     leaders = first.where(F.octet_length("leaders") > 0).select("doc_id", "leaders", "leader_keys")
-    contexts = chosen.join(leaders.hint("merge"), "doc_id").mapInArrow(fetched, SCHEMA)
+    contexts = chosen.join(leaders.hint("merge"), "doc_id").mapInArrow(fetched, SPELLED)
     found = deal(contexts, "bucket").mapInArrow(sorted_windows, SCHEMA)
     second = stored(deal(found, "bucket").mapInArrow(gathered, PER_DOC))
     return first.select("doc_id", "removed").join(
@@ -334,6 +432,32 @@ def repeated_runs(
     )
 
 
+def text_tag(digest: bytes) -> int:
+    """25 bits that tell the texts of one document id apart."""
+    return int.from_bytes(digest[:4], "little") >> 7
+
+
+def _with_raw(batch: pa.RecordBatch, raw: list[bytes]) -> pa.RecordBatch:
+    return batch.append_column("raw", pa.array(raw, pa.binary()))
+
+
+def _pack_spelled(ids, key, place, data, begin, window, parts) -> Iterator[pa.RecordBatch]:
+    """Rows of runs with their bytes, one per bucket of their keys."""
+    bucket = scaled(key, parts)
+    order = np.argsort(bucket, kind="stable")
+    bucket, ids, key, place, begin = (x[order] for x in (bucket, ids, key, place, begin))
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    lengths = (place & _U(255)).astype(np.int64) + window - 1
+    spell = [
+        spelled(data, begin[lo:hi], lengths[lo:hi])
+        for lo, hi in zip(cuts, [*cuts[1:], len(bucket)])
+    ]
+    at = 0
+    for rows in pack_rows(bucket, ids, [place, key], _LEADER):
+        yield _with_raw(rows, spell[at : at + rows.num_rows])
+        at += rows.num_rows
+
+
 def _pieces(data, offsets, rows, window):
     """Texts of some rows in one stretch; a text longer than a slice in overlapping ones."""
     if len(rows) == 1 and offsets[rows[0] + 1] - offsets[rows[0]] > _SLICE:
@@ -365,6 +489,7 @@ def remove_repeats(
     text_col: str = "text",
     window: int = 50,
     gram: int = 20,
+    split_leaders: int = SPLIT_LEADERS,
 ) -> DataFrame:
     """Texts without the bytes of windows that also start in a document with a smaller id.
 
@@ -374,10 +499,11 @@ def remove_repeats(
     ``gram``), do not cross documents, may overlap, and are judged on the input.
 
     Null text counts as empty.  Rows with a null id keep their text.  Rows that share
-    an id are one document and are expected to share their text; each gets a row.  An
-    empty table gives no rows; other columns are ignored.
+    an id are one document with several texts: each gets a row, loses its own spans only,
+    and none repeats another.  An empty table gives no rows; other columns are ignored.
     """
-    runs = repeated_runs(docs, id_col, text_col, window, gram).withColumnRenamed("doc_id", "_run_id")
+    runs = repeated_runs(docs, id_col, text_col, window, gram, split_leaders)
+    runs = runs.withColumnRenamed("doc_id", "_run_id")
     joined = (
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
         .join(runs.hint("merge"), F.col("doc_id") == F.col("_run_id"), "left")
@@ -395,13 +521,16 @@ def remove_repeats(
         for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
             text = data[offsets[i] : offsets[i + 1]]
             pairs = np.frombuffer((a or b"") + (b or b""), "<i8").reshape(-1, 2)
+            if len(pairs):
+                tag = text_tag(blake2b(text, digest_size=16).digest())
+                pairs = pairs[pairs[:, 0] >> _START_BITS == tag]
             if not len(pairs):
                 removed.append(0)
                 spans.append([])
                 kept.append(text.tobytes())
                 continue
             zero = np.zeros(len(pairs), np.int64)
-            _, start, count = _merged(zero, pairs[:, 0], pairs[:, 1] + window - 1)
+            _, start, count = _merged(zero, pairs[:, 0] & _START, pairs[:, 1] + window - 1)
             ranges = [(s, min(s + c, len(text))) for s, c in zip(start.tolist(), count.tolist())]
             ranges = [(s, e) for s, e in ranges if s < e]
             edges = [0, *[x for pair in ranges for x in pair], len(text)]

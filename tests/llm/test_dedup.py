@@ -15,7 +15,7 @@ from corpuscope.llm.ngram_join import (
     size_classes,
     trie_links,
 )
-from corpuscope.llm.suffix_dedup import radix_groups, remove_repeats, window_verdicts
+from corpuscope.llm.suffix_dedup import later_windows, radix_groups, remove_repeats
 
 from .conftest import awkward
 
@@ -117,13 +117,49 @@ def test_repeats_of_a_passage_with_other_edges_in_each_text(docs_of):
     expected = brute_repeats(rows)
     got = remove_repeats(docs_of(rows)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got} == expected
-    # A task sends a window that all its texts share once, whatever their number.
-    ids = np.repeat(np.arange(400), 3)
-    hashes = np.tile(np.array([7, 7, 9], np.uint64), 400)
-    places = np.tile(np.array([1, 5, 8], np.uint64), 400)
-    doc, key, place, gone = window_verdicts(ids, hashes, places)
-    assert list(zip(doc[~gone], key[~gone], place[~gone])) == [(0, 7, 1), (0, 7, 5), (0, 9, 8)]
-    assert gone.sum() == 3 * 399
+    split = remove_repeats(docs_of(rows), split_leaders=3).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in split} == expected
+
+
+def test_repeats_with_split_anchors_match_brute_force(docs_of, real):
+    rows = [(a, b) for a, b, _, _ in real]
+    rows += [(10**6, "a" * 3000), (10**6 + 1, "a" * 60 + "ab" * 500), (10**6 + 2, "ab" * 40)]
+    expected = brute_repeats(rows)
+    got = remove_repeats(docs_of(rows), split_leaders=0).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got} == expected
+
+
+def test_repeats_tell_patterned_texts_apart(docs_of):
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    rows = [(1, morse), (2, other), (3, morse[300:] + other[:300]), (4, "c" + other)]
+    expected = brute_repeats(rows)
+    got = remove_repeats(docs_of(rows)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got} == expected
+
+
+def test_rows_that_share_an_id_lose_their_own_spans_only(docs_of):
+    rng = np.random.default_rng(6)
+    a, b, c = (bytes(rng.integers(97, 123, 200, dtype=np.uint8)).decode() for _ in range(3))
+    rows = [(1, a), (2, a + "!"), (2, b), (2, c + a[:60]), (2, b), (3, b + a[100:])]
+    for split in (0, 4096):
+        got = remove_repeats(docs_of(rows), split_leaders=split).collect()
+        assert sorted((r.doc_id, r.n_bytes, bytes(r.kept).decode()) for r in got) == sorted(
+            [(1, 200, a), (2, 201, "!"), (2, 200, b), (2, 260, c), (2, 200, b), (3, 300, "")]
+        )
+
+
+def test_windows_with_clashing_hashes_are_told_apart_by_their_bytes():
+    rng = np.random.default_rng(7)
+    windows = rng.integers(0, 2, (400, 50), dtype=np.uint8) * (np.arange(50) > 44)
+    windows = windows.astype(np.uint8)
+    ids = rng.integers(0, 20, 400)
+    first = {}
+    for w, doc in zip(windows, ids.tolist(), strict=True):
+        first[w.tobytes()] = min(doc, first.get(w.tobytes(), doc))
+    expected = [i for i, w in enumerate(windows) if ids[i] > first[w.tobytes()]]
+    got = later_windows(windows, np.zeros(400, np.uint64), ids)
+    assert sorted(got.tolist()) == expected and expected
 
 
 def test_radix_groups_are_the_equal_windows():
