@@ -41,7 +41,7 @@ NEIGHBOURS = 15
 #: Bytes of the texts of all examples together.
 MAX_BYTES = 1 << 28
 #: So many of the most frequent terms are held as dense columns, the others as postings.
-_DENSE = 512
+_DENSE = 1024
 #: Bytes of the beginning of a word that is a term too.
 _STEM = 4
 #: Terms whose document frequencies travel in one row.
@@ -73,7 +73,10 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _counts(data: np.ndarray, offsets: np.ndarray):
     """Row, code and count of the terms in each text, by row and code."""
     codes, rows = _codes(data, offsets)
-    order = np.lexsort((codes, rows))
+    order = np.argsort(codes)
+    # Few rows are dealt by their 16 bits in linear time.
+    few = np.uint16 if len(offsets) <= 1 << 16 else np.int64
+    order = order[np.argsort(rows[order].astype(few), kind="stable")]
     codes, rows = codes[order], rows[order]
     at = np.flatnonzero(changes(rows, codes))
     return rows[at], codes[at], np.diff(np.append(at, len(codes)))
@@ -174,16 +177,23 @@ class BlockMaxIndex:
         if not n:
             return [(np.zeros(0, np.int64), np.zeros(0)) for _ in vectors]
         head = np.zeros((len(vectors), self.head.shape[1]), np.float32)
-        tail = np.zeros((len(vectors), n), np.float32)
+        tail = np.zeros((len(vectors), blocks * BLOCK), np.float32)
         for i, (terms, weights) in enumerate(vectors):
             column = self.column[terms]
             head[i, column[column >= 0]] = weights[column >= 0]
-            tail[i] = self.tail.sums(terms[column < 0], weights[column < 0])
-        bounds = head @ self.maxima.T + np.maximum.reduceat(tail, self.starts, axis=1) + 1e-5
+            tail[i, :n] = self.tail.sums(terms[column < 0], weights[column < 0])
+        bounds = head @ self.maxima.T + tail.reshape(len(vectors), blocks, BLOCK).max(axis=2) + 1e-5
         scores = np.full((len(vectors), n), -1.0, np.float32)
 
         def read(wanted: np.ndarray) -> None:
-            for block in np.flatnonzero(wanted.any(axis=0)).tolist():
+            # Blocks in a row that most texts want are read at once, for all texts.
+            most = 2 * wanted.sum(axis=0) >= len(vectors)
+            edges = np.flatnonzero(np.diff(most.astype(np.int8), prepend=0, append=0))
+            for first, stop in edges.reshape(-1, 2).tolist():
+                lo, hi = first * BLOCK, min(n, stop * BLOCK)
+                np.matmul(head, self.head[lo:hi].T, out=scores[:, lo:hi])
+                scores[:, lo:hi] += tail[:, lo:hi]
+            for block in np.flatnonzero(wanted.any(axis=0) & ~most).tolist():
                 mine = np.flatnonzero(wanted[:, block])
                 lo, hi = block * BLOCK, min(n, (block + 1) * BLOCK)
                 scores[mine, lo:hi] = head[mine] @ self.head[lo:hi].T + tail[mine, lo:hi]
@@ -204,12 +214,15 @@ class BlockMaxIndex:
         members = (best[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(len(vectors), -1)
         seen = np.take_along_axis(scores, np.minimum(members, n - 1), axis=1)
         seen[members >= n] = -1.0
-        read((bounds >= kth(seen)[:, None]) & ~wanted)
-        least = kth(scores) - 1e-5
+        reach = kth(seen)
+        read((bounds >= reach[:, None]) & ~wanted)
         out = []
         for i in range(len(vectors)):
+            place = np.flatnonzero((scores[i] >= reach[i] - 1e-5) & (scores[i] > 0))
+            if len(place) > k:
+                some = scores[i, place]
+                place = place[some >= np.partition(some, len(some) - k)[len(some) - k] - 1e-5]
             # The sums of a matrix product depend on its shape, so the best are summed again.
-            place = np.flatnonzero((scores[i] >= least[i]) & (scores[i] > 0))
             cosine = (self.head[place].astype(np.float64) * head[i]).sum(axis=1) + tail[i, place]
             place, cosine = place[cosine > 0], cosine[cosine > 0]
             order = np.lexsort((place, -cosine))[:k]
