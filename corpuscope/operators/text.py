@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.items import doc_terms, items
 from ..functions.stem import stem_key
 from ..functions.text_keys import normalised, remove_accents, words
-from ..plans.containment import containment_join, token_runs
+from ..plans.containment import contained_patterns, token_runs
 from ..plans.skew import skew_join
 
 TOKEN = r"[\p{L}\p{N}_\-]+"
@@ -171,10 +171,8 @@ def extract_keywords_from_table(
     fold = F.lower if ignore_case else (lambda c: c)
     texts = df.select("id", fold(F.col(col)).alias("text"))
     folded = keywords.select("term", fold(F.col("term")).alias("pattern"))
-    pairs = containment_join(texts, folded)
-    return (
-        skew_join(skew_join(texts, pairs, "text"), folded, "pattern").select("id", "term").distinct()
-    )
+    found = contained_patterns(texts, folded, ["id"])
+    return skew_join(found, folded, "pattern").select("id", "term").distinct()
 
 
 def extract_nearby(df: DataFrame, col: str, keywords: KeywordSet, n: int, new: str) -> DataFrame:
@@ -229,7 +227,7 @@ def co_mentioned(df: DataFrame, col: str, keyword: str, text: str = "abstract")
         F.col("text").contains(keyword.lower())
     )
     terms = doc_terms(df, col).select("term", F.lower("term").alias("pattern")).distinct()
-    found = containment_join(lines, terms.select("pattern")).select("pattern").distinct()
+    found = contained_patterns(lines, terms.select("pattern"))
     return terms.join(found, "pattern", "left_semi").select("term").distinct()
 
 
