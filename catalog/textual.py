@@ -35,7 +35,7 @@ def texts(spark, sf):
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))))
     return d.select(F.col("doc_id").alias("id"), F.col("text").alias("abstract"), "lang", "source",
                     (F.col("n_chars") % 100).alias("global_citations"),
-                    F.when(F.size(words) > 0, words).alias("author_keywords"))
+                    F.get(F.filter(F.array(words), lambda x: F.size(x) > 0), F.lit(0)).alias("author_keywords"))
 
 
 def with_abstracts(spark, sf, orders):

@@ -21,7 +21,8 @@ def items(df: DataFrame, col: str, sep: str = ";") -> Column:
     else:
         raw = F.when(F.col(col).isNotNull(), F.array(F.col(col).cast("string")))
     clean = F.array_distinct(F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x != ""))
-    return F.when(F.size(clean) > 0, clean)
+    # Names the list, so that it is made once and not again for its size.
+    return F.get(F.filter(F.array(clean), lambda x: F.size(x) > 0), F.lit(0))
 
 
 def doc_terms(
