@@ -51,7 +51,8 @@ def document_vectors(
     axis = kept_terms(df, col, max_items, "num_documents", min_occ)
     names = [r["term"] for r in axis.select("term").collect()]
     kept = F.array_intersect(items(df, col), F.array(*[F.lit(n) for n in names]))
-    lists = df.select("id", kept.alias("_terms")).where(F.size("_terms") >= min_terms)
+    # A few terms a document, read several times; kept as they lie for the centres of k-means.
+    lists = df.select("id", kept.alias("_terms")).persist().where(F.size("_terms") >= min_terms)
     counter = CountVectorizerModel.from_vocabulary(names, "_terms", "features" if not use_idf else "_tf")
     table = counter.transform(lists)
     if use_idf:
@@ -228,6 +229,9 @@ def cluster_text(
     words = RegexTokenizer(inputCol=col, outputCol="_w", pattern=r"[^\p{L}]+").transform(df.where(F.col(col).isNotNull()))
     clean = StopWordsRemover(inputCol="_w", outputCol="_c").transform(words).select("id", "_c")
     counts = CountVectorizer(inputCol="_c", outputCol="_tf", vocabSize=check_axis(max_items), minDF=min_occ).fit(clean).transform(clean)
+    # The texts are cut into words once for the vocabulary and once for the counts.  Kept
+    # as they lie, because the first centres depend on the layout.
+    counts = counts.select("id", "_tf").persist()
     weighted = IDF(inputCol="_tf", outputCol="_x").fit(counts).transform(counts)
     vecs = Normalizer(inputCol="_x", outputCol="features").transform(weighted).select("id", "features")
     return kmeans_clusters(vecs, k, "id", seed)

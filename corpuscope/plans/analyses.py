@@ -57,7 +57,11 @@ def meaningful_contexts(
     variants of each keyword.
     """
     order = Window.partitionBy("cluster").orderBy(F.col("global_citations").desc(), "id")
-    best = df.join(documents, "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # Ranked without their texts; all rows of the best ids are fetched and ranked again.
+    narrow = df.select("id", "global_citations").join(documents, "id")
+    ids = materialise(narrow.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("id").distinct())
+    best = df.join(F.broadcast(ids), "id", "left_semi").join(documents, "id")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     words = keywords.select("cluster", "term")
     if th is not None:
         words = words.union(words.join(th.toDF("term", "variant"), "term").select("cluster", "variant")).distinct()
