@@ -6,12 +6,13 @@ costs one round.  The adjacency is written once, with the hot nodes found once.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import is_empty, materialise
+from ..plans.lineage import bucketed, is_empty, materialise
 from ..plans.skew import hot_keys, skew_join
 
 
@@ -34,18 +35,26 @@ def label_propagation(
     moves, or when the weight between nodes of one label has not grown for two passes
     over both halves (nodes that only swap labels).  More than ``max_iter`` passes raise.
     """
-    adj = materialise(_adjacency(edges, weighted))
-    hot = hot_keys(adj, ["other"])
-    hot_nodes = None if hot is None else hot.withColumnRenamed("other", "node")
+    # Links go both ways, so those of a node also name the nodes whose votes it is part of.
+    adj = bucketed(_adjacency(edges, weighted), "node")
+    hot_nodes = hot_keys(adj, ["node"])
+    hot = None if hot_nodes is None else hot_nodes.withColumnRenamed("node", "other")
     labels = materialise(adj.select("node", F.col("node").alias("cluster")).distinct())
-    still, best_weight, stale = False, -1.0, 0
+    still, best_weight, stale, changes = False, -1.0, 0, []
     for r in count():
         if max_iter is not None and r >= 2 * max_iter:
             raise RuntimeError(f"labels have not settled in {max_iter} passes")
         # Another split in every pass, or neighbours of one half could swap for ever.
         side = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
+        voting = adj.where(side)
+        if r > 1:
+            # A node whose neighbours have not moved since it was asked stays where it is.
+            # It was asked in the pass before, at most three rounds ago.
+            lately = reduce(DataFrame.union, changes[-3:]).distinct()
+            asked = skew_join(adj, lately, "node", hot=hot_nodes).select(F.col("other").alias("node")).where(side)
+            voting = skew_join(voting, asked.distinct(), "node", "left_semi", hot=hot_nodes)
         votes = (
-            skew_join(adj.where(side), labels.toDF("other", "label"), "other", hot=hot)
+            skew_join(voting, labels.toDF("other", "label"), "other", hot=hot)
             .groupBy("node", "label")
             .agg(F.sum("w").alias("w"))
         )
@@ -67,15 +76,16 @@ def label_propagation(
             )
         )
         labels = moved.select("node", "cluster")
-        at_rest = is_empty(moved.where("_moved"))
+        changes.append(moved.where("_moved").select("node"))
+        at_rest = is_empty(changes[-1])
         still = at_rest if r % 2 == 0 else still and at_rest
         if r % 2 and still:
             break
         if r % 2:
             # Every step but simultaneous swaps raises this sum, so it ends the loop.
-            ends = skew_join(adj, labels.toDF("node", "_l"), "node", hot=hot_nodes)
+            ends = skew_join(adj.where("node < other"), labels.toDF("node", "_l"), "node", hot=hot_nodes)
             ends = skew_join(ends, labels.toDF("other", "_m"), "other", hot=hot)
-            inside = float(ends.where("_l = _m").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0])
+            inside = 2 * float(ends.where("_l = _m").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0])
             stale = 0 if inside > best_weight + 1e-9 else stale + 1
             best_weight = max(best_weight, inside)
             if stale == 2:
@@ -333,9 +343,10 @@ def _dag_pass(edges: DataFrame, longest: bool) -> DataFrame:
         ).alias("e"),
         w.alias("w"),
     ).select("e.*", "w")
-    both = materialise(both)
+    # Read in every level, so they lie in buckets and only the level itself is shuffled.
+    both = bucketed(both, "dir", "a")
     hot = hot_keys(both, ["dir", "a"])
-    indegree = materialise(both.groupBy("dir", F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("need")))
+    indegree = bucketed(both.groupBy("dir", F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("need")), "dir", "node")
     nodes = materialise(both.select("dir", F.col("a").alias("node")).union(both.select("dir", "b")).distinct())
     start = 0 if longest else 1
     frontier = materialise(

@@ -53,6 +53,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """Write ``df`` in as many buckets of ``keys`` as a shuffle has partitions.
+
+    Joins and groups by all the keys then read it where it lies, so a loop that meets a
+    large table again and again only shuffles what it brings.
+    """
+    spark = df.sparkSession
+    name = f"corpuscope_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(n, *keys)
+    placed.write.bucketBy(n, *keys).option("path", scratch_path(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def is_empty(df: DataFrame) -> bool:
     """True when ``df`` has no rows; stops at the first one."""
     return not df.take(1)
