@@ -10,11 +10,11 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, No
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.items import doc_terms, items
-from ..plans.lineage import materialise
+from ..plans.lineage import materialise, spread
 from ..plans.running import ordinal
 from ..plans.skew import skew_join
 from ..plans.spatial import near_boxes
@@ -104,6 +104,94 @@ def threshold_clusters(edges: DataFrame, threshold: float) -> DataFrame:
     return connected_components(links).withColumnRenamed("node", "term")
 
 
+#: Comparisons of points made at once; where boxes leave more of them open, the boxes are cut.
+COMPARED = 5_000_000
+#: Cells are halved so often at most, which keeps the numbers of the parts below 2^61.
+HALVINGS = 30
+
+
+def _squared(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0.0), lambda s, v: s + v * v)
+
+
+def _minus(a: str, b: str) -> Column:
+    return F.zip_with(a, b, lambda u, v: u - v)
+
+
+def _outside(low: str, high: str, lo: str, hi: str) -> Column:
+    """Squared distance between the boxes from ``low`` to ``high`` and from ``lo`` to ``hi``."""
+    return _squared(F.zip_with(_minus(lo, high), _minus(low, hi), lambda u, v: F.greatest(u, v, F.lit(0.0))))
+
+
+def _near(a: str, b: str, eps: float) -> Column:
+    return _squared(_minus(a, b)) <= eps * eps + 1e-12
+
+
+def _boxes(points: DataFrame, dims: int, *keys: str) -> DataFrame:
+    """``(*keys, lo, hi, n)``: corners and number of the points ``x`` of each key."""
+    corners = [f(F.col("x")[i]).alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    return points.groupBy(*keys).agg(*corners, F.count(F.lit(1)).alias("n")).select(
+        *keys, *[F.array(*[f"{n}{i}" for i in range(dims)]).alias(n) for n in ("lo", "hi")], "n"
+    )
+
+
+def _facing(pairs: DataFrame, boxes: DataFrame, key: str, eps: float) -> DataFrame:
+    """The ``pairs`` (a, b) of boxes within reach, with corners, numbers and ``sure``.
+
+    A pair is sure when all points of one box are near all of the other, so boxes of one
+    point each are always decided.
+    """
+    for end in ("a", "b"):
+        pairs = pairs.join(boxes.select(F.col(key).alias(end), *[F.col(c).alias(f"{end}{c}") for c in ("lo", "hi", "n")]), end)
+    gap = _outside("blo", "bhi", "alo", "ahi")
+    span = _squared(F.zip_with(_minus("bhi", "alo"), _minus("ahi", "blo"), lambda u, v: F.greatest(F.abs(u), F.abs(v))))
+    single = (F.col("alo") == F.col("ahi")) & (F.col("blo") == F.col("bhi"))
+    return pairs.where(gap <= eps * eps + 1e-12).withColumn("sure", single | (span <= eps * eps))
+
+
+def _open_comparisons(pairs: DataFrame) -> float:
+    return pairs.agg(F.sum(F.col("an").cast("double") * F.col("bn"))).first()[0] or 0.0
+
+
+def _cells_that_meet(points: DataFrame, pairs: DataFrame, dims: int, eps: float, side: float) -> DataFrame:
+    """``(a_cell, b_cell)``: the ``pairs`` of cells that hold ``points`` at most ``eps`` apart.
+
+    While too many points would be compared, the cells are cut into parts of half the
+    side, whose boxes settle most of it: a pair of cells is done with its first sure pair
+    of parts, and parts beyond reach of each other are left out.
+    """
+    found = []
+    points = points.withColumnRenamed("cell", "part")
+    pairs = pairs.drop("sure").withColumns({"a_cell": F.col("a"), "b_cell": F.col("b")})
+    for level in range(1, HALVINGS + 1):
+        if _open_comparisons(pairs) <= COMPARED:
+            break
+        cut = F.transform("x", lambda v: F.floor(v / (side / 2**level)))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("part")).distinct()
+        points = points.join(ends, "part", "left_semi").select(F.col("part").alias("of"), "x", cut.alias("part"))
+        points = materialise(points)
+        boxes = materialise(_boxes(points, dims, "of", "part"))
+        points = points.select("x", "part")
+        pairs = pairs.select("a_cell", "b_cell", "a", "b")
+        for end in ("a", "b"):
+            parts = boxes.select(F.col("of").alias(end), F.col("part").alias("_part"))
+            pairs = skew_join(pairs, parts, end).drop(end).withColumnRenamed("_part", end)
+        pairs = materialise(_facing(pairs, boxes, "part", eps))
+        found.append(materialise(pairs.where("sure").select("a_cell", "b_cell").distinct()))
+        pairs = pairs.where(~F.col("sure")).join(found[-1], ["a_cell", "b_cell"], "left_anti").drop("sure")
+        pairs = materialise(pairs)
+    # Boxes leave the rest open: compare only the points of each part within reach of the other box.
+    reach = eps * eps + 1e-12
+    left = points.withColumnRenamed("part", "a").join(pairs, "a").where(_outside("x", "x", "blo", "bhi") <= reach)
+    right = points.withColumnRenamed("part", "b").join(pairs, "b").where(_outside("x", "x", "alo", "ahi") <= reach)
+    left = left.select("a_cell", "b_cell", "a", "b", F.col("x").alias("ax"))
+    right = right.select("a", "b", F.col("x").alias("bx"))
+    met = skew_join(left, right, ["a", "b"]).where(_near("ax", "bx", eps)).select("a_cell", "b_cell").distinct()
+    for some in found:
+        met = met.union(some)
+    return materialise(met)
+
+
 def density_clusters(
     coords: DataFrame, eps: float = 0.5, min_samples: int = 5, item: str = "term"
 ) -> DataFrame:
@@ -114,6 +202,8 @@ def density_clusters(
     points is all core and is one node, and only cells with fewer points are
     compared point by point with their surroundings.  The occupied cells within reach
     of each other come from a tree over their boxes, whatever the number of dimensions.
+    Two dense cells whose boxes leave open if they are near are cut into smaller boxes
+    where they hold many points, and not at all where other cells link them already.
     A cluster is named by its smallest core item; a border point takes the smallest name
     among those of the cores it can see.  Noise has a NULL cluster.
     """
@@ -133,22 +223,25 @@ def density_clusters(
     totals = distinct.groupBy("cell").agg(F.sum("w").alias("n"))
     dense = totals.where(F.col("n") >= min_samples).select("cell")
     sparse = distinct.join(totals.where(F.col("n") < min_samples).select("cell"), "cell", "left_semi")
-    corners = [f(F.col("x")[i]).alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
-    boxes = distinct.groupBy("cell").agg(*corners)
-    boxes = boxes.select("cell", F.array(*[f"lo{i}" for i in range(dims)]).alias("lo"), F.array(*[f"hi{i}" for i in range(dims)]).alias("hi"))
-    boxes = materialise(boxes)
+    boxes = materialise(_boxes(distinct, dims, "cell"))
     beside = materialise(near_boxes(boxes.withColumnRenamed("cell", "box"), eps))
 
-    def near(a: str, b: str):
-        squares = F.zip_with(a, b, lambda u, v: (u - v) * (u - v))
-        return F.aggregate(squares, F.lit(0.0), lambda s, v: s + v) <= eps * eps + 1e-12
-
     probes = sparse.select(F.col("pid").alias("probe"), F.col("x").alias("px"), F.col("cell").alias("a"))
     probes = skew_join(probes, beside, "a").select("probe", "px", F.col("b").alias("cell"))
+    # A dense cell that is near as a whole counts as such; the points of others are compared.
+    around = skew_join(probes, boxes.drop("n").join(totals, "cell"), "cell").where(
+        _outside("px", "px", "lo", "hi") <= eps * eps + 1e-12
+    )
+    corner = F.zip_with(_minus("hi", "px"), _minus("px", "lo"), lambda u, v: F.greatest(F.abs(u), F.abs(v)))
+    all_near = (F.col("n") >= min_samples) & (_squared(corner) <= eps * eps)
+    around = materialise(around.select("probe", "px", "cell", "n", all_near.alias("whole")))
+    whole = around.where("whole").select("probe", "cell", "n")
+    probes = around.where("NOT whole").select("probe", "px", "cell")
     close = materialise(
-        skew_join(distinct, probes, "cell").where(near("x", "px")).select("probe", "pid", "cell", "w")
+        skew_join(spread(distinct, "pid"), probes, "cell").where(_near("x", "px", eps)).select("probe", "pid", "w")
     )
-    core_probes = close.groupBy("probe").agg(F.sum("w").alias("n")).where(F.col("n") >= min_samples).select("probe")
+    seen_points = close.select("probe", F.col("w").alias("n")).union(whole.select("probe", "n"))
+    core_probes = seen_points.groupBy("probe").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("probe")
     cell_node = F.concat(F.lit("cell "), F.array_join("cell", " "))
     node_of = distinct.join(dense, "cell", "left_semi").select("pid", cell_node.alias("node")).union(
         core_probes.select(F.col("probe").alias("pid"), F.concat(F.lit("point "), "probe"))
@@ -158,33 +251,25 @@ def density_clusters(
     seen = skew_join(close.join(core_probes, "probe", "left_semi"), node_of, "pid").select(
         F.concat(F.lit("point "), "probe").alias("t1"), F.col("node").alias("t2")
     )
+    seen = seen.union(whole.select(F.concat(F.lit("point "), "probe"), cell_node))
     dense_points = distinct.join(dense, "cell", "left_semi").select("x", "cell")
     dense_boxes = boxes.join(dense, "cell", "left_semi")
-    first = dense_boxes.select(F.col("cell").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    pairs = beside.where(F.array_join("a", " ") < F.array_join("b", " ")).withColumnRenamed("b", "cell")
-    pairs = pairs.join(first, "a").join(dense_boxes, "cell")
-
-    def squared(parts):
-        return F.aggregate(parts, F.lit(0.0), lambda s, v: s + v * v)
-
-    gap = squared(F.zip_with(F.zip_with("lo", "ahi", lambda p, q: p - q), F.zip_with("alo", "hi", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0))))
-    span = squared(F.zip_with(F.zip_with("hi", "alo", lambda p, q: p - q), F.zip_with("ahi", "lo", lambda p, q: p - q), lambda p, q: F.greatest(F.abs(p), F.abs(q))))
-    pairs = materialise(pairs.withColumns({"gap": gap, "span": span}).where(F.col("gap") <= eps * eps + 1e-12))
-    sure = pairs.where(F.col("span") <= eps * eps).select("a", F.col("cell").alias("b"))
-    unsure = pairs.where(F.col("span") > eps * eps).select("a", F.col("cell").alias("b"), "alo", "ahi", "lo", "hi")
-
-    def to_box(x: str, lo: str, hi: str):
-        out = F.zip_with(F.zip_with(lo, x, lambda p, q: p - q), F.zip_with(x, hi, lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0)))
-        return squared(out) <= eps * eps + 1e-12
-
-    # Boxes leave it open: compare only the points of each cell within reach of the other box.
-    left = dense_points.withColumnRenamed("cell", "a").join(unsure, "a").where(to_box("x", "lo", "hi")).select("a", "b", F.col("x").alias("ax"))
-    right = dense_points.withColumnRenamed("cell", "b").join(unsure, "b").where(to_box("x", "alo", "ahi")).select("a", "b", F.col("x").alias("bx"))
-    met = skew_join(left, right, ["a", "b"]).where(near("ax", "bx")).select("a", "b").distinct()
+    pairs = beside.where(F.array_join("a", " ") < F.array_join("b", " "))
+    pairs = materialise(_facing(pairs, dense_boxes, "cell", eps))
     name = lambda c: F.concat(F.lit("cell "), F.array_join(c, " "))
-    cells = sure.union(met).select(name("a").alias("t1"), name("b").alias("t2"))
     own = node_of.select(F.col("node").alias("t1"), F.col("node").alias("t2")).distinct()
-    comps = materialise(connected_components(seen.union(cells).union(own)))
+    links = seen.union(pairs.where("sure").select(name("a"), name("b"))).union(own)
+    unsure = pairs.where(~F.col("sure"))
+    if _open_comparisons(unsure) > COMPARED:
+        # Cells that are linked by a way that is known need no link of their own.
+        links = materialise(links)
+        known = materialise(connected_components(links))
+        for end in ("a", "b"):
+            home = known.select(F.col("node").alias("_node"), F.col("cluster").alias(f"_{end}"))
+            unsure = unsure.withColumn("_node", name(end)).join(home, "_node").drop("_node")
+        unsure = materialise(unsure.where("_a <> _b").drop("_a", "_b"))
+    met = _cells_that_meet(dense_points, unsure, dims, eps, side)
+    comps = materialise(connected_components(links.union(met.select(name("a_cell"), name("b_cell")))))
     keyed = points.withColumn("pid", F.array_join(F.transform("x", lambda v: v.cast("string")), " "))
     cores = materialise(node_of.join(comps, "node").select("pid", "cluster"))
     names = skew_join(keyed, cores, "pid").groupBy("cluster").agg(F.min(item).alias("name"))
