@@ -41,7 +41,9 @@ NEIGHBOURS = 15
 #: Bytes of the texts of all examples together.
 MAX_BYTES = 1 << 28
 #: So many of the most frequent terms are held as dense columns, the others as postings.
-_DENSE = 512
+_DENSE = 1_024
+#: So many of those are summed in double precision in the end, the others as postings are.
+_DOUBLE = 512
 #: Bytes of the beginning of a word that is a term too.
 _STEM = 4
 #: Terms whose document frequencies travel in one row.
@@ -49,7 +51,13 @@ _SLOT = 1 << 16
 #: Text that is scored at once, beside the index.
 _SLICE_BYTES = 1 << 20
 _SEEDS = 16
-_BATCH = 128
+#: Blocks in a row that are read in one product.
+_TOGETHER = 16
+_BATCH = 192
+#: Most bits of a code that look up its place: 16 MB.
+_PLACE_BITS = 22
+#: Postings that are summed at once.
+_POSTINGS = 1 << 18
 
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[ord("a") : ord("z") + 1] = True
@@ -57,24 +65,30 @@ _LETTERS[128:] = True
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each text and of their first bytes, and the row of each."""
+    """Hashes of the words of each text and of their first bytes, text by text, and where each text's begin."""
     low = LOWER[data]
     starts, ends = runs(_LETTERS[low], offsets)
-    rows = np.searchsorted(offsets, starts, side="right") - 1
     if not len(starts):
-        return np.zeros(0, np.uint64), rows
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     padded = np.concatenate([low, np.zeros(8, np.uint8)])
     long = np.flatnonzero(ends - starts >= _STEM)
     first = np.lib.stride_tricks.sliding_window_view(padded, 8)[starts[long]].view("<u8")[:, 0]
     stems = mix(mix(first & np.uint64((1 << 8 * _STEM) - 1)) + np.uint64(_STEM))
-    return np.concatenate([range_hashes(low, starts, ends), stems]), np.concatenate([rows, rows[long]])
+    whole = np.searchsorted(starts, offsets)
+    cut = np.searchsorted(long, whole)
+    # The words of a text lie before its stems.
+    out = np.empty(len(starts) + len(long), np.uint64)
+    out[np.arange(len(starts)) + np.repeat(cut[:-1], np.diff(whole))] = range_hashes(low, starts, ends)
+    out[np.arange(len(long)) + np.repeat(whole[1:], np.diff(cut))] = stems
+    return out, whole + cut
 
 
 def _counts(data: np.ndarray, offsets: np.ndarray):
     """Row, code and count of the terms in each text, by row and code."""
-    codes, rows = _codes(data, offsets)
-    order = np.lexsort((codes, rows))
-    codes, rows = codes[order], rows[order]
+    codes, bounds = _codes(data, offsets)
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        codes[lo:hi].sort()
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     at = np.flatnonzero(changes(rows, codes))
     return rows[at], codes[at], np.diff(np.append(at, len(codes)))
 
@@ -86,9 +100,11 @@ class Postings:
         """Room for ``often`` weights of each term."""
         self.n = n
         self.bounds = np.concatenate([[0], np.cumsum(often)])
-        self.rows = np.zeros(self.bounds[-1], np.int32)
-        self.weights = np.zeros(self.bounds[-1], np.float32)
+        # A row and its weight lie side by side, so that one copy fetches both.
+        self.pairs = np.zeros((self.bounds[-1], 2), np.uint32)
+        self.rows, self.weights = self.pairs[:, 0], self.pairs[:, 1].view(np.float32)
         self._next = self.bounds[:-1].copy()
+        self._room = None
 
     def add(self, row: int, terms: np.ndarray, weights: np.ndarray) -> None:
         at = self._next[terms]
@@ -97,13 +113,29 @@ class Postings:
 
     def sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Product of a vector with every example."""
-        spans = list(zip(self.bounds[terms].tolist(), self.bounds[terms + 1].tolist()))
-        if not spans:
-            return np.zeros(self.n)
-        rows = np.concatenate([self.rows[lo:hi] for lo, hi in spans])
-        parts = np.concatenate([self.weights[lo:hi] for lo, hi in spans])
-        parts *= np.repeat(weights.astype(np.float32), [hi - lo for lo, hi in spans])
-        return np.bincount(rows, parts, minlength=self.n)
+        if self._room is None:
+            # No term has more postings than there are examples.
+            most = max(_POSTINGS, self.n)
+            self._room = np.empty(most, np.uint64), np.empty(most, np.int64), np.empty(most)
+        fetched, rows, parts = self._room
+        lows, lengths = self.bounds[terms], self.bounds[terms + 1] - self.bounds[terms]
+        ends = np.cumsum(lengths)
+        pairs, weights = self.pairs.reshape(-1).view(np.uint64), weights.astype(np.float32)
+        out = None
+        at = 0
+        while at < len(terms):
+            before = int(ends[at] - lengths[at])
+            after = int(np.searchsorted(ends, before + len(fetched), side="right"))
+            n = int(ends[after - 1]) - before
+            spans = zip(lows[at:after].tolist(), (lows + lengths)[at:after].tolist())
+            np.concatenate([pairs[lo:hi] for lo, hi in spans], out=fetched[:n])
+            both = fetched[:n].view(np.uint32).reshape(-1, 2)
+            rows[:n] = both[:, 0]
+            np.multiply(both[:, 1].view(np.float32), np.repeat(weights[at:after], lengths[at:after]), out=parts[:n])
+            some = np.bincount(rows[:n], parts[:n], minlength=self.n)
+            out = some if out is None else out + some
+            at = after
+        return np.zeros(self.n) if out is None else out
 
 
 class BlockMaxIndex:
@@ -124,7 +156,9 @@ class BlockMaxIndex:
         often = np.zeros(width, np.int64)
         for terms, _ in vectors:
             often[terms] += 1
-        dense = np.sort(np.argsort(-often, kind="stable")[:_DENSE])
+        frequent = np.argsort(-often, kind="stable")[:_DENSE]
+        dense = np.sort(frequent)
+        self.double = np.isin(dense, frequent[:_DOUBLE])
         self.column = np.full(width, -1, np.int32)
         self.column[dense] = np.arange(len(dense))
         self.head = np.zeros((n, len(dense)), np.float32)
@@ -134,9 +168,11 @@ class BlockMaxIndex:
             terms, weights = vectors[i]
             vectors[i] = None
             column = self.column[terms]
-            self.head[row, column[column >= 0]] = weights[column >= 0]
-            self.tail.add(row, terms[column < 0], weights[column < 0])
+            within = column >= 0
+            self.head[row, column[within]] = weights[within]
+            self.tail.add(row, terms[~within], weights[~within])
         del self.tail._next
+        self._room = np.empty((2, 0, n), np.float32)
         self.starts = np.arange(0, n, BLOCK)
         self.maxima = np.maximum.reduceat(self.head, self.starts, axis=0) if n else self.head
 
@@ -144,12 +180,25 @@ class BlockMaxIndex:
     def _order(vectors: list, width: int) -> np.ndarray:
         """Examples by the nearest of a few of them, so that blocks hold like ones."""
         seeds = vectors[:: max(1, len(vectors) // _SEEDS)][:_SEEDS]
-        held = np.zeros((width, len(seeds)), np.float32)
+        # Row 0 is for the terms that no seed has.
+        slot = np.zeros(width, np.int32)
+        for terms, _ in seeds:
+            slot[terms] = 1
+        slot = np.cumsum(slot, dtype=np.int32) * slot
+        held = np.zeros((slot.max(initial=0) + 1, len(seeds)), np.float32)
         for i, (terms, weights) in enumerate(seeds):
-            held[terms, i] = weights
-        nearest = [int((weights @ held[terms]).argmax()) for terms, weights in vectors]
+            held[slot[terms], i] = weights
+        nearest = [int((weights @ held[slot[terms]]).argmax()) for terms, weights in vectors]
         return np.argsort(np.array(nearest, np.int64), kind="stable")
 
+    @staticmethod
+    def _neighbouring(blocks: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+        """First and end of runs of blocks in a row, of at most so many."""
+        cuts = np.flatnonzero(np.diff(blocks) > 1) + 1
+        for run in np.split(blocks, cuts):
+            for i in range(0, len(run), most):
+                yield int(run[i]), int(run[i : i + most][-1]) + 1
+
     @property
     def vectors(self) -> np.ndarray:
         """The whole matrix, for small ones."""
@@ -174,19 +223,28 @@ class BlockMaxIndex:
         if not n:
             return [(np.zeros(0, np.int64), np.zeros(0)) for _ in vectors]
         head = np.zeros((len(vectors), self.head.shape[1]), np.float32)
-        tail = np.zeros((len(vectors), n), np.float32)
+        # The same memory in each call: fetching as much anew costs more than filling it.
+        if self._room.shape[1] < len(vectors):
+            self._room = np.empty((2, len(vectors), n), np.float32)
+        tail, scores = self._room[:, : len(vectors)]
+        scores[:] = -1.0
+        exact: list[np.ndarray] = []
         for i, (terms, weights) in enumerate(vectors):
             column = self.column[terms]
             head[i, column[column >= 0]] = weights[column >= 0]
-            tail[i] = self.tail.sums(terms[column < 0], weights[column < 0])
+            exact.append(self.tail.sums(terms[column < 0], weights[column < 0]))
+            tail[i] = exact[-1]
         bounds = head @ self.maxima.T + np.maximum.reduceat(tail, self.starts, axis=1) + 1e-5
-        scores = np.full((len(vectors), n), -1.0, np.float32)
 
-        def read(wanted: np.ndarray) -> None:
-            for block in np.flatnonzero(wanted.any(axis=0)).tolist():
-                mine = np.flatnonzero(wanted[:, block])
-                lo, hi = block * BLOCK, min(n, (block + 1) * BLOCK)
-                scores[mine, lo:hi] = head[mine] @ self.head[lo:hi].T + tail[mine, lo:hi]
+        def read(wanted: np.ndarray, together: int) -> None:
+            some = np.flatnonzero(wanted.any(axis=0))
+            for block, after in self._neighbouring(some, together):
+                mine = np.flatnonzero(wanted[:, block:after].any(axis=1))
+                lo, hi = block * BLOCK, min(n, after * BLOCK)
+                if len(mine) == len(vectors):
+                    np.add(head @ self.head[lo:hi].T, tail[:, lo:hi], out=scores[:, lo:hi])
+                else:
+                    scores[mine, lo:hi] = head[mine] @ self.head[lo:hi].T + tail[mine, lo:hi]
             for i, skip in enumerate(skips):
                 if skip >= 0:
                     scores[i, self.ids == self.ids[skip]] = -1.0
@@ -199,18 +257,26 @@ class BlockMaxIndex:
         wanted = np.zeros(bounds.shape, dtype=bool)
         best = np.argpartition(-bounds, first - 1, axis=1)[:, :first]
         wanted[np.arange(len(vectors))[:, None], best] = True
-        read(wanted)
+        read(wanted, 1)
         # The members of the most promising blocks say what the others have to reach.
         members = (best[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(len(vectors), -1)
         seen = np.take_along_axis(scores, np.minimum(members, n - 1), axis=1)
         seen[members >= n] = -1.0
-        read((bounds >= kth(seen)[:, None]) & ~wanted)
-        least = kth(scores) - 1e-5
+        least = kth(seen)
+        read((bounds >= least[:, None]) & ~wanted, _TOGETHER)
         out = []
         for i in range(len(vectors)):
+            # No k-th best of all is below that of the members seen first.
+            place = np.flatnonzero((scores[i] >= least[i] - 1e-5) & (scores[i] > 0))
+            if len(place) > k:
+                mine = scores[i, place]
+                place = place[mine >= np.partition(mine, len(mine) - k)[len(mine) - k] - 1e-5]
             # The sums of a matrix product depend on its shape, so the best are summed again.
-            place = np.flatnonzero((scores[i] >= least[i]) & (scores[i] > 0))
-            cosine = (self.head[place].astype(np.float64) * head[i]).sum(axis=1) + tail[i, place]
+            columns = np.flatnonzero(head[i])
+            double, single = columns[self.double[columns]], columns[~self.double[columns]]
+            rest = (self.head[place[:, None], single] * head[i, single]).sum(axis=1, dtype=np.float64)
+            cosine = (self.head[place[:, None], double].astype(np.float64) * head[i, double]).sum(axis=1)
+            cosine += (exact[i][place] + rest).astype(np.float32)
             place, cosine = place[cosine > 0], cosine[cosine > 0]
             order = np.lexsort((place, -cosine))[:k]
             out.append((place[order], np.minimum(cosine[order], 1.0)))
@@ -244,13 +310,22 @@ class Terms:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
+        self._first = None
 
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of each code, and whether it is that of a term."""
         if not len(self.codes):
             return np.zeros(len(codes), np.int64), np.zeros(len(codes), dtype=bool)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return at, self.codes[at] == codes
+        last = len(self.codes) - 1
+        # Codes are hashes: their first bits tell the place of most of them.
+        bits = min(len(self.codes).bit_length() + 1, _PLACE_BITS)
+        shift = np.uint64(64 - bits)
+        if self._first is None:
+            self._first = np.searchsorted(self.codes >> shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+        at = np.minimum(self._first[codes >> shift], last)
+        late = np.flatnonzero(self.codes[at] < codes)
+        at[late] = np.minimum(np.searchsorted(self.codes, codes[late]), last)
+        return at.astype(np.int64), self.codes[at] == codes
 
 
 class Neighbours:
@@ -348,15 +423,13 @@ class Neighbours:
                 yield int(rows[a]), float(share), place, cosine
 
     def score(self, data: np.ndarray, offsets: np.ndarray):
-        """Row, calibrated score and evidence of each text with terms."""
+        """Row, calibrated score and ids, cosines and labels of the neighbours of each text with terms."""
         at, value = self.steps
         for row, share, place, cosine in self.votes(data, offsets):
             calibrated = float(np.interp(share, at, value))
             # Votes keep their order within a step.
             score = min(max(0.98 * calibrated + 0.02 * share, 0.0), 1.0)
-            ids = self.index.ids[place].tolist()
-            labels = self.index.labels[place].tolist()
-            yield row, score, list(zip(ids, cosine.tolist(), labels, strict=True))
+            yield row, score, (self.index.ids[place], cosine, self.index.labels[place])
 
 
 def _examples(docs, labels, id_col, text_col, label_col, max_examples, max_bytes) -> DataFrame:
@@ -447,7 +520,8 @@ def fit(
     so, with the smallest of their texts; rows with a null id or label are ignored.  Of
     more than ``max_examples`` ids, or ``max_bytes`` of text, those with the least hash
     are used.  Document frequencies are those of all ``docs``.  An empty table gives a
-    model without examples, for which every text has the score 0.
+    model without examples, for which every text has the score 0.  The tasks hold the
+    model until :meth:`Neighbours.release`.
     """
     spark = docs.sparkSession
     sample = _examples(docs, labels, id_col, text_col, label_col, max_examples, max_bytes)
@@ -512,7 +586,6 @@ def _own_votes(sample: DataFrame, model: Neighbours) -> tuple[np.ndarray, np.nda
 
     votes = sample.repartition(partitions(sample)).mapInArrow(voted, "doc_id bigint, label int, share double")
     found = votes.toArrow().sort_by("doc_id")
-    model.release()
     return found.column("share").to_numpy(), found.column("label").to_numpy()
 
 
@@ -526,7 +599,8 @@ def score(docs: DataFrame, model: Neighbours, text_col: str = "text") -> DataFra
     ``model.release()`` when the result has been written.
     """
     plain = docs.drop("toxicity", "evidence")
-    shared = model.shared(docs.sparkSession)
+    # The tasks still have the index from the calibration, of which only the steps are new.
+    shared, steps = model.shared(docs.sparkSession), model.steps
     place = plain.columns.index(text_col)
     neighbour = T.StructType(
         [
@@ -540,25 +614,29 @@ def score(docs: DataFrame, model: Neighbours, text_col: str = "text") -> DataFra
         .add("toxicity", T.DoubleType())
         .add("evidence", T.ArrayType(neighbour))
     )
-    kind = pa.list_(
-        pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())])
-    )
+    fields = [pa.field("doc_id", pa.int64()), pa.field("similarity", pa.float64()), pa.field("toxic", pa.int32())]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value.settled()
+        fitted.steps = steps
         for batch in batches:
             data, offsets = texts(batch.column(place))
             scores = np.full(batch.num_rows, fitted.plain)
-            evidence: list[list] = [[] for _ in range(batch.num_rows)]
+            n_near = np.zeros(batch.num_rows, np.int64)
+            near: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
             for lo, hi in slices(offsets, _SLICE_BYTES):
                 some = fitted.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for row, value, found in some:
                     scores[lo + row] = value
-                    evidence[lo + row] = [
-                        {"doc_id": d, "similarity": s, "toxic": t} for d, s, t in found
-                    ]
+                    n_near[lo + row] = len(found[0])
+                    near.append(found)  # rows come in order
+            parts = [pa.array(np.concatenate(part), field.type) for part, field in zip(zip(*near), fields, strict=True)]
+            evidence = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(n_near)]), pa.int32()),
+                pa.StructArray.from_arrays(parts, fields=fields),
+            )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores), pa.array(evidence, kind)],
+                [*batch.columns, pa.array(scores), evidence],
                 [*batch.schema.names, "toxicity", "evidence"],
             )
 

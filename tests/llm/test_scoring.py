@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -37,6 +38,84 @@ def test_nearest_examples_are_exact():
         assert np.allclose(exact[place], best, atol=1e-5)
 
 
+def test_nearest_of_many_are_exact():
+    # More terms than dense columns, blocks in a row and alone, and examples to leave out.
+    rng = np.random.default_rng(2)
+    n, width = 1_500, 3_000
+    shares = 0.5 / (1 + np.arange(width) / 20)
+    vectors = rng.random((n, width)) * (rng.random((n, width)) < shares)
+    vectors[:, 0] += 0.01
+    vectors[700:705] = vectors[3]
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    index = toxicity.BlockMaxIndex(np.arange(n), rng.integers(0, 2, n), vectors)
+    assert len(index.tail.rows) and np.array_equal(index.vectors, vectors[index.ids])
+    picked, skips = [], []
+    for i in range(60):
+        query = vectors[i * 7].copy() if i % 2 else (rng.random(width) * (rng.random(width) < shares)).astype(np.float32)
+        picked.append(query / max(np.linalg.norm(query), 1e-30))
+        skips.append(int(np.flatnonzero(index.ids == i * 7)[0]) if i % 4 == 1 else -1)
+    pairs = [(np.flatnonzero(q), q[np.flatnonzero(q)]) for q in picked]
+    for size in (60, 1):
+        for lo in range(0, 60, size):
+            got = index.nearest_of(pairs[lo : lo + size], 15, skips[lo : lo + size])
+            for q, skip, (place, cosine) in zip(picked[lo : lo + size], skips[lo : lo + size], got, strict=True):
+                exact = index.vectors.astype(np.float64) @ q
+                if skip >= 0:
+                    exact[skip] = -1.0
+                best = np.sort(exact[exact > 0])[::-1][:15]
+                assert len(cosine) == len(best) and np.allclose(cosine, np.minimum(best, 1), atol=1e-5)
+                assert skip not in place and np.allclose(exact[place], best, atol=1e-5)
+
+
+def test_sums_need_no_room_for_all_postings():
+    # 1.6 million postings of one text are fetched piece by piece.
+    rng = np.random.default_rng(3)
+    n, width, often = 800, 4_000, 400
+    dense = np.zeros((n, width), np.float32)
+    for term in range(width):
+        dense[rng.choice(n, often, replace=False), term] = rng.random(often, dtype=np.float32) + 0.1
+    postings = toxicity.Postings(n, np.full(width, often))
+    for row in range(n):
+        terms = np.flatnonzero(dense[row])
+        postings.add(row, terms, dense[row, terms])
+    terms, weights = np.arange(width), rng.random(width, dtype=np.float32)
+    tracemalloc.start()
+    got = postings.sums(terms, weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, dense.astype(np.float64) @ weights, rtol=1e-5)
+    assert not postings.sums(terms[:0], weights[:0]).any()
+    assert peak < 12 << 20
+
+
+def test_terms_of_texts_one_by_one():
+    rows = ["", "Stone stone STONES a", "", " 12 ", "abc abcd abcde é", "x" * 40 + " stone", ""]
+    raw = [r.encode() for r in rows]
+    offsets = np.cumsum([0, *map(len, raw)])
+    at, codes, counts = toxicity._counts(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    for i, text in enumerate(raw):
+        alone = toxicity._counts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert codes[at == i].tolist() == sorted(alone[1].tolist())
+        assert counts[at == i].tolist() == alone[2].tolist()
+    # stone and stones and a, and what the first two begin with
+    assert sorted(counts[at == 1].tolist()) == [1, 1, 2, 3]
+    known = toxicity.Terms(np.unique(codes))
+    place, found = known.find(np.concatenate([codes, codes + np.uint64(1)]))
+    assert found[: len(codes)].all() and not found[len(codes) :].any()
+    assert np.array_equal(known.codes[place[: len(codes)]], codes)
+
+
+def test_scoring_keeps_the_index_of_the_calibration(docs_of, spark):
+    rows, labels = labelled(docs_of, spark)
+    model = toxicity.fit(docs_of(rows), labels)
+    held = model._shared
+    assert held is not None
+    got = toxicity.score(docs_of([(1, "a vilestword here")]), model).collect()
+    assert model._shared is held and got[0].toxicity > 0.5
+    model.release()
+    assert toxicity.score(docs_of([(1, "a vilestword here")]), model).collect() == got
+
+
 def test_toxicity_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     from corpuscope.llm.queries import QUERIES
