@@ -87,7 +87,7 @@ def test_native_sql_agrees(spark, sf):
     from corpuscope.llm.queries import QUERIES, SQL
 
     con = duckdb.connect()
-    for table in ("documents", "labels", "embeddings"):
+    for table in ("documents", "labels", "embeddings", "conversations"):
         con.sql(f"create view {table} as select * from read_parquet('{sf}/{table}.parquet')")
     for name, sql in SQL.items():
         got = QUERIES[name](spark, sf).toPandas()
