@@ -49,3 +49,12 @@ def test_lists_are_made_once(spark):
     plan = df.select(items(df, "x").alias("y"))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 1
     assert [r["y"] for r in plan.collect()] == [["a"], None, None, None]
+
+
+def test_tokens_of_texts_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, "a net of nets", ["net"], ["a net"])], "id int, abstract string, author_keywords array<string>, index_keywords array<string>")
+    found = text.keywords_in_abstract(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Those that keywords are sought in are made above the join of the texts.
+    assert "regexp_extract_all" in plan[: plan.index("Join LeftOuter")]
+    assert found.select("abstract_keywords").first()[0] == ["a net"]
